@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_sharding": sharding.op5_sharding,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_sharding": sharding.OP5_SQL,
+        "op6_quality_rules": quality_rules.OP6_SQL,
     }
