@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import chat, decontaminate, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_chat": chat.op8_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontaminate": decontaminate.OP3_SQL,
         "op5_sharding": sharding.OP5_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
+        "op8_chat": chat.OP8_SQL,
     }
