@@ -73,7 +73,8 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width:
     sets = shingles(items.select(F.col("item_id"), F.col("text").alias("__t")), "__t", "__s", width)
     sets = stored(sets.select("item_id", F.array_sort(F.array_distinct("__s")).alias("item_set")).filter(F.size("item_set") > 0).distinct())
     docs = docs.select("doc_id", F.col("text").alias("__t"), F.xxhash64("text").alias("text_hash"))
-    probe = shingles(docs, "__t", "__s", width).select("doc_id", "text_hash", F.size("__s").alias("n"), F.explode("__s").alias("hash"))
+    # explode() would make the optimizer test the array below, with its whole expression written out anew
+    probe = shingles(docs, "__t", "__s", width).select("doc_id", "text_hash", F.size("__s").alias("n"), F.explode_outer("__s").alias("hash"))
     sketch = _hint(stored(item_sketches(sets, percent)), BROADCAST_SKETCH)
     hits = probe.join(sketch, "hash").filter(F.col("n") >= F.col("least_doc"))
     found = stored(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("items")))
