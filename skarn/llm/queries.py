@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, quality_rules, sharding
+from . import chat, decontaminate, near_dedup, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_chat": chat.op8_chat,
