@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, near_dedup, quality_rules, sharding
+from . import chat, decontaminate, near_dedup, quality_rules, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_chat": chat.op8_chat,
+        "op10_token_ids": token_files.op10_token_ids,
     }
 
 
