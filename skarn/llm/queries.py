@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, near_dedup, quality_rules, sharding, token_files
+from . import chat, decontaminate, near_dedup, pii, quality_rules, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_pii": pii.op7_pii,
         "op8_chat": chat.op8_chat,
         "op10_token_ids": token_files.op10_token_ids,
     }
