@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Separators between words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of whole texts.
+ROWS_PER_BATCH = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, for whole texts; a setting of the user's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from."""
     return F.crc32(doc_id.cast("string")) % 3 == 1

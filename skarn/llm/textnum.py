@@ -22,7 +22,7 @@ _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time; texts are never cut, a longer text makes a batch of its own.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def _powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
@@ -114,3 +114,61 @@ def shingle_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
     out, owner = out[new], owner[new]
     return out, np.searchsorted(owner, np.arange(n + 1)), some
+
+
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 48, 65, 97, 97
+
+
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bounds of texts in them, first bytes of words)."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[int(offsets[0]) : int(offsets[-1])]
+    bounds = offsets - offsets[0]
+    begins = _IS_WORD[data]
+    begins[1:] &= ~begins[:-1].copy()
+    cut = bounds[:-1][bounds[:-1] < len(data)]
+    begins[cut] = _IS_WORD[data[cut]]
+    return data, bounds, np.flatnonzero(begins)
+
+
+def shapes(texts: pa.Array) -> np.ndarray:
+    """A hash of each word's shape: runs of capitals, letters and digits as one sign each, other characters once a run."""
+    data, _, at = _buffer(texts)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    kind = np.where(_IS_WORD[data], _CLASS[data], 0).astype(np.uint8)
+    keep = np.ones(len(data), dtype=bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep[at] = True
+    starts = np.cumsum(keep)[at] - 1
+    kept = kind[keep]
+    value = np.where(kept > 0, _VALUE[kept], np.uint64(0)) * _powers(_BASE, len(kept))
+    return mix(np.add.reduceat(value, starts) * _powers(_INVERSE, len(kept))[starts])
+
+
+def stems(texts: pa.Array, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): for each word, without case and outer ASCII punctuation, the whole and its prefixes of so many bytes.
+
+    The hashes are a matrix of one row a word and one column for the whole and each length; 0 where a word is shorter.
+    """
+    data, bounds, at = _buffer(texts)
+    if not len(at):
+        return np.empty((0, 1 + len(lengths)), np.uint64), np.zeros(len(bounds), np.int64)
+    solid = (data >= 128) | ((_CLASS[data] == 48) | (_CLASS[data] == 65) | (_CLASS[data] == 97))
+    place = np.arange(len(data))
+    ends = np.concatenate([at[1:], [len(data)]])
+    last = np.maximum.reduceat(np.where(solid, place, -1), at) + 1
+    first = np.minimum(np.minimum.reduceat(np.where(solid, place, len(data)), at), ends)
+    last = np.maximum(last, first)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE_LOWER[data] * _powers(_BASE, len(data)), out=sums[1:])
+    back = _powers(_INVERSE, len(data) + 1)[first]
+    out = np.zeros((len(at), 1 + len(lengths)), np.uint64)
+    for c, n in enumerate((None, *lengths)):
+        stop = last if n is None else np.minimum(first + n, last)
+        there = (last > first) if n is None else (last - first >= n)
+        out[:, c] = np.where(there, mix((sums[stop] - sums[first]) * back + np.uint64(c)), np.uint64(0))
+    return out, np.searchsorted(at, bounds)
