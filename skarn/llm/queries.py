@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, near_dedup, pii, quality_model, quality_rules, sharding, token_files
+from . import chat, decontaminate, near_dedup, pii, quality_model, quality_rules, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality_model.op1_quality,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_sharding": sharding.op5_sharding,
