@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, near_dedup, pii, quality_model, quality_rules, sharding, token_files, toxicity
+from . import chat, decontaminate, mixing, near_dedup, pii, quality_model, quality_rules, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_pii": pii.op7_pii,
         "op8_chat": chat.op8_chat,
+        "op9_mixing": mixing.op9_mixing,
         "op10_token_ids": token_files.op10_token_ids,
     }
 
