@@ -1 +1 @@
-"""Placeholder; filled below."""
+"""Column functions."""

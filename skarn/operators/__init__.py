@@ -1 +1 @@
-"""Placeholder; filled below."""
+"""DataFrame operators: retrieval, ranking, metrics, resolution, graphs, sampling, checks."""
