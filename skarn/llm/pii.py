@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Look-alikes of ASCII characters (fixed values): Cyrillic, Greek, dashes, dots.
@@ -182,6 +182,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans. No shuffle; repeated rows stay.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows, f"doc_id long, spans {SPANS}")
 
 
@@ -199,9 +200,13 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: (s.kind == kind) & ~s.disguised))
+
+
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     """Counts and digest of the plain spans, and all spans, of every document."""
     found = find_pii(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s.disguised)
-    counts = [F.size(F.filter("spans", lambda s, k=k: (s.kind == k) & ~s.disguised)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count(kind).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s.disguised)).cast("long").alias("n_disguised"))
