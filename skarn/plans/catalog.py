@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import retrieval, tables, unstructured
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, tables, unstructured)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
