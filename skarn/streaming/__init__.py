@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Events read file by file, with a watermark on their time."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 8).parquet(folder)
+    """Events of a Parquet file or folder, read file by file, with a watermark on their time."""
+    rows = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8)
+    single = all(f.rpartition("/")[2] == name for f in rows.inputFiles())
+    stream = stream.option("pathGlobFilter", name).parquet(folder) if single else stream.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
