@@ -43,7 +43,9 @@ _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "！-～٠-
 _OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"{_OPEN}(?:(at|@)|(?:dot|\.|punto|point)){_SHUT}", re.I)
 _NAME = r"[A-Za-z0-9-]+"
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9_%+-]+)*(?P<at>[ \t]+at[ \t]+|@){_NAME}(?:(?:\.|[ \t]+dot[ \t]+){_NAME})*[ \t]+dot[ \t]+{_NAME}", re.I)
+#: Last parts of domains that a fully spoken address must end in (fixed values).
+SPOKEN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "nl", "ru", "eu", "us", "ch", "at")
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9_%+-]+)*(?P<at>[ \t]+at[ \t]+|@){_NAME}(?:(?:\.|[ \t]+dot[ \t]+){_NAME})*[ \t]+dot[ \t]+(?:{'|'.join(SPOKEN_ENDS)})(?![A-Za-z0-9-])", re.I)
 _DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
 _WORD = "|".join(DIGITS)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ \t,-]+)?(?:(?:{_WORD})(?![A-Za-z])|[0-9])(?:[ \t,.-]*(?:(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])|[0-9]))+", re.I)
