@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import read_table, stored
+from .common import bounded_batches, read_table, stored
 from .components import components, renamed
 
 #: Minhashes of a half key, half keys of a collection.
@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     null; it is kept). Rows with equal doc_id count as linked. An empty table
     gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stored(docs.mapInArrow(signer(width), SIGNATURES))
     known = signed.filter("n > 0 and doc_id is not null")
