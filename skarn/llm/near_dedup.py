@@ -6,12 +6,15 @@ collection. So 2 * M * Q minhashes serve tables that would need M * M * 2 * Q.
 A pair of similarity s misses all tables with probability
 1 - (1 - (1 - s^Q)^M)^2, below 3e-5 at s = 0.8.
 
-Halves that one text alone has are dropped before any table key is formed, and
-texts with equal shingle sets are one class throughout. In each table the
-members are compared with one leader, round by round, and members already
-known to be connected with it are left alone; what no leader has settled after
-MOST_ROUNDS is compared pair by pair. No bucket is capped and no pair of
-different components in a bucket stays unverified.
+Halves that one text alone has are dropped before any table key is formed, texts
+with equal shingle sets are one class throughout, and of tables with the same
+members one is kept. Members are first compared with a leader of their table,
+for at most MOST_ROUNDS leaders. That gives links and, for pairs that are at
+least LOOSE per cent alike, clusters; members of a table that no leader has
+settled are put in one cluster unseen. Inside a cluster of more than one
+component, all sets are then compared in blocks, but for those of its largest
+component among themselves. So no table is capped, no pair that a table brings
+together stays unverified, and pairs are never written out.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from .components import components, renamed
 #: Minhashes of a half key, half keys of a collection.
 Q, M = 3, 16
 WIDTH, PERCENT = 4, 80
-MOST_ROUNDS = 8
+MOST_ROUNDS, LOOSE = 2, 30
+#: Classes on one side of a block of comparisons, and shingles compared at a time in it.
+SIDE, COLUMNS = 256, 8_192
 #: So many ids at most (8 bytes each) are broadcast to pick texts for verification.
 BROADCAST_IDS = 1_000_000
 _RANDOM = np.random.Generator(np.random.PCG64(20262))
@@ -78,7 +83,7 @@ def signer(width: int):
 
 
 def verifier(width: int, percent: int):
-    """Function for mapInArrow: (u, v, text of u, text of v) to the linked (u, v)."""
+    """Function for mapInArrow: (u, v, text of u, text of v) to (u, v, linked) of pairs at least LOOSE per cent alike."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,36 +98,106 @@ def verifier(width: int, percent: int):
                 both, pair = both[order], pair[order]
                 same = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
                 shared = np.bincount(pair[1:][same], minlength=j - i) if len(both) else np.zeros(j - i, int)
-                linked = pa.array((shared > 0) & (100 * shared >= percent * (na + nb - shared)))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)], ["u", "v"])
-                yield out.filter(linked)
+                union = na + nb - shared
+                linked = pa.array((shared > 0) & (100 * shared >= percent * union))
+                part = batch.slice(i, j - i)
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), linked], ["u", "v", "linked"])
+                yield out.filter(pa.array((shared > 0) & (100 * shared >= min(LOOSE, percent) * union)))
 
     return verify
 
 
+def comparer(width: int, percent: int):
+    """Function for applyInArrow: (rep, comp, text) of a block to edges (u, v) that join its components, no more than needed."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.sort_by("rep").combine_chunks()
+        rep, comp = np.asarray(block["rep"]), np.asarray(block["comp"])
+        texts = block["text"].combine_chunks() if isinstance(block["text"], pa.ChunkedArray) else block["text"]
+        found = [(textnum.shingle_sets(textnum.words(texts.slice(i, j - i)), width)) for i, j in textnum.slices(texts)]
+        n = np.concatenate([np.diff(bounds) for _, bounds, _ in found])
+        owner = np.repeat(np.arange(len(rep)), n)
+        every, column, times = np.unique(np.concatenate([sets for sets, _, _ in found]), return_inverse=True, return_counts=True)
+        new = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+        owner, column = owner[new >= 0], new[new >= 0]
+        shared = np.zeros((len(rep), len(rep)), dtype=np.float32)
+        for low in range(0, int((times > 1).sum()), COLUMNS):
+            part = (column >= low) & (column < low + COLUMNS)
+            has = np.zeros((len(rep), COLUMNS), dtype=np.float32)
+            has[owner[part], column[part] - low] = 1
+            shared += has @ has.T
+        linked = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (shared > 0) & (comp[:, None] != comp[None, :])
+        root = {int(c): int(c) for c in set(comp.tolist())}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        u, v = [], []
+        for x, y in np.argwhere(np.triu(linked)).tolist():
+            a, b = top(int(comp[x])), top(int(comp[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                u.append(int(rep[x]))
+                v.append(int(rep[y]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return compare
+
+
+def _texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text) of the documents named in ``ids`` (column __id); ``most``: how many those are at most."""
+    ids = F.broadcast(ids) if most <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The stored pairs (u, v) whose full shingle sets are similar enough."""
+    """The stored pairs (u, v, linked) that are alike, from their full shingle sets."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("__id")).distinct()
-    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi")
+    texts = _texts(docs, ids, 2 * pairs.count())
     one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "uv")
     both = pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv")
-    return stored(both.mapInArrow(verifier(width, percent), "u long, v long"))
+    return stored(both.mapInArrow(verifier(width, percent), "u long, v long, linked boolean"))
+
+
+def _compared(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Stored edges (u, v) between components of one cluster, from (rep, comp, cluster)."""
+    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("nb"), (F.sum("n") - F.max("n")).alias("no"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(SIDE)).cast("int")
+    sizes = stored(sizes.filter("no > 0").select("cluster", "big", blocks("nb").alias("nb"), blocks("no").alias("no")))
+    rows = members.join(sizes, "cluster").withColumn("main", F.col("comp") == F.col("big"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("main"), F.col("nb")).otherwise(F.col("no"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    with_main = F.transform(upto("no"), lambda i: cell(i, F.col("own"), "main"))
+    with_rest = F.concat(F.transform(upto("no"), lambda j: cell(F.least("own", j), F.greatest("own", j), "rest")), F.transform(upto("nb"), lambda j: cell(F.col("own"), j, "main")))
+    rows = stored(rows.select("rep", "comp", "cluster", F.when(F.col("main"), with_main).otherwise(with_rest).alias("cells")))
+    ids = rows.select(F.col("rep").alias("__id")).distinct()
+    texts = _texts(docs, ids, rows.count())
+    spread = rows.select("rep", "comp", "cluster", F.explode("cells").alias("cell")).select("rep", "comp", "cluster", "cell.*")
+    blocks = spread.join(texts, spread["rep"] == texts["doc_id"]).select("cluster", "i", "j", "kind", "rep", "comp", "text")
+    return stored(blocks.groupBy("cluster", "i", "j", "kind").applyInArrow(comparer(width, percent), "u long, v long"))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, rep, n) of every table key that two classes or more share."""
+    """(key, rep, n) of the table keys that two classes or more share; of keys with the same members, one."""
     halves = classes.select("rep", "n", F.posexplode(F.concat("a", "b")).alias("at", "half"))
     shared = halves.groupBy("half").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("half")
     left = halves.join(shared, "half").groupBy("rep", "n")
     left = left.agg(F.collect_list(F.when(F.col("at") < M, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("at") >= M, F.col("half"))).alias("b"))
     tables = left.select("rep", "n", F.explode("a").alias("x"), "b").select("rep", "n", "x", F.explode("b").alias("y"))
-    return tables.select(F.xxhash64("x", "y").alias("key"), "rep", "n")
+    rows = stored(tables.select(F.xxhash64("x", "y").alias("key"), "rep", "n"))
+    both = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high"), *both)
+    one = members.filter("low < high").groupBy("m", "low", "high", "x1", "x2").agg(F.min("key").alias("key"))
+    return rows.join(one.select("key"), "key")
 
 
 def _with_leaders(buckets: DataFrame) -> DataFrame:
-    """(key, rep, n, comp, lead): buckets that still hold two components, with their least member as leader."""
-    leads = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.min("comp").alias("__x"), F.max("comp").alias("__y"))
+    """(key, rep, n, cluster, lead): buckets that still hold two clusters, with their least member as leader."""
+    leads = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.min("cluster").alias("__x"), F.max("cluster").alias("__y"))
     return buckets.join(leads.filter("__x < __y").select("key", "lead"), "key")
 
 
@@ -147,30 +222,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     known = signed.filter("n > 0 and doc_id is not null")
     classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
     buckets = stored(_buckets(classes))
-    links = labels = None
-    open_ = _with_leaders(buckets.withColumn("comp", F.col("rep")))
+    open_ = _with_leaders(buckets.withColumn("cluster", F.col("rep")))
     # first, each class with the least of its leaders only
     first = open_.filter("rep > lead").groupBy("rep").agg(F.min("lead").alias("v"), F.first("n").alias("nu")).withColumnRenamed("rep", "u")
-    links = _verified(docs, stored(_sized(first, classes, percent)), width, percent)
-    labels = components(links)
-    buckets = buckets.withColumn("comp", F.col("rep"))
+    alike = _verified(docs, stored(_sized(first, classes, percent)), width, percent)
+    left = buckets
     for round_ in range(MOST_ROUNDS + 1):
-        open_ = _with_leaders(renamed(buckets.withColumn("comp", F.col("rep")), "comp", labels)).select("key", "rep", "n", "comp", "lead")
-        open_ = stored(open_)
+        clusters = components(alike)
+        open_ = stored(_with_leaders(renamed(left.withColumn("cluster", F.col("rep")), "cluster", clusters)))
         if not open_.limit(1).count():
             break
-        if round_ < MOST_ROUNDS:
-            heads = renamed(open_.filter("rep > lead").withColumn("lead_comp", F.col("lead")), "lead_comp", labels)
-            pairs = heads.filter("comp <> lead_comp").groupBy("rep", "lead").agg(F.first("n").alias("nu"))
-            pairs = pairs.select(F.col("rep").alias("u"), F.col("lead").alias("v"), "nu")
-            buckets = open_.filter("rep > lead").select("key", "rep", "n")
-        else:
-            other = open_.select("key", F.col("rep").alias("v"), F.col("comp").alias("__c"))
-            pairs = open_.join(other, "key").filter("rep > v and comp <> __c").groupBy("rep", "v").agg(F.first("n").alias("nu")).withColumnRenamed("rep", "u")
-        new = _verified(docs, stored(_sized(pairs.select("u", "v", "nu"), classes, percent)), width, percent)
-        links = links.unionByName(new)
-        if new.limit(1).count():
-            labels = components(links)
+        heads = renamed(open_.filter("rep > lead").withColumn("lead_cluster", F.col("lead")), "lead_cluster", clusters)
+        pairs = heads.filter("cluster <> lead_cluster").groupBy("rep", "lead").agg(F.first("n").alias("nu"))
+        pairs = pairs.select(F.col("rep").alias("u"), F.col("lead").alias("v"), "nu")
+        if round_ == MOST_ROUNDS:  # unseen
+            clusters = components(alike.select("u", "v").unionByName(pairs.select("u", "v")))
+            break
+        alike = alike.unionByName(_verified(docs, stored(_sized(pairs, classes, percent)), width, percent))
+        left = open_.filter("rep > lead").select("key", "rep", "n")
+    links = alike.filter("linked").select("u", "v")
+    labels = components(links)
+    members = buckets.select("rep").distinct().withColumn("comp", F.col("rep")).withColumn("cluster", F.col("rep"))
+    members = stored(renamed(renamed(members, "comp", labels), "cluster", clusters))
+    labels = components(links.unionByName(_compared(docs, members, width, percent)))
     named = renamed(classes.select("s1", "s2", "n", F.col("rep").alias("component")), "component", labels)
     named = named.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("n").alias("xn"), "component")
     same = (signed["s1"] == named["x1"]) & (signed["s2"] == named["x2"]) & (signed["n"] == named["xn"])
