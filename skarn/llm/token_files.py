@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir, stored
+from .common import bounded_batches, read_table, shared_dir, stored
 from .textnum import mix
 
 MAGIC, VERSION = 0x534B41524E494458, 1
@@ -278,6 +278,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     empty manifest.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     shards = shards or min(MOST_SHARDS, max(1, -(-docs.select("doc_id").count() // ROWS_PER_SHARD)))
