@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, retrieval, tables, unstructured
+from . import decisions, features, retrieval, tables, unstructured
 
-_MODULES = (retrieval, decisions, tables, unstructured)
+_MODULES = (retrieval, decisions, features, tables, unstructured)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -140,3 +140,11 @@ def test_registry_names_match():
 
     names = catalog.queries()
     assert set(catalog.oracle_sql()) <= set(names) and len(names) == len(set(itertools.chain(names)))
+
+
+def test_logistic_fit_separates_and_scores_as_an_expression(spark):
+    from skarn.operators.learned import fit_logistic
+
+    df = spark.createDataFrame([(float(i), 1.0, int(i >= 10)) for i in range(20)] + [(None, 1.0, 0)], "x double, flat double, y int")
+    got = {r.x: r.p for r in df.withColumn("p", fit_logistic(df, ["x", "flat"], "y")).collect()}
+    assert got[19.0] > 0.8 and got[0.0] < 0.2 and got[None] < 0.6
