@@ -6,6 +6,9 @@ failing lines go, and a document that loses too much of its text goes too.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +47,22 @@ SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|»›•·>](?=[\x20\x09-\x0D]|$)"
 MENU_LINE = rf"^[\x20\x09-\x0D]*(?:(?:{'|'.join(MENU)})(?:[\x20\x09-\x0D|>»]+|$))+$"
 
 
-def line_fails(line: Column) -> Column:
-    """True where a line breaks a punctuation, navigation or boilerplate rule. Blank lines pass."""
-    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).cast("double")
-    low = F.lower(line)
-    punctuation = (F.regexp_count(line, F.lit(SYMBOL_WORD)) > n * SYMBOL_WORDS) | ((n >= LEAST_WORDS) & (F.regexp_count(line, F.lit(SHOUT)) > n * SHOUTED_WORDS))
-    navigation = ((n >= LEAST_WORDS) & (F.regexp_count(line, F.lit(SEPARATOR)) > n * SEPARATORS)) | ((n <= MENU_WORDS) & low.rlike(MENU_LINE))
-    boilerplate = low.rlike("|".join(BOILERPLATE))
-    return (n > 0) & (punctuation | navigation | boilerplate)
+#: A line without any of these passes the rules that count words of a kind.
+SUSPECT = r"[#*$%&<>|»›•·]|!!"
+WORD = r"[^\x20\x09-\x0D]+"
+
 
+def line_fails(line: Column, low: Column) -> Column:
+    """True where a line breaks a punctuation, navigation or boilerplate rule; ``low`` is the line in lower case.
 
-def _count_words(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
+    Blank lines pass. Cheap conditions stand first: most lines are settled by them.
+    """
+    n = F.regexp_count(line, F.lit(WORD)).cast("double")
+    punctuation = (F.regexp_count(line, F.lit(SYMBOL_WORD)) > n * SYMBOL_WORDS) | ((n >= LEAST_WORDS) & (F.regexp_count(line, F.lit(SHOUT)) > n * SHOUTED_WORDS))
+    navigation = (n >= LEAST_WORDS) & (F.regexp_count(line, F.lit(SEPARATOR)) > n * SEPARATORS)
+    menu = low.rlike(MENU_LINE) & (n <= MENU_WORDS)
+    boilerplate = reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+    return (line.rlike(SUSPECT) & (punctuation | navigation)) | menu | boilerplate
 
 
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
@@ -64,22 +71,32 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST)
     Null and empty texts have no words, lose nothing and are kept by this rule;
     clean_text is then the empty string. No shuffle; one row out for each row in.
     """
-    lines = df.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    judged = lines.withColumn("__bad", F.filter("__lines", line_fails)).withColumn("__good", F.filter("__lines", lambda x: ~line_fails(x)))
-    counted = judged.withColumn("words_removed", _count_words(F.col("__bad"))).withColumn("words_all", F.col("words_removed") + _count_words(F.col("__good")))
-    return counted.select(
-        *df.columns,
-        F.array_join("__good", "\n").alias("clean_text"),
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = F.size(words_of(F.col(text))).cast("long")
+    out = _judged(df.withColumn("__lines", F.split(t, "\n", -1)), t).withColumn("words_all", words)
+    return out.select(*df.columns, F.array_join(F.filter("__lines", lambda x, i: ~F.get("__bad", i)), "\n").alias("clean_text"), *_losses(F.col("words_all"), most_lost))
+
+
+def _judged(df: DataFrame, t: Column) -> DataFrame:
+    """Adds __bad, one boolean a line of __lines, and the words of bad lines."""
+    out = df.withColumn("__low", F.split(F.lower(t), "\n", -1))
+    out = out.withColumn("__bad", F.transform("__lines", lambda x, i: line_fails(x, F.get("__low", i))))
+    removed = F.aggregate(F.filter("__lines", lambda x, i: F.get("__bad", i)), F.lit(0).cast("long"), lambda s, x: s + F.regexp_count(x, F.lit(WORD)))
+    return out.withColumn("words_removed", removed)
+
+
+def _losses(words: Column, most_lost: float) -> list[Column]:
+    return [
         F.size("__lines").cast("long").alias("n_lines"),
-        F.size("__bad").cast("long").alias("n_lines_removed"),
-        "words_removed",
-        "words_all",
-        (F.col("words_removed") <= F.col("words_all") * F.lit(most_lost)).alias("line_kept"),
-    )
+        F.size(F.filter("__bad", lambda x: x)).cast("long").alias("n_lines_removed"),
+        F.col("words_removed"),
+        words.alias("words_all"),
+        (F.col("words_removed") <= words * F.lit(most_lost)).alias("line_kept"),
+    ]
 
 
-def add_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words and n_repeat_words: words inside 3-word windows that occur twice or more.
+def _with_repeats(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds __w (the words), n_words and n_repeat_words: words inside 3-word windows that occur twice or more.
 
     The windows of a text are sorted with their places inside its own row, so
     nothing is shuffled and a text of n words costs n log n.
@@ -94,7 +111,7 @@ def add_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     hits = F.filter(F.col(ordered), lambda x, j: F.coalesce(same(x, j), F.lit(False)))
     out = out.withColumn(at, F.array_sort(F.transform(hits, lambda x: x.i)))
     steps = F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(F.col(at), j + 1) - p, F.lit(3))))
-    return out.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))).drop(w, win, ordered, at)
+    return out.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))).drop(win, ordered, at)
 
 
 def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
@@ -103,10 +120,14 @@ def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
     Null texts count as empty: no words, hence base_failed. The added names must
     be free in ``df``.
     """
+    return _based(df, text).drop("__w", "__lines")
+
+
+def _based(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    full = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = add_repeats(df, text).withColumn("__full", full)
-    out = out.withColumn("word_chars", F.length(F.regexp_replace(t, SPACE, "")).cast("long"))
+    out = _with_repeats(df.withColumn("__lines", F.split(t, "\n", -1)), text)
+    out = out.withColumn("__full", F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = out.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
     out = out.withColumn("n_symbols", F.regexp_count(t, F.lit(SYMBOL)).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -114,12 +135,12 @@ def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Base counts and the line-first verdict of every document."""
+    """Base counts and the line-first verdict of every document; lines and words are split once for both."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return clean_lines(base_rules(docs)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("line_kept")).alias("kept"), "n_lines", "n_lines_removed", "words_removed",
-    )
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = _judged(_based(docs, "text"), F.coalesce("text", F.lit("")))
+    out = judged.select(*base, *_losses(F.col("n_words"), MOST_LOST))
+    return out.select(*base, (~F.col("base_failed") & F.col("line_kept")).alias("kept"), "n_lines", "n_lines_removed", "words_removed")
 
 
 _LINE_FAILS = f"""(
