@@ -23,9 +23,6 @@ from .common import SPACE, read_table, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
-#: Patterns that get nodes of their own, those with most words first. Rows of
-#: other patterns are mixed as if only their own source held them; none is lost.
-MOST_PATTERNS = 2_000
 HASH_BITS = 12
 SEED = 20267
 #: Rows of the solved plan that are broadcast at most.
@@ -135,8 +132,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
     ``docs``: doc_id, text, source; other columns are ignored. Null and blank
     texts have size 0 and are never taken. Sources are ordered by code point,
     the null source last. Rows stay apart even if all their columns are equal.
-    An empty table gives an empty result. Only sums for each source and for at
-    most MOST_PATTERNS patterns come to the driver.
+    An empty table gives an empty result. Every pattern has its node; only sums
+    for each source and each (pattern, source) cell come to the driver.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -150,16 +147,14 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
     held = rows.filter("size > 0").groupBy("h1", "h2").agg(F.array_join(F.array_sort(F.collect_set("sid")), ",").alias("pattern"), F.max("size").alias("__n"))
-    sized = held.groupBy("pattern").agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    sized = held.groupBy("pattern").agg(F.sum("__n").alias("n"))
     held = held.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "pattern")
     rows = stored(rows.join(held, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left").drop("__h1", "__h2"))
-    top = {r.pattern: r.n for r in sized.orderBy(F.desc("n"), "pattern").limit(MOST_PATTERNS).collect()}
-    own = spark.createDataFrame([(p,) for p in top], "__own string")
-    rows = rows.join(F.broadcast(own), F.col("pattern") == F.col("__own"), "left").withColumn("pattern", F.coalesce("__own", F.concat(F.lit("rest of "), "sid"))).drop("__own")
+    rows = rows.fillna("", ["pattern"])  # null and blank texts
 
     cells = [(r.pattern, r.sid, r.n) for r in rows.groupBy("pattern", "sid").agg(F.sum("size").alias("n")).collect()]
     size_of = {(p, s): n for p, s, n in cells}
-    distinct = top | {p: n for p, _, n in cells if p not in top}
+    distinct = {r.pattern: r.n for r in sized.collect()}
     took = solve(cells, distinct, [round(a) for a in aims], most)
     plan = [(p, s, n // size_of[p, s], n % size_of[p, s]) for (p, s), n in took.items() if n]
     plan = spark.createDataFrame(plan, "__p string, __s int, passes long, rest long")

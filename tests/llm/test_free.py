@@ -171,6 +171,18 @@ def test_mix_meets_targets_and_repeats_rows(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_every_pattern_has_its_flow(spark):
+    # 2,100 patterns of 12 sources; all quotas are met by two passes over each distinct text
+    r = random.Random(5)
+    masks = r.sample([m for m in range(1, 1 << 12) if m.bit_count() > 1], 2_100)
+    texts = [(" ".join([f"t{i}"] * (19 if i < 100 else 20)), [s for s in range(12) if m >> s & 1]) for i, m in enumerate(masks)]
+    texts += [(" ".join([f"own{s}x{i}"] * 500), [s]) for s in range(12) for i in range(60)]
+    rows = [(n, text, f"s{s:02d}") for n, (text, s) in enumerate((t, s) for t, held in texts for s in held)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("size = 19").collect()
+    # filling up with whole documents takes at most one of the size more from a source
+    assert len(got) > 400 and sum(x.taken for x in got) <= (2 * 100 + 12) * 19
+
+
 def test_token_files_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
