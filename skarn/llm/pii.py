@@ -166,9 +166,9 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, bool]]:
-    """All spans by kind and start; a disguised one is left out where it touches a plain one of its kind."""
+    """All spans by kind and start; a disguised one is left out where a plain one of its kind covers it wholly."""
     base = detect(text)
-    more = [(k, a, b) for k, a, b in disguised(text) if not any(k == x and a < z and y < b for x, y, z in base)]
+    more = [(k, a, b) for k, a, b in disguised(text) if not any(k == x and y <= a and b <= z for x, y, z in base)]
     return sorted([(*s, False) for s in base] + [(*s, True) for s in more], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -189,12 +189,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str) -> str:
-    """The text with each span, the longest first where they overlap, replaced by its kind in brackets."""
+    """The text with each span replaced by its kind in brackets; overlapping spans go as one, named after the first, the longest if several start there."""
     out, at = [], 0
     for kind, a, b, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
-            at = b
+        at = max(at, b)
     return "".join([*out, text[at:]])
 
 

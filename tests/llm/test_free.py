@@ -136,6 +136,24 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert pii.redact(text).count(f"[{kind}]") >= 1
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "full"),
+    [
+        ("x jоhn@example.com y", "email", "hn@example.com", "jоhn@example.com"),
+        ("x jane@mail.exаmple.com y", "email", "jane@mail.ex", "jane@mail.exаmple.com"),
+        ("x +1 555 1234５６７８ y", "phone", "+1 555 1234", "+1 555 1234５６７８"),
+    ],
+)
+def test_a_plain_fragment_does_not_hide_the_disguised_whole(text, kind, base, full):
+    assert sorted((text[a:b], d) for k, a, b, d in pii.spans_of(text) if k == kind) == sorted([(base, False), (full, True)])
+    assert pii.redact(text) == f"x [{kind}] y"
+
+
+def test_redaction_leaves_no_tail_of_overlapping_spans(monkeypatch):
+    monkeypatch.setattr(pii, "spans_of", lambda text: [("email", 2, 6, False), ("email", 4, 9, True)])
+    assert pii.redact("0123456789") == "01[email]9"
+
+
 def test_clean_prose_has_no_disguise(spark):
     for text in ("meet me at the dot on the map", "one two", "look at one dot", "Das ist ein Punkt.", "", "one " * 50):
         assert pii.spans_of(text) == []
