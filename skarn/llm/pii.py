@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, read_table
+from .domains import TOP_LEVEL
 
 KINDS = ("email", "ip", "card", "phone")
 #: Look-alikes of ASCII characters (fixed values): Cyrillic, Greek, dashes, dots.
@@ -43,9 +44,13 @@ _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "！-～٠-
 _OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"{_OPEN}(?:(at|@)|(?:dot|\.|punto|point)){_SHUT}", re.I)
 _NAME = r"[A-Za-z0-9-]+"
-#: Last parts of domains that a fully spoken address must end in (fixed values).
-SPOKEN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "nl", "ru", "eu", "us", "ch", "at")
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9_%+-]+)*(?P<at>[ \t]+at[ \t]+|@){_NAME}(?:(?:\.|[ \t]+dot[ \t]+){_NAME})*[ \t]+dot[ \t]+(?:{'|'.join(SPOKEN_ENDS)})(?![A-Za-z0-9-])", re.I)
+#: Top-level domains that are everyday words; "at the dot in" is no address (fixed values).
+_EVERYDAY = "am|as|at|be|by|do|here|in|is|it|me|my|next|no|now|so|to|us"
+_PART = r"[A-Za-z0-9_%+-]+"
+_SEP = r"(?:\.|[ \t]+dot[ \t]+)"
+# after a bare "at" the last part must be a top-level domain; after an @, also one written for a bracketed at, any will do
+_BARE = rf"(?P<at>[ \t]+at[ \t]+)(?!(?:the|a|an|this|that|each|every)[ \t]+dot[ \t]+(?:{_EVERYDAY})(?![A-Za-z0-9-])){_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+(?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9-])"
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_PART}(?:{_SEP}{_PART})*(?:{_BARE}|@{_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+{_NAME})", re.I)
 _DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
 _WORD = "|".join(DIGITS)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ \t,-]+)?(?:(?:{_WORD})(?![A-Za-z])|[0-9])(?:[ \t,.-]*(?:(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])|[0-9]))+", re.I)
@@ -155,7 +160,8 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
             edits = []
             for m in _SPOKEN.finditer(r.text):
                 own = [(x.start(), x.end(), ".") for x in _DOT.finditer(r.text, m.start(), m.end())]
-                own.append((*m.span("at"), "@"))
+                if m["at"]:
+                    own.append((*m.span("at"), "@"))
                 edits += sorted(own)
             r.replace(edits)
     if any(w in low for w in _TELLING):

@@ -149,6 +149,18 @@ def test_a_plain_fragment_does_not_hide_the_disguised_whole(text, kind, base, fu
     assert pii.redact(text) == f"x [{kind}] y"
 
 
+@pytest.mark.parametrize("end", ["ca", "dev", "ai", "pl", "br", "jp", "au", "in", "se", "biz", "com", "museum"])
+def test_spoken_addresses_end_in_any_top_level_domain(end):
+    for text in (f"jo at mail dot example dot {end}", f"jo (at) mail dot {end}", f"jo@mail dot {end}"):
+        assert [(text[a:b], d) for k, a, b, d in pii.spans_of(f"{text}, ok") if k == "email"] == [(text, True)]
+
+
+def test_spoken_addresses_after_a_sure_at_have_any_ending_and_prose_none():
+    assert [(k, d) for k, _, _, d in pii.spans_of("jo (at) mail dot internal")] == [("email", True)]
+    for text in ("jo at mail dot internal", "look at the dot in the corner", "look at the dot on the map", "meet at a dot to rest"):
+        assert pii.spans_of(text) == []
+
+
 def test_redaction_leaves_no_tail_of_overlapping_spans(monkeypatch):
     monkeypatch.setattr(pii, "spans_of", lambda text: [("email", 2, 6, False), ("email", 4, 9, True)])
     assert pii.redact("0123456789") == "01[email]9"
