@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     A text's set is its distinct word shingles; a text without words has none
     and is linked with nothing, as is a row without doc_id (its component_id is
-    null; it is kept). Rows with equal doc_id count as linked. An empty table
-    gives an empty result.
+    null; it is kept). Rows with words and equal doc_id count as linked. An
+    empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -244,7 +244,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = components(links)
     members = buckets.select("rep").distinct().withColumn("comp", F.col("rep")).withColumn("cluster", F.col("rep"))
     members = stored(renamed(renamed(members, "comp", labels), "cluster", clusters))
-    labels = components(links.unionByName(_compared(docs, members, width, percent)))
+    links = links.unionByName(_compared(docs, members, width, percent))
+    twice = stored(known.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).filter("x <> y").select("doc_id"))
+    if twice.limit(1).count():
+        own = known.join(twice, "doc_id").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    labels = components(links)
     named = renamed(classes.select("s1", "s2", "n", F.col("rep").alias("component")), "component", labels)
     named = named.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("n").alias("xn"), "component")
     same = (signed["s1"] == named["x1"]) & (signed["s2"] == named["x2"]) & (signed["n"] == named["xn"])
@@ -254,11 +259,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the least doc_id of each group of near-duplicates; repeats of a kept row go as well."""
-    judged = stored(near_duplicates(docs, width, percent).filter("kept is false").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(judged, docs["doc_id"] == judged["__id"], "left_anti")
+    """``docs`` with the least doc_id of each group of near-duplicates.
+
+    Texts are judged one by one, also those that share a doc_id. Of rows equal in
+    doc_id and text one stays; rows without doc_id all stay.
+    """
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if not repeated:
+        judged = stored(near_duplicates(docs, width, percent).filter("kept is false").select(F.col("doc_id").alias("__id")))
+        return docs.join(judged, docs["doc_id"] == judged["__id"], "left_anti")
+    marked = docs.withColumn("__th", F.xxhash64("text"))
+    named = marked.filter("doc_id is not null")
+    # numbers in the order of doc_id stand for the texts
+    texts = named.select("doc_id", "__th", "text").dropDuplicates(["doc_id", "__th"])
+    texts = stored(texts.orderBy("doc_id", "__th").withColumn("__node", F.monotonically_increasing_id()))
+    out = near_duplicates(texts.select(F.col("__node").alias("doc_id"), "text"), width, percent).filter("kept is false")
+    judged = texts.join(out.select(F.col("doc_id").alias("__node")), "__node").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__hash"))
+    judged = stored(judged)
+    kept = named.join(judged, (named["doc_id"] == judged["__id"]) & (named["__th"] == judged["__hash"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", "__th"]).unionByName(marked.filter("doc_id is null")).drop("__th")
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

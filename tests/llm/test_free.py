@@ -92,6 +92,16 @@ def test_near_duplicates_of_nothing_and_repeated_rows(spark):
     assert [x.doc_id for x in kept.collect()] == [7]
 
 
+def test_deduplicate_judges_texts_not_ids(spark):
+    a, b, c = (" ".join(x * 2 for x in letters) for letters in ("abcdefgh", "ijklmnop", "qrstuvwx"))
+    near = " ".join(c.split() * 3)
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, near), (8, near + " yy"), (8, b + " zz zz"), (None, a), (None, c), (None, None), (9, None), (9, None)]
+    got = sorted(((r.doc_id or 0, r.text or "") for r in near_dedup.deduplicate(_docs(spark, rows)).collect()))
+    assert got == sorted([(0, a), (0, c), (0, ""), (3, a), (5, b), (6, near), (8, b + " zz zz"), (9, "")])
+    linked = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(_docs(spark, rows[:3])).collect()}
+    assert linked == {(3, 3), (5, 3)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 51)], "u long, v long")
     assert {tuple(r) for r in components.components(edges).collect()} == {(i, 1) for i in range(2, 31)} | {(51, 50)}
