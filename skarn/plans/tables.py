@@ -341,12 +341,20 @@ TASTE_PROFILE = _RATED + " SELECT * FROM p"
 
 
 def taste_score(spark, sf_dir):
-    """Shrunk estimate, (sum + 3 * 2) / (n + 2), averaged over a part's features, for customers with five ratings or more, on the parts of one size."""
-    p = _profile(spark, sf_dir)
+    """Shrunk estimate, (sum + 3 * 2) / (n + 2), averaged over a part's features, for customers with five ratings or more, on every part that shares a feature with theirs.
+
+    Parts of one brand and type share their score, which is computed once for a customer.
+    """
     enough = _rated(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("c")).filter("c >= 5")
-    parts = _t(spark, sf_dir, "part").filter("p_size = 1 and p_partkey % 10 = 0").select("p_partkey", F.explode(F.array(F.struct(F.lit("brand").alias("feature"), F.lower("p_brand").alias("value")), F.struct(F.lit("type").alias("feature"), F.lower("p_type").alias("value")))).alias("f")).select("p_partkey", "f.*")
-    scored = p.join(enough, "o_custkey", "left_semi").join(parts, ["feature", "value"]).withColumn("e", (F.col("total") + 6) / (F.col("n") + 2))
-    return scored.groupBy("o_custkey", "p_partkey").agg(F.round(F.avg("e"), 6).alias("taste"))
+    p = _profile(spark, sf_dir).filter("value is not null").join(enough, "o_custkey", "left_semi").withColumn("e", (F.col("total") + 6) / (F.col("n") + 2))
+    scores = lambda f: F.map_from_entries(F.collect_list(F.when(F.col("feature") == f, F.struct("value", "e"))))
+    customers = p.groupBy("o_custkey").agg(scores("brand").alias("brands"), scores("type").alias("types"))
+    parts = _t(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type"))
+    kinds = parts.select(F.col("brand").alias("b"), F.col("type").alias("t")).distinct()
+    one, two = F.try_element_at("brands", F.col("b")), F.try_element_at("types", F.col("t"))
+    scored = customers.crossJoin(kinds).select("o_custkey", "b", "t", F.coalesce((one + two) / 2, one, two).alias("e")).filter("e is not null")
+    same = F.col("brand").eqNullSafe(F.col("b")) & F.col("type").eqNullSafe(F.col("t"))
+    return scored.join(parts, same).select("o_custkey", "p_partkey", F.round("e", 6).alias("taste"))
 
 
 TASTE_SCORE = _RATED + ", x AS (SELECT p_partkey, unnest([{'feature': 'brand', 'value': lower(p_brand)}, {'feature': 'type', 'value': lower(p_type)}]) AS f FROM part WHERE p_size = 1 AND p_partkey % 10 = 0) SELECT o_custkey, x.p_partkey, round(avg((total + 6) / (n + 2)), 6) AS taste FROM p JOIN x ON p.feature = x.f.feature AND p.value = x.f.value WHERE o_custkey IN (SELECT o_custkey FROM r GROUP BY 1 HAVING count(*) >= 5) GROUP BY ALL"

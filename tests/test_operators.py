@@ -148,3 +148,16 @@ def test_logistic_fit_separates_and_scores_as_an_expression(spark):
     df = spark.createDataFrame([(float(i), 1.0, int(i >= 10)) for i in range(20)] + [(None, 1.0, 0)], "x double, flat double, y int")
     got = {r.x: r.p for r in df.withColumn("p", fit_logistic(df, ["x", "flat"], "y")).collect()}
     assert got[19.0] > 0.8 and got[0.0] < 0.2 and got[None] < 0.6
+
+
+def test_taste_scores_every_part(spark, tmp_path):
+    from skarn.plans import tables
+
+    parts = [(1, "B1", "T1", 7), (2, "B1", "T2", 1), (3, "B2", "T1", 1), (10, "B2", "T2", 1), (11, None, "T1", 2), (12, "B9", None, 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 7), (2, 8)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    items = [(1, 1, q) for q in (0.0, 1.0, 2.0, 3.0)] + [(1, 3, 4.0), (2, 1, 1.0)]  # ratings 1 to 4 of part 1, 5 of part 3; one of customer 8
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    b1, b2, t1 = (10 + 6) / 6, (5 + 6) / 3, (15 + 6) / 7
+    expected = {(7, 1): (b1 + t1) / 2, (7, 2): b1, (7, 3): (b2 + t1) / 2, (7, 10): b2, (7, 11): t1}
+    assert {tuple(r)[:2]: r.taste for r in tables.taste_score(spark, str(tmp_path)).collect()} == {k: round(v, 6) for k, v in expected.items()}
