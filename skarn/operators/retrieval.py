@@ -19,13 +19,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
-def _search(ids: list[int], matrix: np.ndarray, k: int, views: tuple[tuple[int, int], ...]):
+def _search(ids: list[int], matrix: np.ndarray, k: int, views: tuple[tuple[int, int], ...], labels: list | None = None, same: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array(ids)
         for batch in batches:
             items, rows = np.asarray(batch.column(0)), _matrix(batch.column(1), matrix.shape[1])
             scores = np.round(matrix @ rows.T, DIGITS)
             scores[own[:, None] == items[None, :]] = -np.inf  # a row is no candidate for itself
+            if labels is not None:
+                scores[(np.array(labels)[:, None] == np.asarray(batch.column(2))[None, :]) != same] = -np.inf
             best = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
             q, at = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
             keep = scores[q, at] > -np.inf
@@ -37,29 +39,33 @@ def _search(ids: list[int], matrix: np.ndarray, k: int, views: tuple[tuple[int,
     return run
 
 
-def knn(catalog: DataFrame, queries: DataFrame, k: int, views: tuple[tuple[int, int], ...] = (), block: int = BLOCK) -> DataFrame:
+def knn(catalog: DataFrame, queries: DataFrame, k: int, views: tuple[tuple[int, int], ...] = (), block: int = BLOCK, family: bool | None = None) -> DataFrame:
     """(query_id, item_id, score, view0.., rank): the k best inner products for each query.
 
     Both inputs: vec_id, embedding of one size. Order: score descending, item_id
     ascending; an item with the query's own id is left out. ``views``: ranges of
     dimensions whose partial products are returned too. Each task keeps k rows a
     query, so what is shuffled doesn't grow with the catalogue's rows. Query
-    vectors come to the driver a block at a time.
+    vectors come to the driver a block at a time. ``family``: only items of the
+    query's label (True) or of other labels (False); rows without label then have none.
     """
     columns = "query_id long, item_id long, score double" + "".join(f", view{i} double" for i in range(len(views)))
-    catalog = catalog.select(F.col("vec_id").cast("long"), "embedding").filter("embedding is not null")
-    asked = queries.select(F.col("vec_id").cast("long"), "embedding").filter("embedding is not null").orderBy("vec_id")
-    parts, ids, rows = [], [], []
+    label = [] if family is None else ["label"]
+    catalog = catalog.select(F.col("vec_id").cast("long"), "embedding", *label).dropna(subset=["embedding", *label])
+    asked = queries.select(F.col("vec_id").cast("long"), "embedding", *label).dropna(subset=["embedding", *label]).orderBy("vec_id")
+    parts, ids, rows, labels = [], [], [], []
 
     def flush() -> None:
         if ids:
-            parts.append(catalog.mapInArrow(_search(list(ids), np.array(rows, dtype=np.float64), k, views), columns))
+            parts.append(catalog.mapInArrow(_search(list(ids), np.array(rows, dtype=np.float64), k, views, list(labels) if label else None, bool(family)), columns))
             ids.clear()
             rows.clear()
+            labels.clear()
 
     for r in asked.toLocalIterator():
         ids.append(r.vec_id)
         rows.append(r.embedding)
+        labels += [r.label] if label else []
         if len(ids) == block:
             flush()
     flush()
@@ -70,3 +76,42 @@ def knn(catalog: DataFrame, queries: DataFrame, k: int, views: tuple[tuple[int,
         found = found.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _ahead(asked: list, views: tuple[tuple[int, int], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, target, score = (np.array([r[c] for r in asked])[:, None] for c in ("vec_id", "item_id", "score"))
+        matrix = np.array([r.embedding for r in asked], dtype=np.float64)
+        for batch in batches:
+            items, rows = np.asarray(batch.column(0))[None, :], _matrix(batch.column(1), matrix.shape[1])
+            scores = np.round(matrix @ rows.T, DIGITS)
+            sooner = (scores > score) | (scores == score) & (items < target)
+            other = (items != own) & (items != target)
+            counts = []
+            for i, (a, b) in enumerate(views):
+                part, aim = np.round(matrix[:, a:b] @ rows[:, a:b].T, DIGITS), np.array([r[f"view{i}"] for r in asked])[:, None]
+                counts.append(pa.array((other & ((part > aim) | (part == aim) & sooner)).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), *counts], ["query_id", *[f"r{i}" for i in range(len(views))]])
+
+    return run
+
+
+def full_ranks(catalog: DataFrame, queries: DataFrame, targets: DataFrame, views: tuple[tuple[int, int], ...], block: int = BLOCK) -> DataFrame:
+    """(query_id, r0..): rank of each query's target among all rows but the query, by the partial products of each view.
+
+    ``targets``: query_id, item_id, score, view0.. as knn() gives them. Ties go by
+    score, then item_id. What is shuffled is a row a query and Arrow batch.
+    """
+    names = [f"r{i}" for i in range(len(views))]
+    columns = "query_id long, " + ", ".join(f"{c} long" for c in names)
+    catalog = catalog.select(F.col("vec_id").cast("long"), "embedding").filter("embedding is not null")
+    asked = queries.select(F.col("vec_id").cast("long"), "embedding").join(targets, F.col("vec_id") == F.col("query_id")).orderBy("vec_id")
+    found, rows = catalog.sparkSession.createDataFrame([], columns), []
+    for r in asked.toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            found = found.unionByName(catalog.mapInArrow(_ahead(rows, views), columns))
+            rows = []
+    if rows:
+        found = found.unionByName(catalog.mapInArrow(_ahead(rows, views), columns))
+    return found.groupBy("query_id").agg(*[(F.sum(c) + 1).alias(c) for c in names])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ranking
-from ..operators.retrieval import knn
+from ..operators.retrieval import full_ranks, knn
 from ..sources import read_table
 
 DEPTH = 25
@@ -49,11 +49,16 @@ def knn_topk(spark, sf_dir):
 KNN_TOPK = _SQL + " SELECT query_id, item_id, round(score, 6) AS score, pos::INTEGER AS rank FROM c WHERE pos <= 5"
 
 
-def _view_ranks(df: DataFrame) -> DataFrame:
-    """One row a query: ranks of the right answer in each view's order of the candidates."""
-    r = lambda v: F.row_number().over(ranking.by_score(v))
-    ranked = df.withColumn("r0", r("view0")).withColumn("r1", r("view1"))
-    return ranked.filter("pos = 1").select("query_id", F.col("item_id").alias("target"), "query_label", *[F.when(F.col(c) <= 10, F.col(c)).alias(c) for c in ("r0", "r1")])
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("vec_id") % 100 == 0)
+
+
+def _view_ranks(spark, sf_dir: str) -> DataFrame:
+    """One row a query: ranks of the right answer in each view's order of all items."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    best = _candidates(spark, sf_dir, 1).select("query_id", "item_id", "query_label", "score", "view0", "view1")
+    ranks = full_ranks(rows, _asked(rows), best.drop("query_label"), VIEWS)
+    return best.join(ranks, "query_id").select("query_id", F.col("item_id").alias("target"), "query_label", "r0", "r1")
 
 
 _RANKS = _SQL + """,
@@ -62,7 +67,7 @@ t AS (SELECT query_id, item_id AS target, query_label, CASE WHEN a <= 10 THEN a
 
 
 def retrieval_metrics(spark, sf_dir):
-    t = _view_ranks(_candidates(spark, sf_dir))
+    t = _view_ranks(spark, sf_dir)
     hit = lambda c, k: F.round(F.avg(F.when(F.col(c) <= k, 1.0).otherwise(0.0)), 9)
     return t.agg(F.count(F.lit(1)).alias("n"), hit("r0", 1).alias("top1"), hit("r0", 5).alias("recall_at_5"), F.round(F.avg(F.coalesce(1 / F.col("r0"), F.lit(0.0))), 9).alias("mrr"))
 
@@ -71,7 +76,7 @@ RETRIEVAL_METRICS = _RANKS + " SELECT count(*) AS n, round(avg(CASE WHEN r0 <= 1
 
 
 def rank_metrics(spark, sf_dir):
-    t = _view_ranks(_candidates(spark, sf_dir)).selectExpr("query_id", "stack(2, 'view0', r0, 'view1', r1) as (method, rank)")
+    t = _view_ranks(spark, sf_dir).selectExpr("query_id", "stack(2, 'view0', r0, 'view1', r1) as (method, rank)")
     return t.groupBy("method").agg(*metrics.rank_metrics(F.col("rank")))
 
 
@@ -82,7 +87,7 @@ FROM (SELECT query_id, 'view0' AS method, r0 AS rank FROM t UNION ALL SELECT que
 
 
 def rank_band_hist(spark, sf_dir):
-    t = _view_ranks(_candidates(spark, sf_dir)).groupBy(ranking.rank_band(F.col("r0")).alias("band")).agg(F.count(F.lit(1)).alias("c"))
+    t = _view_ranks(spark, sf_dir).groupBy(ranking.rank_band(F.col("r0")).alias("band")).agg(F.count(F.lit(1)).alias("c"))
     bands = spark.createDataFrame([(b,) for b in ranking.BANDS], "band string")
     return bands.join(t, "band", "left").select("band", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
 
@@ -199,7 +204,7 @@ GATE_CONFUSION = _GATE + " SELECT top1 - top2 < 0.05 AS fallback, correct, count
 
 
 def rank_transitions(spark, sf_dir):
-    return _view_ranks(_candidates(spark, sf_dir)).groupBy(ranking.rank_transition(F.col("r0"), F.col("r1")).alias("transition")).agg(F.count(F.lit(1)).alias("n"))
+    return _view_ranks(spark, sf_dir).groupBy(ranking.rank_transition(F.col("r0"), F.col("r1")).alias("transition")).agg(F.count(F.lit(1)).alias("n"))
 
 
 RANK_TRANSITIONS = _RANKS + " SELECT CASE WHEN r0 IS NULL AND r1 IS NULL THEN 'both_missing' WHEN r0 IS NULL THEN 'gained' WHEN r1 IS NULL THEN 'lost' WHEN r1 < r0 THEN 'improved' WHEN r1 > r0 THEN 'degraded' ELSE 'unchanged' END AS transition, count(*) AS n FROM t GROUP BY ALL"
@@ -208,7 +213,7 @@ RANK_TRANSITIONS = _RANKS + " SELECT CASE WHEN r0 IS NULL AND r1 IS NULL THEN 'b
 def topk_transitions(spark, sf_dir):
     one = ranking.top1_transition(F.col("r0") == 1, F.col("r1") == 1).alias("top1")
     five = ranking.top1_transition(F.col("r0") <= 5, F.col("r1") <= 5).alias("top5")
-    return _view_ranks(_candidates(spark, sf_dir)).groupBy(one, five).agg(F.count(F.lit(1)).alias("n"))
+    return _view_ranks(spark, sf_dir).groupBy(one, five).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _flip(k):
@@ -221,7 +226,7 @@ TOPK_TRANSITIONS = _RANKS + f" SELECT {_flip(1)} AS top1, {_flip(5)} AS top5, co
 
 def pairwise_oracle(spark, sf_dir):
     a, b = F.coalesce(F.col("r0") == 1, F.lit(False)), F.coalesce(F.col("r1") == 1, F.lit(False))
-    return _view_ranks(_candidates(spark, sf_dir)).agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"), F.round(F.avg((a | b).cast("double")), 9).alias("either_share"))
+    return _view_ranks(spark, sf_dir).agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"), F.round(F.avg((a | b).cast("double")), 9).alias("either_share"))
 
 
 PAIRWISE_ORACLE = _RANKS + ", o AS (SELECT coalesce(r0 = 1, false) AS a, coalesce(r1 = 1, false) AS b FROM t) SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS only_first, count(*) FILTER (WHERE b AND NOT a) AS only_second, round(avg((a OR b)::INTEGER), 9) AS either_share FROM o"
@@ -251,8 +256,11 @@ FAMILY_CONFUSIONS = _FAMILY + " SELECT query_label, item_label, count(*) AS n FR
 
 
 def hardest_negative_margin(spark, sf_dir):
-    same = F.col("item_label") == F.col("query_label")
-    c = _candidates(spark, sf_dir).groupBy("query_id").agg(F.max(F.when(same, F.col("score"))).alias("a"), F.max(F.when(~same, F.col("score"))).alias("b"))
+    """Best score in the query's family less the best outside it, over all items."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    best = lambda family, name: knn(rows, _asked(rows), 1, family=family).select("query_id", F.col("score").alias(name))
+    every = _candidates(spark, sf_dir, 1).select("query_id")
+    c = every.join(best(True, "a"), "query_id", "left").join(best(False, "b"), "query_id", "left")
     return c.select("query_id", F.round(F.col("a") - F.col("b"), 6).alias("margin"))
 
 
@@ -260,11 +268,11 @@ HARDEST_NEGATIVE_MARGIN = _SQL + " SELECT query_id, round(max(score) FILTER (WHE
 
 
 def hard_negatives(spark, sf_dir):
-    """Per query up to 4 of its family by score, filled to 8 with the nearest others of its candidates."""
-    same = F.col("item_label") == F.col("query_label")
-    tier = Window.partitionBy("query_id", same).orderBy("pos")
-    c = _candidates(spark, sf_dir).withColumn("t", F.when(same & (F.row_number().over(tier) <= 4), 0).when(~same & (F.col("pos") <= 20), 1))
-    c = c.filter("t is not null").withColumn("slot", F.row_number().over(Window.partitionBy("query_id").orderBy("t", "pos")))
+    """Per query the best 4 of its whole family by score, filled to 8 with those of the 20 nearest that are of other families."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    family = knn(rows, _asked(rows), 4, family=True).select("query_id", "item_id", F.lit(0).alias("t"), F.col("rank").alias("pos"))
+    others = _top(_candidates(spark, sf_dir), 20).filter(F.col("item_label") != F.col("query_label")).select("query_id", "item_id", F.lit(1).alias("t"), "pos")
+    c = family.unionByName(others).withColumn("slot", F.row_number().over(Window.partitionBy("query_id").orderBy("t", "pos")))
     return c.filter("slot <= 8").select("query_id", "item_id", F.when(F.col("t") == 0, "family").otherwise("visual").alias("tier"), "slot")
 
 

@@ -161,3 +161,26 @@ def test_taste_scores_every_part(spark, tmp_path):
     b1, b2, t1 = (10 + 6) / 6, (5 + 6) / 3, (15 + 6) / 7
     expected = {(7, 1): (b1 + t1) / 2, (7, 2): b1, (7, 3): (b2 + t1) / 2, (7, 10): b2, (7, 11): t1}
     assert {tuple(r)[:2]: r.taste for r in tables.taste_score(spark, str(tmp_path)).collect()} == {k: round(v, 6) for k, v in expected.items()}
+
+
+def test_ranks_and_families_reach_beyond_the_candidates(spark, tmp_path):
+    import numpy as np
+
+    from skarn.plans import retrieval
+
+    x = np.round(np.random.default_rng(3).normal(size=(400, 64)), 3)
+    rows = [(i, i % 8, x[i].tolist()) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    ranks, tiers, margins = {}, {}, {}
+    for q in range(0, 400, 100):
+        score, view = x @ x[q], [x[:, a:b] @ x[q, a:b] for a, b in retrieval.VIEWS]
+        order = sorted((i for i in range(400) if i != q), key=lambda i: -score[i])
+        ranks[q] = tuple(1 + sum(v[i] > v[order[0]] for i in order) for v in view)
+        own = [i for i in order if i % 8 == q % 8]
+        tiers[q] = (own[:4] + [i for i in order[:20] if i % 8 != q % 8])[:8]
+        margins[q] = round(score[own[0]] - next(score[i] for i in order if i % 8 != q % 8), 6)
+    assert max(r for pair in ranks.values() for r in pair) > 10
+    assert {r.query_id: (r.r0, r.r1) for r in retrieval._view_ranks(spark, str(tmp_path)).collect()} == ranks
+    got = retrieval.hard_negatives(spark, str(tmp_path)).orderBy("query_id", "slot").collect()
+    assert {q: [r.item_id for r in got if r.query_id == q] for q in tiers} == tiers
+    assert {r.query_id: r.margin for r in retrieval.hardest_negative_margin(spark, str(tmp_path)).collect()} == margins
