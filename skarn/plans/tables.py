@@ -158,10 +158,9 @@ SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, overlap DE
 
 
 def scenario_cross(spark, sf_dir):
-    """Every product of the smallest brand under every scenario: a product with a small fixed table."""
+    """Every product under every scenario: a product with a small fixed table."""
     scenarios = spark.createDataFrame([("front", 1), ("angle", 2), ("dark", 3), ("shelf", 4)], "scenario string, code int")
-    p = _t(spark, sf_dir, "part").filter("p_brand = 'Brand#11'")
-    return p.join(F.broadcast(scenarios)).select("p_partkey", "scenario", F.concat(F.substring(F.sha2("p_name", 256), 1, 10), F.lit("__"), "scenario").alias("generation_id"), T.derived_seed(F.col("p_partkey").cast("string"), F.col("scenario")).alias("seed"))
+    return _t(spark, sf_dir, "part").join(F.broadcast(scenarios)).select("p_partkey", "scenario", F.concat(F.substring(F.sha2("p_name", 256), 1, 10), F.lit("__"), "scenario").alias("generation_id"), T.derived_seed(F.col("p_partkey").cast("string"), F.col("scenario")).alias("seed"))
 
 
 SCENARIO_CROSS = "SELECT p_partkey, scenario, sha256(p_name)[1:10] || '__' || scenario AS generation_id, ('0x' || sha256(p_partkey::VARCHAR || chr(0) || scenario)[9:16])::BIGINT & 2147483647 AS seed FROM part, (SELECT unnest(['front', 'angle', 'dark', 'shelf']) AS scenario) WHERE p_brand = 'Brand#11'"

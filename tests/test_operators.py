@@ -184,3 +184,11 @@ def test_ranks_and_families_reach_beyond_the_candidates(spark, tmp_path):
     got = retrieval.hard_negatives(spark, str(tmp_path)).orderBy("query_id", "slot").collect()
     assert {q: [r.item_id for r in got if r.query_id == q] for q in tiers} == tiers
     assert {r.query_id: r.margin for r in retrieval.hardest_negative_margin(spark, str(tmp_path)).collect()} == margins
+
+
+def test_scenarios_of_every_part(spark, tmp_path):
+    from skarn.plans import tables
+
+    spark.createDataFrame([(1, "a", "Brand#11"), (2, "b", "Brand#14"), (3, "c", None)], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((r.p_partkey, r.scenario) for r in tables.scenario_cross(spark, str(tmp_path)).collect())
+    assert got == [(k, s) for k in (1, 2, 3) for s in ("angle", "dark", "front", "shelf")]
