@@ -19,6 +19,13 @@ _LOWER[65:91] += 32
 _VALUE_LOWER = _VALUE[_LOWER]
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+#: 1: ASCII letters and digits, 2: ASCII punctuation but for the apostrophe, 0: ASCII white space and control characters, 3: others.
+_SIDE = np.full(256, 3, dtype=np.uint8)
+_SIDE[:33], _SIDE[33:127], _SIDE[127] = 0, 2, 0
+_SIDE[48:58], _SIDE[65:91], _SIDE[97:123], _SIDE[39] = 1, 1, 1, 3
+#: The same in bits, with digits as others.
+_BITS = _SIDE + (_SIDE == 3)
+_BITS[48:58] = 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time; texts are never cut, a longer text makes a batch of its own.
@@ -54,27 +61,46 @@ class Words:
 
 def words(texts: pa.Array, lower: bool = True) -> Words:
     """Word hashes of a pyarrow string array; null texts have no words. ``lower``: A-Z as a-z."""
+    return _located(texts, lower, False)[1]
+
+
+def pieces(texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z as a-z, Words, first byte of each, its length, if it is plain).
+
+    Here, words also end between an ASCII letter or digit and ASCII punctuation
+    but for the apostrophe; plain ones are all ASCII letters or all such punctuation.
+    """
+    data, found, inside, at = _located(texts, True, True)
+    if not len(at):
+        return data, found, at, at, at == 0
+    kinds = np.bitwise_or.reduceat(_BITS[data], at)
+    return _LOWER[data], found, at, np.add.reduceat(inside, at, dtype=np.int64), (kinds == 1) | (kinds == 2)
+
+
+def _located(texts: pa.Array, lower: bool, split: bool) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
+    """(bytes, Words, which bytes belong to words, first byte of each word)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     first, last = int(offsets[0]), int(offsets[-1]) if n else 0
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[first:last]
     starts_of = (offsets - first).astype(np.int64)
-    if not len(data):
-        return Words(np.empty(0, np.uint64), np.zeros(n + 1, np.int64))
     inside = _IS_WORD[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if split:
+        kind = _SIDE[data]
+        begins[1:] |= kind[1:] * kind[:-1] == 2
     cut = starts_of[:-1][starts_of[:-1] < len(data)]
     begins[cut] = inside[cut]  # a word never goes on into the next text
     at = np.flatnonzero(begins)
     if not len(at):
-        return Words(np.empty(0, np.uint64), np.zeros(n + 1, np.int64))
+        return data, Words(np.empty(0, np.uint64), np.zeros(n + 1, np.int64)), inside, at
     value = np.where(inside, (_VALUE_LOWER if lower else _VALUE)[data], np.uint64(0))
     value *= _powers(_BASE, len(data))
     sums = np.add.reduceat(value, at)
     hashes = mix(sums * _powers(_INVERSE, len(data))[at])
-    return Words(hashes, np.searchsorted(at, starts_of))
+    return data, Words(hashes, np.searchsorted(at, starts_of)), inside, at
 
 
 def slices(texts: pa.Array, most: int = BATCH_BYTES):

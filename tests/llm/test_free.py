@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import random
 import re
 import zlib
@@ -247,8 +249,40 @@ def test_token_files_round_trip(spark):
 
 def test_perfect_hash_finds_every_key_and_no_other():
     keys = np.sort(np.random.default_rng(0).choice(10**9, 3000, replace=False))
-    index = token_files.Index(token_files.shard_bytes(keys.tolist(), [np.array([i], "<u2").tobytes() for i in range(len(keys))], 2))
-    assert all(list(index.find(int(k))) == [i] for i, k in enumerate(keys)) and not any(len(index.find(k)) for k in range(10**9, 10**9 + 300))
+    parts = token_files.shard_bytes(keys.tolist(), [np.array([i], "<u2").tobytes() for i in range(len(keys))], 2)
+    index = token_files.Index(pa.PythonFile(io.BytesIO(b"".join(parts))))
+    first, many = index.find(keys)
+    assert first.tolist() == list(range(len(keys))) and (many == 1).all() and all(index.ids(i).tolist() == [i] for i in (0, 1, len(keys) - 1))
+    assert not index.find(np.arange(10**9, 10**9 + 300))[1].any()
+
+
+def test_shards_are_cut_by_bytes_and_a_key_may_fill_several(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, "one two three")] * 50 + [(i, f"word {i}") for i in range(20)] + [(None, "x")] * 20 + [(8, "long " * 400)]
+    manifest = token_files.write_tokens(_docs(spark, rows), path, shards=3, most=64)
+    files = manifest.orderBy("shard", "part").collect()
+    assert len(files) > 5 and all(2 * f.ids <= 64 or f.documents == 1 for f in files) and sum(f.documents for f in files) == len(rows)
+    assert [f.before for f in files] == [sum(g.ids for g in files[:i]) for i in range(len(files))]
+    out = token_files.read_tokens(manifest).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out) == sorted((k is not None, k or 0) for k, _ in rows)
+    ends = sorted((r.start, r.start + r.n_tokens) for r in out)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))  # noqa: B905
+    assert len(token_files.lookup(manifest, [7]).collect()) == 51
+
+
+def test_words_encode_as_the_tokenizer_does():
+    import public_tokenizers
+
+    coder, _ = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert isinstance(coder, token_files.WordEncoder)
+    texts = ["don't 'strange' it's. a'.b x.'s ''' '", "asboó###, …, «a» ½ ²x m3j2v5 1,000.5 _a_b", "İI ß ΑΣ ﬁ é ́ a b a b 日本語 한글 ‍", "<|endoftext|> <|x A", None, "", " \n", "\x00 \x7f \x1f", "aa " * 500 + "q" * 3000]
+    texts += ["".join(c) for c in itertools.product("aé1.'’ ", repeat=4)]
+    for _ in range(2):  # the second time from the table
+        ids, counts = coder.encode(pa.array(texts, pa.large_string()))
+        stops = np.cumsum(counts)
+        assert all(ids[b - n : b].tolist() == coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t, b, n in zip(texts, stops, counts, strict=True))
 
 
 def _labelled(spark, toxic):
