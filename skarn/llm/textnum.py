@@ -19,9 +19,9 @@ _LOWER[65:91] += 32
 _VALUE_LOWER = _VALUE[_LOWER]
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
-#: 1: ASCII letters and digits, 2: ASCII punctuation but for the apostrophe, 0: ASCII white space and control characters, 3: others.
+#: 1: ASCII letters and digits, 2: ASCII punctuation but for the apostrophe, 0: separators, 3: others.
 _SIDE = np.full(256, 3, dtype=np.uint8)
-_SIDE[:33], _SIDE[33:127], _SIDE[127] = 0, 2, 0
+_SIDE[33:127], _SIDE[~_IS_WORD] = 2, 0
 _SIDE[48:58], _SIDE[65:91], _SIDE[97:123], _SIDE[39] = 1, 1, 1, 3
 #: The same in bits, with digits as others.
 _BITS = _SIDE + (_SIDE == 3)
