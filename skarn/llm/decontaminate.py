@@ -19,8 +19,8 @@ from .common import read_table, stored
 
 WIDTH, PERCENT = 5, 80
 SEED = 20260
-#: Largest tables that are broadcast; beyond these rows the join is shuffled.
-BROADCAST_SKETCH, BROADCAST_CANDIDATES = 400_000, 200_000
+#: Largest tables that are broadcast, in rows of a few numbers each; beyond these the join is shuffled.
+BROADCAST_SHINGLES, BROADCAST_CANDIDATES = 400_000, 200_000
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -49,7 +49,7 @@ def needed(n: Column, percent: int = PERCENT) -> Column:
 
 
 def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(item_id, size_class, least_doc, hash): the bottom-k sketch of each item, from (item_id, item_set)."""
+    """(size_class, least_doc, hash) of the bottom-k sketches of all items, each once, from a column item_set."""
     n = F.size("item_set")
     sized = items.filter(n > 0).withColumn("size_class", F.floor(F.log2(n.cast("double"))).cast("int"))
     lowest = F.call_function("shiftleft", F.lit(1), F.col("size_class"))
@@ -57,43 +57,51 @@ def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     keep = (top - needed(top, percent) + 1).cast("int")
     order = F.array_sort(F.transform("item_set", lambda h: F.struct(F.xxhash64(h, F.lit(SEED)).alias("rank"), h.alias("hash"))))
     least = needed(lowest, percent)
-    picked = sized.select("item_id", "size_class", least.alias("least_doc"), F.explode(F.slice(order, F.lit(1), keep)).alias("s"))
-    return picked.select("item_id", "size_class", "least_doc", F.col("s.hash").alias("hash"))
+    picked = sized.select("size_class", least.alias("least_doc"), F.explode(F.slice(order, F.lit(1), keep)).alias("s"))
+    # a document that one size class lets in need not be asked for the larger ones
+    return picked.groupBy(F.col("s.hash").alias("hash")).agg(F.min("size_class").alias("size_class"), F.min("least_doc").alias("least_doc"))
+
+
+def _probe(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, n, hash): every shingle of (doc_id, text_hash, __t), n being their number in the text."""
+    # explode() would make the optimizer test the array below, with its whole expression written out anew
+    return shingles(docs, "__t", "__s", width).select("doc_id", "text_hash", F.size("__s").alias("n"), F.explode_outer("__s").alias("hash"))
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, item_id, n_item, n_shared, containment) of every item that a document contains.
+    """(doc_id, text_hash, item_id, item_hash, n_item, n_shared, containment) of every item that a document contains.
 
     ``docs``: doc_id, text; ``items``: item_id, text; other columns are ignored.
-    Null and blank texts contain and match nothing. Items of fewer than ``width``
-    words match only documents that are the same word sequence. Rows with equal
-    doc_id and text count once; equal doc_id with different texts stay apart by
-    text_hash.
+    Null and blank texts contain and match nothing, null ids are ids as others.
+    Items of fewer than ``width`` words match only documents that are the same
+    word sequence. Rows with equal id and text count once, documents as items;
+    equal ids with different texts stay apart by text_hash and item_hash. Texts
+    of any length are read whole. Empty tables give an empty result.
+
+    The search gives the documents that can hold an item; what they share is then
+    counted from rows of (document, item, shingle), so that no row grows with a
+    document's text or with the items it holds.
     """
-    sets = shingles(items.select(F.col("item_id"), F.col("text").alias("__t")), "__t", "__s", width)
-    sets = stored(sets.select("item_id", F.array_sort(F.array_distinct("__s")).alias("item_set")).filter(F.size("item_set") > 0).distinct())
-    docs = docs.select("doc_id", F.col("text").alias("__t"), F.xxhash64("text").alias("text_hash"))
-    # explode() would make the optimizer test the array below, with its whole expression written out anew
-    probe = shingles(docs, "__t", "__s", width).select("doc_id", "text_hash", F.size("__s").alias("n"), F.explode_outer("__s").alias("hash"))
-    sketch = _hint(stored(item_sketches(sets, percent)), BROADCAST_SKETCH)
-    hits = probe.join(sketch, "hash").filter(F.col("n") >= F.col("least_doc"))
-    found = stored(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("items")))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.__id")) & (F.col("d.text_hash") == F.col("f.__hash"))
-    found = _hint(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "items"), BROADCAST_CANDIDATES)
-    full = docs.alias("d").join(found.alias("f"), same).select("d.doc_id", "d.text_hash", "d.__t", "f.items")
-    full = shingles(full, "__t", "__s", width).select("doc_id", "text_hash", F.array_distinct("__s").alias("doc_set"), F.explode("items").alias("item_id"))
-    both = full.join(_hint(sets, BROADCAST_SKETCH // 100), "item_id")
-    counted = both.select("doc_id", "text_hash", "item_id", F.size("item_set").cast("long").alias("n_item"), F.size(F.array_intersect("doc_set", "item_set")).cast("long").alias("n_shared"))
-    kept = counted.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent).distinct()
+    sets = shingles(items.select("item_id", F.xxhash64("text").alias("item_hash"), F.col("text").alias("__t")).distinct(), "__t", "__s", width)
+    sets = stored(sets.select("item_id", "item_hash", F.array_distinct("__s").alias("item_set")).filter(F.size("item_set") > 0))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("__t"))
+    sketch = _hint(stored(item_sketches(sets, percent)), BROADCAST_SHINGLES)
+    hits = _probe(docs, width).join(sketch, "hash").filter(F.col("n") >= F.col("least_doc"))
+    found = stored(hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    found = _hint(found, BROADCAST_CANDIDATES)
+    likely = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (docs["text_hash"] == found["__hash"]), "left_semi")
+    parts = _hint(stored(sets.select("item_id", "item_hash", F.size("item_set").cast("long").alias("n_item"), F.explode("item_set").alias("hash"))), BROADCAST_SHINGLES)
+    pair = ["doc_id", "text_hash", "item_id", "item_hash", "n_item"]
+    shared = _probe(likely, width).join(parts, "hash").select(*pair, "hash").distinct().groupBy(*pair).agg(F.count(F.lit(1)).alias("n_shared"))
+    kept = shared.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return kept.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``docs`` without those that contain an item; rows, columns and repeats of the others unchanged."""
+    """``docs`` without those that contain an item; rows, columns (whatever their names) and repeats of the others unchanged."""
     found = stored(contained(docs, items, percent, width).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     found = _hint(found, BROADCAST_CANDIDATES)
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    return marked.join(found, marked["doc_id"].eqNullSafe(found["__id"]) & (marked["__th"] == found["__hash"]), "left_anti").drop("__th")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -146,3 +146,13 @@ def test_contained_against_brute_force(spark):
     clean = decontaminate.decontaminate(_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(x.doc_id for x in clean.collect()) == sorted(d for d, _ in docs if d not in {e[0] for e in expected})
     assert decontaminate.contained(_docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_contained_keeps_items_without_id_and_of_one_id_apart(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, text, 0, "a"), (1, text, 0, "b"), (None, text, 1, "c"), (2, "other words " * 50_000, 2, "d"), (3, None, 3, "e")], "doc_id long, text string, __th int, __id string")
+    items = spark.createDataFrame([(None, text), (7, text), (7, text.upper() + " lambda"), (8, ""), (None, None)], "item_id long, text string")
+    got = sorted((x.doc_id or 0, x.item_id or 0, x.n_shared, x.n_item) for x in decontaminate.contained(docs, items).collect())
+    assert got == sorted((d, *i) for d in (0, 1) for i in ((0, 6, 6), (7, 6, 6), (7, 6, 7)))
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.columns == docs.columns and sorted(x.asDict()["__id"] for x in clean.collect()) == ["d", "e"]
