@@ -9,6 +9,7 @@ the same detectors find in the rewritten text is mapped back and added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +42,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "！-～٠-٩۰-۹०-९]")
-_OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_BRACKETED = re.compile(rf"{_OPEN}(?:(at|@)|(?:dot|\.|punto|point)){_SHUT}", re.I)
+# the blanks around are added by _bracketed, which walks over each of them once
+_BRACKETED = re.compile(r"[\[({<][ \t]*+(?:(at|@)|(?:dot|\.|punto|point))[ \t]*+[\])}>][ \t]*+", re.I)
 _NAME = r"[A-Za-z0-9-]+"
 #: Top-level domains that are everyday words; "at the dot in" is no address (fixed values).
 _EVERYDAY = "am|as|at|be|by|do|here|in|is|it|me|my|next|no|now|so|to|us"
@@ -50,7 +51,9 @@ _PART = r"[A-Za-z0-9_%+-]+"
 _SEP = r"(?:\.|[ \t]+dot[ \t]+)"
 # after a bare "at" the last part must be a top-level domain; after an @, also one written for a bracketed at, any will do
 _BARE = rf"(?P<at>[ \t]+at[ \t]+)(?!(?:the|a|an|this|that|each|every)[ \t]+dot[ \t]+(?:{_EVERYDAY})(?![A-Za-z0-9-])){_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+(?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9-])"
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_PART}(?:{_SEP}{_PART})*(?:{_BARE}|@{_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+{_NAME})", re.I)
+# chains of parts are taken whole, from left to right, and what must follow is tried at their ends only
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?>{_PART}(?:{_SEP}{_PART})*)", re.I)
+_AFTER = re.compile(rf"{_BARE}|@{_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+{_NAME}", re.I)
 _DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
 _WORD = "|".join(DIGITS)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ \t,-]+)?(?:(?:{_WORD})(?![A-Za-z])|[0-9])(?:[ \t,.-]*(?:(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])|[0-9]))+", re.I)
@@ -148,6 +151,30 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits for an at or a dot in brackets, with the blanks around."""
+    end = 0
+    for m in _BRACKETED.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in " \t":
+            start -= 1
+        end = m.end()
+        yield start, end, "@" if m[1] else "."
+
+
+def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits for the at and the dots of addresses written as words."""
+    at = 0
+    while chain := _CHAIN.search(text, at):
+        at = chain.end()
+        if after := _AFTER.match(text, at):
+            at = after.end()
+            own = [(x.start(), x.end(), ".") for x in _DOT.finditer(text, chain.start(), at)]
+            if after["at"]:
+                own.append((*after.span("at"), "@"))
+            yield from sorted(own)
+
+
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, stop), in source characters, of what only shows in the rewritten text."""
     r = Rewriting(text)
@@ -155,15 +182,9 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
         r.replace([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
     low = r.text.lower()
     if any(x in low for x in ("at]", "at)", "at}", "at>", "@)", "@]", "dot", "[.]", "(.)", "point", "punto")) or "at " in low and any(x in low for x in ("(", "[", "{")):
-        r.replace([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(r.text)])
-        if "dot" in low:
-            edits = []
-            for m in _SPOKEN.finditer(r.text):
-                own = [(x.start(), x.end(), ".") for x in _DOT.finditer(r.text, m.start(), m.end())]
-                if m["at"]:
-                    own.append((*m.span("at"), "@"))
-                edits += sorted(own)
-            r.replace(edits)
+        r.replace(list(_bracketed(r.text)))
+        if " dot" in low or "\tdot" in low:
+            r.replace(list(_spoken(r.text)))
     if any(w in low for w in _TELLING):
         r.replace([e for m in _SPELLED.finditer(r.text) for e in _digits(m)])
     if r.text == text:
@@ -174,7 +195,13 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 def spans_of(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans by kind and start; a disguised one is left out where a plain one of its kind covers it wholly."""
     base = detect(text)
-    more = [(k, a, b) for k, a, b in disguised(text) if not any(k == x and y <= a and b <= z for x, y, z in base)]
+    starts, stops = ({k: [s[i] for s in base if s[0] == k] for k in KINDS} for i in (1, 2))
+
+    def covered(kind: str, a: int, b: int) -> bool:
+        at = bisect_right(starts[kind], a) - 1  # plain spans of a kind don't overlap
+        return at >= 0 and b <= stops[kind][at]
+
+    more = [s for s in disguised(text) if not covered(*s)]
     return sorted([(*s, False) for s in base] + [(*s, True) for s in more], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
