@@ -19,12 +19,14 @@ from itertools import cycle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, read_table, stored
+from .common import SPACE, free_name, read_table, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
 HASH_BITS = 12
 SEED = 20267
+#: Name of the column that numbers rows.
+ROW = "__row"
 #: Rows of the solved plan that are broadcast at most.
 BROADCAST_CELLS = 100_000
 
@@ -131,14 +133,20 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
 
     ``docs``: doc_id, text, source; other columns are ignored. Null and blank
     texts have size 0 and are never taken. Sources are ordered by code point,
-    the null source last. Rows stay apart even if all their columns are equal.
-    An empty table gives an empty result. Every pattern has its node; only sums
-    for each source and each (pattern, source) cell come to the driver.
+    the null source last. Rows stay apart even if all their columns are equal,
+    and no row is taken more than ``most`` times. An empty table gives an empty
+    result. Every pattern has its node; only sums for each source and each
+    (pattern, source) cell come to the driver.
     """
+    return _planned(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, most, seed).drop(ROW)
+
+
+def _planned(docs: DataFrame, weights, most: int, seed: int) -> DataFrame:
+    """``mixed`` with the column ROW, a number that each row of ``docs`` must have of its own."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     words = F.size(F.array_remove(F.split(text, SPACE), ""))
-    rows = stored(docs.select("doc_id", F.col("source").cast("string"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(seed), text).alias("h2"), words.cast("long").alias("size")))
+    rows = stored(docs.select(ROW, "doc_id", F.col("source").cast("string"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(seed), text).alias("h2"), words.cast("long").alias("size")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sums = sorted(sums, key=lambda r: (r.source is None, r.source or ""))
     aims = targets([r.n for r in sums], weights, most)
@@ -146,11 +154,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
     known = F.broadcast(known) if len(sums) <= BROADCAST_CELLS else known
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
-    held = rows.filter("size > 0").groupBy("h1", "h2").agg(F.array_join(F.array_sort(F.collect_set("sid")), ",").alias("pattern"), F.max("size").alias("__n"))
+    full = rows.filter("size > 0")
+    held = full.groupBy("h1", "h2").agg(F.array_join(F.array_sort(F.collect_set("sid")), ",").alias("pattern"), F.max("size").alias("__n"))
     sized = held.groupBy("pattern").agg(F.sum("__n").alias("n"))
     held = held.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "pattern")
-    rows = stored(rows.join(held, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left").drop("__h1", "__h2"))
-    rows = rows.fillna("", ["pattern"])  # null and blank texts
+    full = full.join(held, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).drop("__h1", "__h2")
+    rows = stored(full.unionByName(rows.filter("size = 0").withColumn("pattern", F.lit(""))))
 
     cells = [(r.pattern, r.sid, r.n) for r in rows.groupBy("pattern", "sid").agg(F.sum("size").alias("n")).collect()]
     size_of = {(p, s): n for p, s, n in cells}
@@ -163,7 +172,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
 
     draw = F.xxhash64(F.lit(seed), "doc_id", "h1")
     rows = rows.withColumn("__u", draw).withColumn("__b", F.shiftrightunsigned("__u", 64 - HASH_BITS))
-    inside = Window.partitionBy("pattern", "sid", "__b").orderBy("__u", "doc_id", "h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("pattern", "sid", "__b").orderBy("__u", "doc_id", "h1", ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("pattern", "sid").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("pattern", "sid", "__b").agg(F.sum("size").alias("__n"))
     buckets = buckets.select("pattern", "sid", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
@@ -171,13 +180,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
     whole = (F.col("rest") > 0) & (F.col("__before") + F.col("__upto") <= F.col("rest"))
     rows = stored(rows.withColumn("taken", F.col("size") * (F.col("passes") + F.when(whole, 1).otherwise(0))))
     more = _filled(rows, aims, most)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h1") == F.col("__h")) & (F.col("sid") == F.col("__s"))
-    taken = F.when(F.col("__s").isNotNull(), F.col("size") + F.col("taken")).otherwise(F.col("taken"))
-    return rows.join(more, same, "left").select("doc_id", "source", "h1", "h2", "size", "source_size", "target", taken.alias("taken"))
+    taken = F.when(F.col("__more").isNotNull(), F.col("size") + F.col("taken")).otherwise(F.col("taken"))
+    return rows.join(more, F.col(ROW) == F.col("__more"), "left").select(ROW, "doc_id", "source", "h1", "h2", "size", "source_size", "target", taken.alias("taken"))
 
 
 def _filled(rows: DataFrame, aims: list[float], most: int) -> DataFrame:
-    """Documents to take once more, so that each source comes as near its target as whole documents allow.
+    """(__more): numbers of rows to take once more, so that each source comes as near its target as whole documents allow.
 
     Whole documents leave each cell short by less than one of them. One
     document of each size class (4 to an octave) of a source is at hand; the
@@ -188,30 +196,37 @@ def _filled(rows: DataFrame, aims: list[float], most: int) -> DataFrame:
         left[r.sid] -= r.n
     kind = F.floor(F.log2("size") * 4)
     at_hand = rows.filter((F.col("size") > 0) & (F.col("taken") < F.col("size") * most))
-    at_hand = at_hand.groupBy("sid", kind.alias("kind")).agg(F.min(F.struct("__u", "doc_id", "h1", "size")).alias("d")).collect()
+    at_hand = at_hand.groupBy("sid", kind.alias("kind")).agg(F.min(F.struct("__u", "doc_id", "h1", "size", ROW)).alias("d")).collect()
     more = []
     for r in sorted(at_hand, key=lambda r: (r.sid, -r.d.size, r.d["__u"])):
         if 2 * left[r.sid] > r.d.size:
             left[r.sid] -= r.d.size
-            more.append((r.d.doc_id, r.d.h1, r.sid))
-    return F.broadcast(rows.sparkSession.createDataFrame(more, "__id long, __h long, __s int"))
+            more.append((r.d[ROW],))
+    found = rows.sparkSession.createDataFrame(more, "__more long")
+    return F.broadcast(found) if len(more) <= BROADCAST_CELLS else found
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: a row once for each time it is taken, none if never.
 
-    Rows equal in doc_id, text and source share what they are given: one of them is written as often as all are taken.
+    Rows are told apart by doc_id, text and source; where some are equal in all
+    three, every row is first written with a number, so that each keeps its other
+    columns, whatever their names.
     """
     key = ["doc_id", "h1", "source"]
-    plan = mixed(docs, weights, most, seed).filter("taken > 0").groupBy(*key).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__times"), F.count(F.lit(1)).alias("__rows"))
-    plan = stored(plan)
-    doubled = plan.filter("__rows > 1").limit(1).count()
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h"), F.col("source").alias("__s"), "__times")
-    rows = docs.withColumn("__h1", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.dropDuplicates(["doc_id", "__h1", "source"]) if doubled else rows
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__h")) & F.col("source").cast("string").eqNullSafe(F.col("__s"))
-    times = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return rows.join(plan, same).select(*docs.columns, times.alias("__time")).drop("__time")
+    plan = stored(mixed(docs, weights, most, seed).filter("size > 0").select(*key, F.expr("taken div size").cast("int").alias("__times")))
+    if plan.groupBy(*key).count().filter("count > 1").limit(1).count():
+        row = free_name(docs, ROW)
+        numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+        narrow = numbered.select(F.col(row).alias(ROW), "doc_id", "text", "source")
+        plan = stored(_planned(narrow, weights, most, seed).filter("taken > 0").select(F.col(ROW).alias("__id"), F.expr("taken div size").cast("int").alias("__times")))
+        same = numbered[row] == plan["__id"]
+    else:
+        numbered = docs
+        plan = plan.filter("__times > 0").select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h"), F.col("source").alias("__s"), "__times")
+        same = docs["doc_id"].eqNullSafe(plan["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == plan["__h"]) & docs["source"].cast("string").eqNullSafe(plan["__s"])
+    times = F.explode(F.sequence(F.lit(1), plan["__times"]))
+    return numbered.join(plan, same).select(*[numbered[c] for c in docs.columns], times.alias(free_name(docs, "__time"))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

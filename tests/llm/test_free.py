@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +174,13 @@ def test_spoken_addresses_after_a_sure_at_have_any_ending_and_prose_none():
         assert pii.spans_of(text) == []
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "x dot ", "x at ", "( ", "at (", "1 ", "one ", "a.", "a@", "+1(", "[dot", "jo at x dot ", "a@b.co ", "jo at ex dot com "])
+def test_a_megabyte_of_anything_takes_seconds(unit):
+    began = time.process_time()
+    pii.spans_of("point dot at " + unit * ((1 << 20) // len(unit)))
+    assert time.process_time() - began < 30
+
+
 def test_redaction_leaves_no_tail_of_overlapping_spans(monkeypatch):
     monkeypatch.setattr(pii, "spans_of", lambda text: [("email", 2, 6, False), ("email", 4, 9, True)])
     assert pii.redact("0123456789") == "01[email]9"
@@ -212,6 +221,40 @@ def test_mix_meets_targets_and_repeats_rows(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def _cost(flows, distinct):
+    """Cost of words of each pattern: pass 1 costs nothing, each later level of passes (2, 3 and 4, 5 to 8, ...) one more."""
+    return sum(sum(max(0, -(-(w + 1) // distinct[p]) - 1).bit_length() for w in range(n)) for p, n in flows.items())
+
+
+def test_flow_is_the_cheapest_of_the_greatest():
+    r = random.Random(7)
+    for _ in range(30):
+        sizes = {("0", 0): r.randint(1, 3), ("1", 1): r.randint(1, 3), ("0,1", 0): r.randint(1, 2), ("0,1", 1): r.randint(1, 2)}
+        distinct = {"0": r.randint(1, sizes["0", 0]), "1": r.randint(1, sizes["1", 1]), "0,1": 1}
+        quotas = [r.randint(1, 7), r.randint(1, 7)]
+        best = None
+        for taken in itertools.product(*(range(3 * n + 1) for n in sizes.values())):
+            own = dict(zip(sizes, taken, strict=True))
+            if all(sum(n for (_, s), n in own.items() if s == q) <= quotas[q] for q in (0, 1)):
+                by = {p: sum(n for (x, _), n in own.items() if x == p) for p in distinct}
+                best = min(best or (0, 0), (-sum(taken), _cost(by, distinct)))
+        got = mixing.solve([(p, s, n) for (p, s), n in sizes.items()], distinct, quotas)
+        by = {p: sum(n for (x, _), n in got.items() if x == p) for p in distinct}
+        assert (-sum(got.values()), _cost(by, distinct)) == best
+
+
+def test_mix_holds_its_bound_with_repeated_rows(spark):
+    rows = [(1, "w " * 10, "a", 1)] * 2 + [(2, "w " * 7, "a", 2)] + [(3, "v " * 20, "b", 3)] * 3 + [(None, "u " * 5, None, 4), (4, None, "a", 5), (4, "", "a", 6)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, __times int, __row int")
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows) and all(x.taken <= 3 * x.size for x in got)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    times = Counter(x["__row"] for x in out.collect())
+    assert max(times.values()) <= 3 and sum(times[i] * len((r[1] or "").split()) for i, r in enumerate(rows)) == sum(x.taken for x in got)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_every_pattern_has_its_flow(spark):
     # 2,100 patterns of 12 sources; all quotas are met by two passes over each distinct text
     r = random.Random(5)
