@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +27,52 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a temporary one only where none is named."""
+    """A new folder below the shared one that the cluster names; a temporary one only where none is named and all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="skarn-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/skarn-{uuid.uuid4().hex}"
 
 
+#: Folders written by ``stored`` in each open ``scratch``, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
+    for scope in _scopes.get()[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, what ``stored`` wrote inside; gives a function that stores a table which outlives it."""
+    outer, own = _scopes.get(), []
+    before = _scopes.set((*outer, own))
+
+    def keep(df: DataFrame) -> DataFrame:
+        inside = _scopes.set(outer)
+        try:
+            return stored(df)
+        finally:
+            _scopes.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(before)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in own:
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Fewer rows in an Arrow batch than Spark's 10,000, for whole texts; a setting of the user's own stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 
 def _follow(parents: DataFrame) -> DataFrame:
@@ -29,20 +29,21 @@ def renamed(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of the component, for every node that isn't the smallest itself.
+    """(node, label): the smallest node of the component, for every node that isn't the smallest itself; stored.
 
     ``edges``: u, v of one integer type; loops, repeats and both directions are
     fine, rows with a null are ignored. Each round hangs every node on its
     smallest neighbour, follows the parents to their roots and contracts the
     edges, so rounds grow with the logarithm of the nodes. Nothing is collected.
     """
-    left = edges.filter("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
-    left, labels = stored(left), None
-    while left.limit(1).count():
-        roots = _follow(left.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent"))
-        roots = roots.select("node", F.col("parent").alias("label"))
-        labels = roots if labels is None else renamed(labels, "label", roots).unionByName(roots.join(labels, "node", "left_anti"))
-        labels = stored(labels)
-        ends = renamed(renamed(left, "hi", roots), "lo", roots).filter("hi <> lo")
-        left = stored(ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
-    return labels if labels is not None else left.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
+    with scratch(edges.sparkSession) as keep:
+        left = edges.filter("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
+        left, labels = stored(left), None
+        while left.limit(1).count():
+            roots = _follow(left.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent"))
+            roots = roots.select("node", F.col("parent").alias("label"))
+            labels = roots if labels is None else renamed(labels, "label", roots).unionByName(roots.join(labels, "node", "left_anti"))
+            labels = stored(labels)
+            ends = renamed(renamed(left, "hi", roots), "lo", roots).filter("hi <> lo")
+            left = stored(ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
+        return keep(labels if labels is not None else left.select(F.col("hi").alias("node"), F.col("lo").alias("label")))

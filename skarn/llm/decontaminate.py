@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, scratch, stored
 
 WIDTH, PERCENT = 5, 80
 SEED = 20260
@@ -99,7 +99,8 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width:
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``docs`` without those that contain an item; rows, columns (whatever their names) and repeats of the others unchanged."""
-    found = stored(contained(docs, items, percent, width).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    with scratch(docs.sparkSession) as keep:
+        found = keep(contained(docs, items, percent, width).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     found = _hint(found, BROADCAST_CANDIDATES)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left_anti")
 

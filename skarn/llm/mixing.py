@@ -19,7 +19,7 @@ from itertools import cycle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, read_table, stored
+from .common import SPACE, free_name, read_table, scratch, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
@@ -138,10 +138,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
     result. Every pattern has its node; only sums for each source and each
     (pattern, source) cell come to the driver.
     """
-    return _planned(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, most, seed).drop(ROW)
+    with scratch(docs.sparkSession) as keep:
+        return _planned(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, most, seed, keep).drop(ROW)
 
 
-def _planned(docs: DataFrame, weights, most: int, seed: int) -> DataFrame:
+def _planned(docs: DataFrame, weights, most: int, seed: int, keep) -> DataFrame:
     """``mixed`` with the column ROW, a number that each row of ``docs`` must have of its own."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -178,7 +179,7 @@ def _planned(docs: DataFrame, weights, most: int, seed: int) -> DataFrame:
     buckets = buckets.select("pattern", "sid", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     rows = rows.withColumn("__upto", F.sum("size").over(inside)).join(buckets, ["pattern", "sid", "__b"])
     whole = (F.col("rest") > 0) & (F.col("__before") + F.col("__upto") <= F.col("rest"))
-    rows = stored(rows.withColumn("taken", F.col("size") * (F.col("passes") + F.when(whole, 1).otherwise(0))))
+    rows = keep(rows.withColumn("taken", F.col("size") * (F.col("passes") + F.when(whole, 1).otherwise(0))))
     more = _filled(rows, aims, most)
     taken = F.when(F.col("__more").isNotNull(), F.col("size") + F.col("taken")).otherwise(F.col("taken"))
     return rows.join(more, F.col(ROW) == F.col("__more"), "left").select(ROW, "doc_id", "source", "h1", "h2", "size", "source_size", "target", taken.alias("taken"))
@@ -214,12 +215,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = S
     columns, whatever their names.
     """
     key = ["doc_id", "h1", "source"]
-    plan = stored(mixed(docs, weights, most, seed).filter("size > 0").select(*key, F.expr("taken div size").cast("int").alias("__times")))
+    with scratch(docs.sparkSession) as keep:
+        plan = keep(mixed(docs, weights, most, seed).filter("size > 0").select(*key, F.expr("taken div size").cast("int").alias("__times")))
     if plan.groupBy(*key).count().filter("count > 1").limit(1).count():
         row = free_name(docs, ROW)
         numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
         narrow = numbered.select(F.col(row).alias(ROW), "doc_id", "text", "source")
-        plan = stored(_planned(narrow, weights, most, seed).filter("taken > 0").select(F.col(ROW).alias("__id"), F.expr("taken div size").cast("int").alias("__times")))
+        with scratch(docs.sparkSession) as keep:
+            plan = keep(_planned(narrow, weights, most, seed, stored).filter("taken > 0").select(F.col(ROW).alias("__id"), F.expr("taken div size").cast("int").alias("__times")))
         same = numbered[row] == plan["__id"]
     else:
         numbered = docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import bounded_batches, read_table, stored
+from .common import bounded_batches, free_name, read_table, scratch, stored
 from .components import components, renamed
 
 #: Minhashes of a half key, half keys of a collection.
@@ -217,7 +217,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_judged(docs.select(F.col("doc_id").cast("long"), "text"), width, percent))
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = stored(docs.mapInArrow(signer(width), SIGNATURES))
     known = signed.filter("n > 0 and doc_id is not null")
     classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
@@ -265,19 +269,20 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
     doc_id and text one stays; rows without doc_id all stay.
     """
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        judged = stored(near_duplicates(docs, width, percent).filter("kept is false").select(F.col("doc_id").alias("__id")))
-        return docs.join(judged, docs["doc_id"] == judged["__id"], "left_anti")
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    named = marked.filter("doc_id is not null")
-    # numbers in the order of doc_id stand for the texts
-    texts = named.select("doc_id", "__th", "text").dropDuplicates(["doc_id", "__th"])
-    texts = stored(texts.orderBy("doc_id", "__th").withColumn("__node", F.monotonically_increasing_id()))
-    out = near_duplicates(texts.select(F.col("__node").alias("doc_id"), "text"), width, percent).filter("kept is false")
-    judged = texts.join(out.select(F.col("doc_id").alias("__node")), "__node").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__hash"))
-    judged = stored(judged)
-    kept = named.join(judged, (named["doc_id"] == judged["__id"]) & (named["__th"] == judged["__hash"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "__th"]).unionByName(marked.filter("doc_id is null")).drop("__th")
+    with scratch(docs.sparkSession) as keep:
+        if not repeated:
+            judged = keep(near_duplicates(docs, width, percent).filter("kept is false").select(F.col("doc_id").alias("__id")))
+            return docs.join(judged, docs["doc_id"] == judged["__id"], "left_anti")
+        hash_, node = free_name(docs, "__th"), "__node"
+        marked = docs.withColumn(hash_, F.xxhash64("text"))
+        named = marked.filter("doc_id is not null")
+        # numbers in the order of doc_id stand for the texts
+        texts = named.select("doc_id", F.col(hash_).alias("__hash"), "text").dropDuplicates(["doc_id", "__hash"])
+        texts = stored(texts.orderBy("doc_id", "__hash").withColumn(node, F.monotonically_increasing_id()))
+        out = near_duplicates(texts.select(F.col(node).alias("doc_id"), "text"), width, percent).filter("kept is false")
+        judged = keep(texts.join(out.select(F.col("doc_id").alias(node)), node).select(F.col("doc_id").alias("__id"), "__hash"))
+        kept = named.join(judged, (named["doc_id"] == judged["__id"]) & (named[hash_] == judged["__hash"]), "left_anti")
+        return kept.dropDuplicates(["doc_id", hash_]).unionByName(marked.filter("doc_id is null")).drop(hash_)
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -170,23 +170,22 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Qua
     return _fit(x, np.array([r[1] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=bool), vectors)
 
 
-def score(docs: DataFrame, model, column: str = "text") -> DataFrame:
-    """``docs`` with a score added by ``model.score``; no shuffle, whole texts, other columns kept.
+def score(docs: DataFrame, model, column: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with a last column ``into``, given by ``model.score``; no shuffle, whole texts, other columns and repeated rows kept.
 
     Null and empty texts get the score of a text without words. A column named
-    score is refused.
+    ``into`` that is there already is replaced.
     """
-    if "score" in docs.columns:
-        raise ValueError("column score is there already")
+    docs = docs.drop(into)
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textnum.slices(batch.column(at)):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at)).astype(np.float64))], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at)).astype(np.float64))], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token ids in binary shard files with a minimal perfect hash index.
 
-Texts are tokenised first and the ids stored, so that only ids are sorted and
-shuffled. Rows are dealt to tasks by ranges of doc_id and sorted within; a task
-starts a new file whenever its payload reaches a bound. Each shard is one file::
+Ranges of doc_id are found from the keys alone. Texts are then tokenised before
+the one shuffle, which sends ids, not texts, to the shard of their range, where
+they are sorted; a shard starts a new file whenever its payload reaches a bound::
 
     header   9 int64: magic, version, id width in bytes, documents, distinct keys,
              ids, levels of the index, bytes of its bit vectors, place of the ids
@@ -24,6 +24,7 @@ from __future__ import annotations
 import string
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import bounded_batches, read_table, shared_dir, stored
+from .common import bounded_batches, read_table, scratch, shared_dir, stored
 from .textnum import mix
 
 MAGIC, VERSION = 0x534B41524E494458, 2
@@ -202,13 +203,29 @@ def encoder(path: str):
     return (WordEncoder if WordEncoder.safe(tokenizer) else WholeEncoder)(tokenizer, dtype), dtype
 
 
-def tokenised(tokenizer: str, end_id: int):
-    """Function for mapInArrow: (doc_id, lead, tie, text) to (doc_id, lead, tie, size, ids as bytes, the end id last)."""
+def _order(doc_id: int | None, lead: str | None, tie: int) -> tuple:
+    """Place of a row among all: nulls first, texts by UTF-8 bytes, as Spark orders them."""
+    return (doc_id is not None, doc_id or 0, lead is not None, (lead or "").encode("utf-8"), tie)
+
+
+def tokenised(tokenizer: str, end_id: int, firsts: list[tuple]):
+    """Function for mapInArrow: (doc_id, lead, tie, text) to (shard, doc_id, lead, tie, ids as bytes, the end id last).
+
+    ``firsts``: the first row of each shard, in order. A row that starts several
+    shards, because its like are many, goes to one of them in turn.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, dtype = encoder(tokenizer)
+        turn = 0
         for batch in batches:
             texts = batch.column(3).cast(pa.large_string())
+            keys = [_order(*k) for k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            shards = []
+            for key in keys:
+                low, high = max(bisect_left(firsts, key) - 1, 0), max(bisect_right(firsts, key) - 1, 0)
+                shards.append(low + turn % (high - low + 1))
+                turn += 1
             for i, j in textnum.slices(texts, TOGETHER):
                 ids, counts = coder.encode(texts.slice(i, j - i))
                 stops = np.cumsum(counts)
@@ -216,7 +233,7 @@ def tokenised(tokenizer: str, end_id: int):
                 offsets = np.concatenate([[0], (stops + np.arange(1, j - i + 1)) * dtype.itemsize])
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(np.diff(offsets)), column], ["doc_id", "lead", "tie", "size", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards[i:j], pa.int32()), *own.columns[:3], column], ["shard", "doc_id", "lead", "tie", "ids"])
 
     return encode
 
@@ -383,17 +400,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or shared_dir(spark)
+    with scratch(spark) as keep:
+        manifest = stored(_written(docs, tokenizer, folder, end_id, shards, most))
+        earlier = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard file
+        return keep(manifest.withColumn("before", F.coalesce(F.sum("ids").over(earlier), F.lit(0).cast("long"))))
+
+
+def _written(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shards: int | None, most: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.substring("text", 1, 16).alias("lead"), F.xxhash64("text").alias("tie"), "text")
-    rows = stored(rows.mapInArrow(tokenised(tokenizer, end_id), "doc_id long, lead string, tie long, size long, ids binary"))
-    size = rows.agg(F.sum("size")).first()[0] or 0
-    shards = shards or min(MOST_TASKS, max(1, -(-size // most)))
+    keys = stored(rows.select("doc_id", "lead", "tie", F.octet_length("text").alias("size")))
+    shards = shards or min(MOST_TASKS, max(1, -(-(keys.agg(F.sum("size").cast("long")).first()[0] or 0) // most)))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("lead"), F.asc("tie")]
-    # the last key only spreads equal rows over tasks
-    ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order, "row").sortWithinPartitions(*order, "row")
-    placed = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
-    manifest = stored(placed.mapInArrow(writer(folder, encoder(tokenizer)[1].itemsize, most), MANIFEST))
-    earlier = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard file
-    return stored(manifest.withColumn("before", F.coalesce(F.sum("ids").over(earlier), F.lit(0).cast("long"))))
+    # the last key only spreads equal rows over shards
+    dealt = keys.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order, "row")
+    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "lead", "tie")).alias("k")).collect() if shards > 1 else []  # one row a shard
+    firsts = sorted(_order(*r.k) for r in firsts) or [()]
+    encoded = rows.mapInArrow(tokenised(tokenizer, end_id, firsts), "shard int, doc_id long, lead string, tie long, ids binary")
+    placed = encoded.repartitionById(len(firsts), "shard").sortWithinPartitions("shard", *order).select("shard", "doc_id", "ids")
+    return placed.mapInArrow(writer(folder, encoder(tokenizer)[1].itemsize, most), MANIFEST)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

@@ -354,8 +354,8 @@ def test_classifiers_on_held_out_rows(spark, module, label):
     assert right >= 0.97 * len(held) and all(0 <= s <= 1 for s in scores.values()) and scores[900] == scores[901]
     none = module.train(docs, labels.limit(0))
     assert len({r.score for r in quality_model.score(docs.limit(0), none).collect()}) == 0
-    with pytest.raises(ValueError):
-        quality_model.score(docs.withColumn("score", F.lit(0)), model)
+    again = quality_model.score(docs.withColumn("score", F.lit("x")).withColumn("extra", F.lit(1)), model)
+    assert again.columns == ["doc_id", "text", "extra", "score"] and {r.doc_id: r.score for r in again.collect()} == scores
 
 
 def test_pipeline_stages_on_the_smallest_tables(spark):
@@ -371,3 +371,41 @@ def test_pipeline_stages_on_the_smallest_tables(spark):
     assert 0 < len(out) and {r.doc_id for r in out} <= {r.doc_id for r in docs.collect()}
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))  # noqa: B905
+
+
+def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns named like the operators' own pass every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import shutil
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    odd = [(None, "no id here " * 30, None), (90001, None, "a"), (90002, "", "a"), (90003, " \n ", None), (90004, "long text " * 100_000, "b"), (None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame([*odd, odd[0], odd[4]], docs.schema))
+    for name in ("score", "__score", "__th", "__row", "__time", "__times", "__id", "h1", "size"):
+        docs = docs.withColumn(name, F.lit("own"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.filter("`__th` <> 'own' or `__row` <> 'own' or score <> 'own'").count() == 0
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_scratch_deletes_what_it_should(spark):
+    from pathlib import Path
+
+    from skarn.llm.common import scratch, stored
+
+    place = lambda df: Path(df.inputFiles()[0].removeprefix("file:")).parent
+    with scratch(spark) as keep:
+        a = stored(spark.range(3))
+        with scratch(spark) as inner:
+            b, c = stored(a), inner(a)
+        assert not place_exists(b, spark) and c.count() == 3
+        d = keep(c)
+    assert d.count() == 3 and place(d).exists()
+
+
+def place_exists(df, spark) -> bool:
+    return any(__import__("os").path.exists(f.removeprefix("file:").removeprefix("//")) for f in df.inputFiles())
