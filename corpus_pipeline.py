@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skarn.llm import decontaminate, mixing, near_dedup, quality_model, token_files
-from skarn.llm.common import read_table, stored
+from skarn.llm.common import free_name, read_table, scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents' labels, scores 0.5 or more."""
-    model = quality_model.train(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model).filter("score >= 0.5").select(*docs.columns)
+    with scratch(spark):
+        model = quality_model.train(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    score = free_name(docs, "__score")
+    return quality_model.score(docs, model, into=score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
