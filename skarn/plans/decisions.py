@@ -86,7 +86,7 @@ def gated_retrieval(spark, sf_dir):
     sure = ranking.confidence_features(c).select("query_id", (F.col("margin12") >= 0.05).alias("sure"))
     rows = c.join(sure, "query_id").withColumn("s", F.when(F.col("sure"), F.col("score")).otherwise(F.round((F.col("view0") + F.col("view1")) / 2, 9)))
     first = rows.withColumn("r", F.row_number().over(ranking.by_score("s"))).filter("r = 1")
-    return first.select("query_id", "item_id", F.when(F.col("sure"), "first_pass").otherwise("second_pass").alias("path"), F.when(F.col("s") < 0.2, "unknown").otherwise("known").alias("decision"))
+    return first.select("query_id", "item_id", F.when(F.col("sure"), "first_pass").otherwise("second_pass").alias("path"), F.when(F.col("s").isNull() | (F.col("s") < 0.2), "unknown").otherwise("known").alias("decision"))
 
 
 GATED_RETRIEVAL = _SQL + """, g AS (SELECT query_id, max(score) FILTER (WHERE pos = 1) - max(score) FILTER (WHERE pos = 2) >= 0.05 AS sure FROM c GROUP BY 1),
@@ -95,13 +95,13 @@ SELECT query_id, item_id, CASE WHEN sure THEN 'first_pass' ELSE 'second_pass' EN
 
 
 def view_manifest(spark, sf_dir):
-    """Five seeded views of each part of a brand, with a bucket."""
-    p = read_table(spark, sf_dir, "part").filter("p_brand = 'Brand#12'").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("view"))
+    """Five seeded views of each part, with a bucket."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("view"))
     seed = T.derived_seed(F.lit("train"), F.col("p_partkey").cast("string"), F.col("view").cast("string"))
     return p.withColumn("seed", seed).withColumn("bucket", (F.col("seed") % 5).cast("int"))
 
 
-VIEW_MANIFEST = "SELECT *, (seed % 5)::INTEGER AS bucket FROM (SELECT p_partkey, view, ('0x' || sha256('train' || chr(0) || p_partkey || chr(0) || view)[9:16])::BIGINT & 2147483647 AS seed FROM part, (SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS view) WHERE p_brand = 'Brand#12')"
+VIEW_MANIFEST = "SELECT *, (seed % 5)::INTEGER AS bucket FROM (SELECT p_partkey, view, ('0x' || sha256('train' || chr(0) || p_partkey || chr(0) || view)[9:16])::BIGINT & 2147483647 AS seed FROM part, (SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS view))"
 
 
 def family_types(spark, sf_dir):

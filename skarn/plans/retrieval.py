@@ -62,8 +62,9 @@ def _view_ranks(spark, sf_dir: str) -> DataFrame:
 
 
 _RANKS = _SQL + """,
-v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY view0 DESC, pos) AS a, row_number() OVER (PARTITION BY query_id ORDER BY view1 DESC, pos) AS b FROM c),
-t AS (SELECT query_id, item_id AS target, query_label, CASE WHEN a <= 10 THEN a END AS r0, CASE WHEN b <= 10 THEN b END AS r1 FROM v WHERE pos = 1)"""
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS pos,
+  row_number() OVER (PARTITION BY query_id ORDER BY view0 DESC, score DESC, item_id) AS r0, row_number() OVER (PARTITION BY query_id ORDER BY view1 DESC, score DESC, item_id) AS r1 FROM s),
+t AS (SELECT query_id, item_id AS target, query_label, r0, r1 FROM v WHERE pos = 1)"""
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -264,7 +265,7 @@ def hardest_negative_margin(spark, sf_dir):
     return c.select("query_id", F.round(F.col("a") - F.col("b"), 6).alias("margin"))
 
 
-HARDEST_NEGATIVE_MARGIN = _SQL + " SELECT query_id, round(max(score) FILTER (WHERE item_label = query_label) - max(score) FILTER (WHERE item_label <> query_label), 6) AS margin FROM c GROUP BY ALL"
+HARDEST_NEGATIVE_MARGIN = _SQL + " SELECT query_id, round(max(score) FILTER (WHERE item_label = query_label) - max(score) FILTER (WHERE item_label <> query_label), 6) AS margin FROM s GROUP BY query_id"
 
 
 def hard_negatives(spark, sf_dir):
@@ -276,7 +277,8 @@ def hard_negatives(spark, sf_dir):
     return c.filter("slot <= 8").select("query_id", "item_id", F.when(F.col("t") == 0, "family").otherwise("visual").alias("tier"), "slot")
 
 
-HARD_NEGATIVES = _SQL + """, x AS (SELECT *, CASE WHEN item_label = query_label AND row_number() OVER (PARTITION BY query_id, item_label = query_label ORDER BY pos) <= 4 THEN 0 WHEN item_label <> query_label AND pos <= 20 THEN 1 END AS t FROM c)
+HARD_NEGATIVES = _SQL + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS pos FROM s),
+x AS (SELECT *, CASE WHEN item_label = query_label AND row_number() OVER (PARTITION BY query_id, item_label = query_label ORDER BY pos) <= 4 THEN 0 WHEN item_label <> query_label AND pos <= 20 THEN 1 END AS t FROM p)
 SELECT query_id, item_id, CASE WHEN t = 0 THEN 'family' ELSE 'visual' END AS tier, row_number() OVER (PARTITION BY query_id ORDER BY t, pos) AS slot FROM x WHERE t IS NOT NULL QUALIFY slot <= 8"""
 
 

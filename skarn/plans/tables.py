@@ -99,32 +99,37 @@ SHARED_NAMES = "SELECT p_name, len(b)::INTEGER AS n_brands, array_to_string(b, '
 
 
 def _media(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Products and an archive listing derived from parts, with originals, resized copies, doubles and other spellings."""
+    """Products and an archive listing derived from parts, with originals, resized copies, doubles, Latin and other spellings."""
     k = F.col("p_partkey")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), k.cast("string"))
-    products = p.select(k.alias("slug"), F.concat(name, F.lit(".png")).alias("photo"))
+    products = p.select(k.alias("slug"), F.concat(F.when(k % 10 == 4, "Щедрый_Май_").otherwise(""), name, F.lit(".png")).alias("photo"))
     made = F.when(k % 5 == 0, F.array(F.concat(F.lit("a/thumbnail_"), name, F.lit(".png")), F.concat(F.lit("a/"), name, F.lit("_0123456789.png"))))
     made = made.when(k % 5 == 1, F.array(F.concat(F.lit("a\\"), F.upper(name), F.lit(".png")), F.concat(F.lit("b/"), name, F.lit(".png"))))
-    made = made.when(k % 5 == 2, F.array(F.concat(F.lit("a/"), F.replace(name, F.lit("_"), F.lit("+")), F.lit(".png")))).when(k % 5 == 3, F.array(F.concat(F.lit("a/small_"), name, F.lit(".png"))))
+    plus = F.replace(name, F.lit("_"), F.lit("+"))
+    made = made.when(k % 10 == 2, F.array(F.concat(F.lit("a/"), plus, F.lit(".png")))).when(k % 10 == 7, F.array(F.concat(F.lit("a/small+"), plus, F.lit(".PNG"))))
+    made = made.when(k % 5 == 3, F.array(F.concat(F.lit("a/small_"), name, F.lit(".png")))).when(k % 10 == 4, F.array(F.concat(F.lit("a/shchedryj-maj "), name, F.lit(".png"))))
     media = p.select(F.explode(made).alias("path"), k.alias("size"), F.when(k % 2 == 0, F.lit("c0")).otherwise("").alias("crc"))
     return products, media.withColumn("variant", T.variant(F.col("path")))
 
 
 def cascade_match(spark, sf_dir):
+    """Products to archive files by the first of three keys that finds any."""
     products, media = _media(_t(spark, sf_dir, "part"))
-    stages = [("strict", T.filename_key(F.col("photo")), T.filename_key(F.col("path"))), ("punctuation", T.punctuation_key(F.col("photo")), T.punctuation_key(F.col("path")))]
-    return resolve.cascade(products, media, stages)
+    keys = {"strict": T.filename_key, "transliterated": T.transliterated_filename_key, "punctuation": T.punctuation_key}
+    return resolve.cascade(products, media, [(name, key(F.col("photo")), key(F.col("path"))) for name, key in keys.items()])
 
 
 _MEDIA_SQL = """WITH b AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') || '_' || p_partkey AS name FROM part),
-p AS (SELECT k AS slug, regexp_replace(lower(name || '.png'), '^(thumbnail|small|medium|large)_', '') AS photo FROM b),
-m AS (SELECT k AS size, CASE WHEN k % 2 = 0 THEN 'c0' ELSE '' END AS crc, unnest(CASE k % 5 WHEN 0 THEN ['a/thumbnail_' || name || '.png', 'a/' || name || '_0123456789.png'] WHEN 1 THEN ['a\\' || upper(name) || '.png', 'b/' || name || '.png']
-  WHEN 2 THEN ['a/' || replace(name, '_', '+') || '.png'] WHEN 3 THEN ['a/small_' || name || '.png'] ELSE [] END) AS path FROM b),
+p AS (SELECT k AS slug, regexp_replace(lower(CASE WHEN k % 10 = 4 THEN 'Щедрый_Май_' ELSE '' END || name || '.png'), '^(thumbnail|small|medium|large)_', '') AS photo FROM b),
+m AS (SELECT k AS size, CASE WHEN k % 2 = 0 THEN 'c0' ELSE '' END AS crc, unnest(CASE WHEN k % 5 = 0 THEN ['a/thumbnail_' || name || '.png', 'a/' || name || '_0123456789.png'] WHEN k % 5 = 1 THEN ['a\\' || upper(name) || '.png', 'b/' || name || '.png']
+  WHEN k % 10 = 2 THEN ['a/' || replace(name, '_', '+') || '.png'] WHEN k % 10 = 7 THEN ['a/small+' || replace(name, '_', '+') || '.PNG'] WHEN k % 5 = 3 THEN ['a/small_' || name || '.png'] WHEN k % 10 = 4 THEN ['a/shchedryj-maj ' || name || '.png'] ELSE [] END) AS path FROM b),
 n AS (SELECT *, lower(regexp_extract(replace(path, '\\', '/'), '[^/]*$')) AS f FROM m),
 o AS (SELECT *, CASE WHEN regexp_matches(f, '^(thumbnail|small|medium|large)_') THEN regexp_extract(f, '^(thumbnail|small|medium|large)_', 1) ELSE 'original' END AS variant,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '[.]png$', ''), '^(thumbnail|small|medium|large)_', ''), '_[0-9a-f]{10}$', ''), '[\\s_-]+', '_', 'g') AS stem FROM n),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '[.]png$', ''), '^(thumbnail|small|medium|large)_', ''), '_[0-9a-f]{10}$', ''), '[\\s_-]+', '_', 'g') AS stem,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '[.]png$', ''), '[^0-9a-z]+', '_', 'g'), '^(thumbnail|small|medium|large)_', ''), '_[0-9a-f]{10}$', '') AS plain FROM n),
 h AS (SELECT slug, 0 AS stage, 'strict' AS method, o.* FROM p JOIN o ON photo = stem || '.png'
-  UNION ALL SELECT slug, 1, 'punctuation', o.* FROM p JOIN o ON photo = regexp_replace(stem, '[^0-9a-z]+', '_', 'g') || '.png'),
+  UNION ALL SELECT slug, 1, 'transliterated', o.* FROM p JOIN o ON replace(replace(photo, 'щедрый', 'shchedryj'), 'май', 'maj') = stem || '.png'
+  UNION ALL SELECT slug, 2, 'punctuation', o.* FROM p JOIN o ON replace(replace(photo, 'щедрый', 'shchedryj'), 'май', 'maj') = plain || '.png'),
 f AS (SELECT * FROM h QUALIFY stage = min(stage) OVER (PARTITION BY slug)),
 g AS (SELECT slug, any_value(method) AS method, count(*) FILTER (WHERE variant = 'original') AS originals, count(*) AS n, min(path) FILTER (WHERE variant = 'original') AS first_original, min(path) AS first_any,
   count(DISTINCT (size, crc)) FILTER (WHERE variant = 'original') = 1 AND bool_and(crc <> '') FILTER (WHERE variant = 'original') AS same FROM f GROUP BY slug),
@@ -163,19 +168,19 @@ def scenario_cross(spark, sf_dir):
     return _t(spark, sf_dir, "part").join(F.broadcast(scenarios)).select("p_partkey", "scenario", F.concat(F.substring(F.sha2("p_name", 256), 1, 10), F.lit("__"), "scenario").alias("generation_id"), T.derived_seed(F.col("p_partkey").cast("string"), F.col("scenario")).alias("seed"))
 
 
-SCENARIO_CROSS = "SELECT p_partkey, scenario, sha256(p_name)[1:10] || '__' || scenario AS generation_id, ('0x' || sha256(p_partkey::VARCHAR || chr(0) || scenario)[9:16])::BIGINT & 2147483647 AS seed FROM part, (SELECT unnest(['front', 'angle', 'dark', 'shelf']) AS scenario) WHERE p_brand = 'Brand#11'"
+SCENARIO_CROSS = "SELECT p_partkey, scenario, sha256(p_name)[1:10] || '__' || scenario AS generation_id, ('0x' || sha256(p_partkey::VARCHAR || chr(0) || scenario)[9:16])::BIGINT & 2147483647 AS seed FROM part, (SELECT unnest(['front', 'angle', 'dark', 'shelf']) AS scenario)"
 
 
 def plan_review_join(spark, sf_dir):
     """Orders as a plan against line items as reviews: states of a full outer join."""
     plan = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"))
-    review = _t(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("b")).agg(F.max("l_returnflag").alias("flag"))
+    review = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("b")).agg(F.max("l_returnflag").alias("flag"))
     both = plan.join(review, F.col("a") == F.col("b"), "full_outer")
     state = F.when(F.col("b").isNull(), "unreviewed").when(F.col("a").isNull(), "untracked").when(F.col("flag") == "R", "rejected").otherwise("accepted")
     return both.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-PLAN_REVIEW_JOIN = "SELECT CASE WHEN b IS NULL THEN 'unreviewed' WHEN o_orderkey IS NULL THEN 'untracked' WHEN flag = 'R' THEN 'rejected' ELSE 'accepted' END AS state, count(*) AS n FROM orders FULL JOIN (SELECT l_orderkey AS b, max(l_returnflag) AS flag FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON o_orderkey = b GROUP BY ALL"
+PLAN_REVIEW_JOIN = "SELECT CASE WHEN b IS NULL THEN 'unreviewed' WHEN o_orderkey IS NULL THEN 'untracked' WHEN flag = 'R' THEN 'rejected' ELSE 'accepted' END AS state, count(*) AS n FROM orders FULL JOIN (SELECT l_orderkey AS b, max(l_returnflag) AS flag FROM lineitem GROUP BY 1) ON o_orderkey = b GROUP BY ALL"
 
 
 def alignment_check(spark, sf_dir):
@@ -294,11 +299,11 @@ HASH_SPLIT = f"SELECT p_partkey, p_type, CASE WHEN row_number() OVER (PARTITION
 
 def json_fields(spark, sf_dir):
     """Keys and one value of the JSON properties."""
-    e = _t(spark, sf_dir, "events").select("event_id", F.json_object_keys("props").alias("k"))
-    return e.select("event_id", F.array_join(F.array_sort("k"), ",").alias("keys"), F.size("k").alias("n_keys"))
+    e = _t(spark, sf_dir, "events").select("event_id", F.json_object_keys("props").alias("k"), F.get_json_object("props", "$.k").alias("value"))
+    return e.select("event_id", F.array_join(F.array_sort("k"), ",").alias("keys"), F.size("k").alias("n_keys"), "value")
 
 
-JSON_FIELDS = "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, len(json_keys(props))::INTEGER AS n_keys FROM events"
+JSON_FIELDS = "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, len(json_keys(props))::INTEGER AS n_keys, json_extract_string(props, '$.k') AS value FROM events"
 
 
 def conversation_evidence(spark, sf_dir):
@@ -340,23 +345,19 @@ TASTE_PROFILE = _RATED + " SELECT * FROM p"
 
 
 def taste_score(spark, sf_dir):
-    """Shrunk estimate, (sum + 3 * 2) / (n + 2), averaged over a part's features, for customers with five ratings or more, on every part that shares a feature with theirs.
+    """Shrunk estimate, (sum + 3 * 2) / (n + 2), averaged over a part's features, for customers with five ratings or more.
 
-    Parts of one brand and type share their score, which is computed once for a customer.
+    A part's score depends on its brand and type alone, so one row stands for all parts of a kind that shares a feature with the customer's.
     """
     enough = _rated(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("c")).filter("c >= 5")
     p = _profile(spark, sf_dir).filter("value is not null").join(enough, "o_custkey", "left_semi").withColumn("e", (F.col("total") + 6) / (F.col("n") + 2))
-    scores = lambda f: F.map_from_entries(F.collect_list(F.when(F.col("feature") == f, F.struct("value", "e"))))
-    customers = p.groupBy("o_custkey").agg(scores("brand").alias("brands"), scores("type").alias("types"))
-    parts = _t(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type"))
-    kinds = parts.select(F.col("brand").alias("b"), F.col("type").alias("t")).distinct()
-    one, two = F.try_element_at("brands", F.col("b")), F.try_element_at("types", F.col("t"))
-    scored = customers.crossJoin(kinds).select("o_custkey", "b", "t", F.coalesce((one + two) / 2, one, two).alias("e")).filter("e is not null")
-    same = F.col("brand").eqNullSafe(F.col("b")) & F.col("type").eqNullSafe(F.col("t"))
-    return scored.join(parts, same).select("o_custkey", "p_partkey", F.round("e", 6).alias("taste"))
+    kinds = _t(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type")).agg(F.count(F.lit(1)).alias("parts"))
+    of = lambda f: p.filter(F.col("feature") == f).join(kinds, F.col("value") == F.col(f)).select("o_custkey", "brand", "type", "parts", "e")
+    both = of("brand").unionByName(of("type"))
+    return both.groupBy("o_custkey", "brand", "type").agg(F.max("parts").alias("parts"), F.round(F.avg("e"), 6).alias("taste"))
 
 
-TASTE_SCORE = _RATED + ", x AS (SELECT p_partkey, unnest([{'feature': 'brand', 'value': lower(p_brand)}, {'feature': 'type', 'value': lower(p_type)}]) AS f FROM part WHERE p_size = 1 AND p_partkey % 10 = 0) SELECT o_custkey, x.p_partkey, round(avg((total + 6) / (n + 2)), 6) AS taste FROM p JOIN x ON p.feature = x.f.feature AND p.value = x.f.value WHERE o_custkey IN (SELECT o_custkey FROM r GROUP BY 1 HAVING count(*) >= 5) GROUP BY ALL"
+TASTE_SCORE = _RATED + ", k AS (SELECT lower(p_brand) AS brand, lower(p_type) AS type, count(*) AS parts FROM part GROUP BY ALL) SELECT o_custkey, brand, type, max(parts) AS parts, round(avg((total + 6) / (n + 2)), 6) AS taste FROM p JOIN k ON feature = 'brand' AND value = brand OR feature = 'type' AND value = type WHERE o_custkey IN (SELECT o_custkey FROM r GROUP BY 1 HAVING count(*) >= 5) GROUP BY ALL"
 
 
 def collection_search(spark, sf_dir):

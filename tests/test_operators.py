@@ -70,12 +70,16 @@ def test_filename_keys_and_variants(spark):
     assert keys[0] == keys[1] == "amelia_22_png.webp"
     assert [r[0] for r in _values(df.select(T.variant(F.col("p"))))] == ["original", "thumbnail", "large", "unknown", "original"]
     assert df.filter("p like 'А%'").select(T.filename_key(T.transliterate(F.col("p")))).first()[0] == "agora_blek.webp"
+    odd = spark.createDataFrame([("Щедрый Май—2020.HEIC",), ("small+x y.jfif",), (".jpg",), ("a.",)], "p string")
+    assert [r[0] for r in _values(odd.select(T.punctuation_key(F.col("p"), folded=True)))] == ["shchedryj_maj_2020.heic", "x_y.jfif", "jpg", "a"]
+    assert [r[0] for r in _values(odd.select(T.variant(F.col("p"))))] == ["original", "original", "unknown", "unknown"]
 
 
 def test_years(spark):
     df = spark.createDataFrame([("a 2021 b 1899 2021 12019 20199 1.2005",), ("",), (None,)], "s string")
     assert [r[0] for r in _values(df.select(T.years(F.col("s"))))] == [["2021", "2005"], [], None]
-    assert spark.range(1).select(T.repaired_year(F.lit("2O2I")), T.repaired_year(F.lit("ABCD"))).first()[:] == ("2021", None)
+    assert spark.range(1).select(T.repaired_year(F.lit("(2O2I)")), T.repaired_year(F.lit("ABCD")), T.repaired_year(F.lit("1999,")), T.repaired_year(F.lit("2|qb"))).first()[:] == (("2021", "2O2I"), (None, None), ("1999", None), (None, None))
+    assert spark.range(1).select(T.repaired_year(F.lit("20qb"))).first()[0] == ("2096", "20qb")
 
 
 def test_cascade_takes_first_stage_and_min_path_of_identical_originals(spark):
