@@ -6,21 +6,31 @@ bit-parallel; two empty strings score 100.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit a character of ``a``."""
+def _masks(a: str) -> dict[str, int]:
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    row = full = (1 << len(a)) - 1
+    return at
+
+
+def _common(at: dict[str, int], n: int, b: str) -> int:
+    row = full = (1 << n) - 1
     for c in b:
-        hit = row & at.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if hit := row & at.get(c, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit a character of ``a``."""
+    return _common(_masks(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -29,19 +39,29 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a window of its length in the longer, or with a shorter end piece."""
+    """Best ratio of the shorter string with a window of its length in the longer, or with a shorter end piece.
+
+    Windows are tried in the order of what the letters they share allow at most, until none can be better.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, best = len(a), 0.0
-    letters = set(a)
+    if a in b:
+        return 100.0
+    n, at = len(a), _masks(a)
+    upto = [0, *accumulate(c in at for c in b)]
+    windows = []
     for i in range(1 - n, len(b)):
-        piece = b[max(0, i) : i + n]
-        if piece and (piece[-1] in letters if i + n <= len(b) else piece[0] in letters):
-            best = max(best, ratio(a, piece))
-            if best == 100.0:
-                break
+        x, y = max(0, i), min(len(b), i + n)
+        if b[y - 1] in at if i + n <= len(b) else b[x] in at:
+            windows.append((200.0 * (upto[y] - upto[x]) / (n + y - x), x, y))
+    windows.sort(key=lambda w: -w[0])
+    best = 0.0
+    for most, x, y in windows:
+        if most <= best:
+            break
+        best = max(best, 200.0 * _common(at, n, b[x:y]) / (n + y - x))
     return best
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, features, recognition, retrieval, tables, unstructured
+from . import decisions, families, features, guards, recognition, retrieval, tables, unstructured
 
-_MODULES = (retrieval, decisions, features, tables, unstructured, recognition)
+_MODULES = (retrieval, decisions, features, tables, unstructured, recognition, guards, families)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
