@@ -105,7 +105,9 @@ def test_deduplicate_judges_texts_not_ids(spark):
     assert linked == {(3, 3), (5, 3)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 10, 10_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "ONE_TASK", most)
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 51)], "u long, v long")
     assert {tuple(r) for r in components.components(edges).collect()} == {(i, 1) for i in range(2, 31)} | {(51, 50)}
 
