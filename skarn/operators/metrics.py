@@ -18,6 +18,32 @@ def rank_metrics(rank: Column, digits: int = 9) -> list[Column]:
     ]
 
 
+#: Ranges of a value whose sums are added up first, so that no task sees all values of a group.
+RANGES = 1_024
+
+
+def with_running_sums(df: DataFrame, value: str, by: list[str], *columns: str) -> DataFrame:
+    """``df``, with one row a ``value`` and ``by``, and __upto_c: the sum of each column c over rows of the group up to this value.
+
+    Values are dealt to equal ranges between the group's least and greatest; sums
+    of ranges are added up first, then those inside each range.
+    """
+    own = [F.col(c) for c in by]
+    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high")).select(*[c.alias(f"__{n}") for c, n in zip(own, by, strict=True)], "__low", "__high")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = df.join(ends if by else F.broadcast(ends), same).drop(*[f"__{c}" for c in by])
+    at = F.floor((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * (RANGES - 1))
+    rows = rows.withColumn("__at", F.coalesce(at, F.lit(0))).drop("__low", "__high")
+    sums = rows.groupBy(*by, "__at").agg(*[F.sum(c).alias(f"__s_{c}") for c in columns])
+    before = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    sums = sums.select(*[c.alias(f"__{n}") for c, n in zip(own, by, strict=True)], F.col("__at").alias("__range"), *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in columns])
+    inside = Window.partitionBy(*by, "__at").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(sums, same & (F.col("__at") == F.col("__range")))
+    return out.select(*[F.col(c) for c in df.columns], *[(F.sum(c).over(inside) + F.col(f"__b_{c}")).alias(f"__upto_{c}") for c in columns])
+
+
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney AUC with average ranks for ties; null if a class is empty.
 
@@ -26,26 +52,30 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
     by = by or []
     tied = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score)
     tied = tied.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("m"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (F.coalesce(F.sum("m").over(below), F.lit(0)) + F.col("m") / 2)
-    return tied.withColumn("__w", wins).groupBy(*by).agg((F.sum("__w") / F.nullif(F.sum("p") * F.sum("m"), F.lit(0))).alias("auc"), F.sum("p").alias("n_pos"), F.sum("m").alias("n_neg"))
+    wins = F.col("p") * (F.col("__upto_m") - F.col("m") / 2)
+    return with_running_sums(tied, score, by, "m").withColumn("__w", wins).groupBy(*by).agg((F.sum("__w") / F.nullif(F.sum("p") * F.sum("m"), F.lit(0))).alias("auc"), F.sum("p").alias("n_pos"), F.sum("m").alias("n_neg"))
 
 
 def open_set_auc(df: DataFrame, score: str, known: str, correct: str) -> DataFrame:
-    """Area under accepted-correct share against accepted-unknown share, by falling threshold over tied scores."""
+    """Area under accepted-correct share against accepted-unknown share, by falling threshold over tied scores.
+
+    A threshold's step has the width of its unknowns and, by the trapezoid rule,
+    the height of the corrects above it and half of its own.
+    """
     tied = df.groupBy(score).agg(F.count_if(F.col(known) & F.col(correct)).alias("c"), F.count_if(~F.col(known)).alias("u"), F.count_if(F.col(known)).alias("k"))
-    upto = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    curve = tied.select(score, (F.sum("u").over(upto) / F.nullif(F.sum("u").over(whole), F.lit(0))).alias("x"), (F.sum("c").over(upto) / F.nullif(F.sum("k").over(whole), F.lit(0))).alias("y"))
-    order = Window.orderBy(F.desc(score))
-    step = (F.col("x") - F.lag("x", 1, 0.0).over(order)) * (F.col("y") + F.lag("y", 1, 0.0).over(order)) / 2
-    return curve.withColumn("s", step).agg(F.sum("s").alias("auc"))
+    sums = tied.agg(F.sum("c").alias("__c"), F.sum("u").alias("__u"), F.sum("k").alias("__k"))
+    rows = with_running_sums(tied, score, [], "c").join(F.broadcast(sums))
+    height = F.col("__c") - F.col("__upto_c") + F.col("c") / 2
+    return rows.agg((F.sum(F.col("u") * height) / F.nullif(F.max("__u") * F.max("__k"), F.lit(0))).alias("auc"))
 
 
 def floor_index_percentiles(df: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
     """Elements at floor((n - 1) q) of each group's sorted values, found from counts of distinct values."""
     tied = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = tied.withColumn("__to", F.sum("c").over(upto)).withColumn("__n", F.sum("c").over(Window.partitionBy(*by)))
-    pick = [F.min(F.when(F.col("__to") > F.floor((F.col("__n") - 1) * q), F.col(value))).alias(name) for name, q in at.items()]
+    sums = tied.groupBy(*by).agg(F.sum("c").alias("__n")).select(*[F.col(c).alias(f"__{c}") for c in by], "__n")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    tied = with_running_sums(tied, value, by, "c").join(sums, same)
+    pick = [F.min(F.when(F.col("__upto_c") > F.floor((F.col("__n") - 1) * q), F.col(value))).alias(name) for name, q in at.items()]
     return tied.groupBy(*by).agg(F.max("__n").alias("n"), *pick)

@@ -13,28 +13,60 @@ from pyspark.sql import functions as F
 BLOCK = 4_096
 #: Scores are rounded before ranking, so that ties don't hang on the order of additions.
 DIGITS = 9
+#: Catalogue rows that are scored at a time.
+ROWS = 1_024
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
+class _Best:
+    """The k best items of each of many queries so far: score descending, item ascending."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.parts, self.held = k, [], 0
+        self.low = np.full(queries, -np.inf)  # nothing below can be among the k best
+        self.most = 4 * queries * k
+
+    def add(self, scores: np.ndarray, items: np.ndarray, more) -> None:
+        """``scores``: a row a query, a column an item; ``more``: (places of queries, of items) to an array of further values."""
+        if scores.shape[1] > self.k:
+            self.low = np.maximum(self.low, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        q, at = np.nonzero((scores >= self.low[:, None]) & (scores > -np.inf))
+        self.parts.append((q, items[at], scores[q, at], more(q, at)))
+        self.held += len(q)
+        if self.held > self.most:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """Drops all but the k best of each query."""
+        q, items, scores, more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((items, -scores, q))
+        q, items, scores, more = q[order], items[order], scores[order], more[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.low[q[last]] = scores[last]
+        self.parts = [tuple(x[place < self.k] for x in (q, items, scores, more))]
+        self.held = len(self.parts[0][0])
+        return self.parts[0]
+
+
 def _search(ids: list[int], matrix: np.ndarray, k: int, views: tuple[tuple[int, int], ...], labels: list | None = None, same: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.array(ids)
+        own, best = np.array(ids), _Best(len(ids), k)
         for batch in batches:
-            items, rows = np.asarray(batch.column(0)), _matrix(batch.column(1), matrix.shape[1])
-            scores = np.round(matrix @ rows.T, DIGITS)
-            scores[own[:, None] == items[None, :]] = -np.inf  # a row is no candidate for itself
-            if labels is not None:
-                scores[(np.array(labels)[:, None] == np.asarray(batch.column(2))[None, :]) != same] = -np.inf
-            best = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
-            q, at = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
-            keep = scores[q, at] > -np.inf
-            q, at = q[keep], at[keep]
-            columns = [pa.array(own[q]), pa.array(items[at]), pa.array(scores[q, at])]
-            columns += [pa.array(np.round(np.einsum("ij,ij->i", matrix[q, a:b], rows[at, a:b]), DIGITS)) for a, b in views]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "item_id", "score", *[f"view{i}" for i in range(len(views))]])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                items, rows = np.asarray(part.column(0)), _matrix(part.column(1), matrix.shape[1])
+                scores = np.round(matrix @ rows.T, DIGITS)
+                scores[own[:, None] == items[None, :]] = -np.inf  # a row is no candidate for itself
+                if labels is not None:
+                    scores[(np.array(labels)[:, None] == np.asarray(part.column(2))[None, :]) != same] = -np.inf
+                best.add(scores, items, lambda q, at, rows=rows: np.stack([np.round(np.einsum("ij,ij->i", matrix[q, a:b], rows[at, a:b]), DIGITS) for a, b in views], axis=1) if views else np.empty((len(q), 0)))
+        if best.parts:
+            q, items, scores, more = best.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(items), pa.array(scores), *map(pa.array, more.T)], ["query_id", "item_id", "score", *[f"view{i}" for i in range(len(views))]])
 
     return run
 
@@ -45,7 +77,7 @@ def knn(catalog: DataFrame, queries: DataFrame, k: int, views: tuple[tuple[int,
     Both inputs: vec_id, embedding of one size. Order: score descending, item_id
     ascending; an item with the query's own id is left out. ``views``: ranges of
     dimensions whose partial products are returned too. Each task keeps k rows a
-    query, so what is shuffled doesn't grow with the catalogue's rows. Query
+    query over all its batches, so what is shuffled grows with tasks, not rows. Query
     vectors come to the driver a block at a time. ``family``: only items of the
     query's label (True) or of other labels (False); rows without label then have none.
     """
@@ -82,16 +114,18 @@ def _ahead(asked: list, views: tuple[tuple[int, int], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, target, score = (np.array([r[c] for r in asked])[:, None] for c in ("vec_id", "item_id", "score"))
         matrix = np.array([r.embedding for r in asked], dtype=np.float64)
+        counts = np.zeros((len(views), len(asked)), np.int64)
         for batch in batches:
-            items, rows = np.asarray(batch.column(0))[None, :], _matrix(batch.column(1), matrix.shape[1])
-            scores = np.round(matrix @ rows.T, DIGITS)
-            sooner = (scores > score) | (scores == score) & (items < target)
-            other = (items != own) & (items != target)
-            counts = []
-            for i, (a, b) in enumerate(views):
-                part, aim = np.round(matrix[:, a:b] @ rows[:, a:b].T, DIGITS), np.array([r[f"view{i}"] for r in asked])[:, None]
-                counts.append(pa.array((other & ((part > aim) | (part == aim) & sooner)).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), *counts], ["query_id", *[f"r{i}" for i in range(len(views))]])
+            for start in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(start, ROWS)
+                items, rows = np.asarray(piece.column(0))[None, :], _matrix(piece.column(1), matrix.shape[1])
+                scores = np.round(matrix @ rows.T, DIGITS)
+                sooner = (scores > score) | (scores == score) & (items < target)
+                other = (items != own) & (items != target)
+                for i, (a, b) in enumerate(views):
+                    part, aim = np.round(matrix[:, a:b] @ rows[:, a:b].T, DIGITS), np.array([r[f"view{i}"] for r in asked])[:, None]
+                    counts[i] += (other & ((part > aim) | (part == aim) & sooner)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), *map(pa.array, counts)], ["query_id", *[f"r{i}" for i in range(len(views))]])
 
     return run
 
@@ -100,7 +134,7 @@ def full_ranks(catalog: DataFrame, queries: DataFrame, targets: DataFrame, views
     """(query_id, r0..): rank of each query's target among all rows but the query, by the partial products of each view.
 
     ``targets``: query_id, item_id, score, view0.. as knn() gives them. Ties go by
-    score, then item_id. What is shuffled is a row a query and Arrow batch.
+    score, then item_id. What is shuffled is a row a query and task.
     """
     names = [f"r{i}" for i in range(len(views))]
     columns = "query_id long, " + ", ".join(f"{c} long" for c in names)
