@@ -41,25 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
+def stored(df: DataFrame, few: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    ``few``: for narrow tables behind a shuffle; tasks then take several of its
+    partitions one after another and write one file, two files a core still being there.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
     for scope in _scopes.get()[-1:]:
         scope.append(path)
+    if few:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Deletes, at its end, what ``stored`` wrote inside; gives a function that stores a table which outlives it."""
     outer, own = _scopes.get(), []
     before = _scopes.set((*outer, own))
 
-    def keep(df: DataFrame) -> DataFrame:
+    def keep(df: DataFrame, few: bool = False) -> DataFrame:
         inside = _scopes.set(outer)
         try:
-            return stored(df)
+            return stored(df, few)
         finally:
             _scopes.reset(inside)
 

@@ -20,7 +20,7 @@ def _follow(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
         step = parents.join(up, parents["parent"] == up["__n"], "left")
-        parents = stored(step.select("node", F.coalesce("__p", "parent").alias("parent"), F.col("__p").isNotNull().alias("more")))
+        parents = stored(step.select("node", F.coalesce("__p", "parent").alias("parent"), F.col("__p").isNotNull().alias("more")), few=True)
         more = parents.filter("more").limit(1).count()
         parents = parents.select("node", "parent")
         if not more:
@@ -64,16 +64,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     with scratch(edges.sparkSession) as keep:
         left = edges.filter("u <> v").select(F.greatest("u", "v").cast("long").alias("hi"), F.least("u", "v").cast("long").alias("lo")).distinct()
-        left, labels = stored(left), None
+        left, labels = stored(left, few=True), None
         while (n := left.count()) > 0:
             if n <= ONE_TASK:
                 roots = stored(left.coalesce(1).mapInArrow(_joined, "node long, label long"))
             else:
                 roots = _follow(left.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent"))
                 roots = roots.select("node", F.col("parent").alias("label"))
-            labels = roots if labels is None else stored(renamed(labels, "label", roots).unionByName(roots.join(labels, "node", "left_anti")))
+            labels = roots if labels is None else stored(renamed(labels, "label", roots).unionByName(roots.join(labels, "node", "left_anti")), few=True)
             if n <= ONE_TASK:
                 break
             ends = renamed(renamed(left, "hi", roots), "lo", roots).filter("hi <> lo")
-            left = stored(ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
-        return keep(labels if labels is not None else left.select(F.col("hi").alias("node"), F.col("lo").alias("label")))
+            left = stored(ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), few=True)
+        return keep(labels if labels is not None else left.select(F.col("hi").alias("node"), F.col("lo").alias("label")), few=True)

@@ -85,12 +85,12 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width:
     sets = shingles(items.select("item_id", F.xxhash64("text").alias("item_hash"), F.col("text").alias("__t")).distinct(), "__t", "__s", width)
     sets = stored(sets.select("item_id", "item_hash", F.array_distinct("__s").alias("item_set")).filter(F.size("item_set") > 0))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("__t"))
-    sketch = _hint(stored(item_sketches(sets, percent)), BROADCAST_SHINGLES)
+    sketch = _hint(stored(item_sketches(sets, percent), few=True), BROADCAST_SHINGLES)
     hits = _probe(docs, width).join(sketch, "hash").filter(F.col("n") >= F.col("least_doc"))
-    found = stored(hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    found = stored(hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), few=True)
     found = _hint(found, BROADCAST_CANDIDATES)
     likely = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (docs["text_hash"] == found["__hash"]), "left_semi")
-    parts = _hint(stored(sets.select("item_id", "item_hash", F.size("item_set").cast("long").alias("n_item"), F.explode("item_set").alias("hash"))), BROADCAST_SHINGLES)
+    parts = _hint(stored(sets.select("item_id", "item_hash", F.size("item_set").cast("long").alias("n_item"), F.explode("item_set").alias("hash")), few=True), BROADCAST_SHINGLES)
     pair = ["doc_id", "text_hash", "item_id", "item_hash", "n_item"]
     shared = _probe(likely, width).join(parts, "hash").select(*pair, "hash").distinct().groupBy(*pair).agg(F.count(F.lit(1)).alias("n_shared"))
     kept = shared.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -100,7 +100,7 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width:
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``docs`` without those that contain an item; rows, columns (whatever their names) and repeats of the others unchanged."""
     with scratch(docs.sparkSession) as keep:
-        found = keep(contained(docs, items, percent, width).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+        found = keep(contained(docs, items, percent, width).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), few=True)
     found = _hint(found, BROADCAST_CANDIDATES)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left_anti")
 

@@ -160,7 +160,7 @@ def _planned(docs: DataFrame, weights, most: int, seed: int, keep) -> DataFrame:
     sized = held.groupBy("pattern").agg(F.sum("__n").alias("n"))
     held = held.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "pattern")
     full = full.join(held, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).drop("__h1", "__h2")
-    rows = stored(full.unionByName(rows.filter("size = 0").withColumn("pattern", F.lit(""))))
+    rows = stored(full.unionByName(rows.filter("size = 0").withColumn("pattern", F.lit(""))), few=True)
 
     cells = [(r.pattern, r.sid, r.n) for r in rows.groupBy("pattern", "sid").agg(F.sum("size").alias("n")).collect()]
     size_of = {(p, s): n for p, s, n in cells}
@@ -179,7 +179,7 @@ def _planned(docs: DataFrame, weights, most: int, seed: int, keep) -> DataFrame:
     buckets = buckets.select("pattern", "sid", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     rows = rows.withColumn("__upto", F.sum("size").over(inside)).join(buckets, ["pattern", "sid", "__b"])
     whole = (F.col("rest") > 0) & (F.col("__before") + F.col("__upto") <= F.col("rest"))
-    rows = keep(rows.withColumn("taken", F.col("size") * (F.col("passes") + F.when(whole, 1).otherwise(0))))
+    rows = keep(rows.withColumn("taken", F.col("size") * (F.col("passes") + F.when(whole, 1).otherwise(0))), few=True)
     more = _filled(rows, aims, most)
     taken = F.when(F.col("__more").isNotNull(), F.col("size") + F.col("taken")).otherwise(F.col("taken"))
     return rows.join(more, F.col(ROW) == F.col("__more"), "left").select(ROW, "doc_id", "source", "h1", "h2", "size", "source_size", "target", taken.alias("taken"))
@@ -216,7 +216,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = S
     """
     key = ["doc_id", "h1", "source"]
     with scratch(docs.sparkSession) as keep:
-        plan = keep(mixed(docs, weights, most, seed).filter("size > 0").select(*key, F.expr("taken div size").cast("int").alias("__times")))
+        plan = keep(mixed(docs, weights, most, seed).filter("size > 0").select(*key, F.expr("taken div size").cast("int").alias("__times")), few=True)
     if plan.groupBy(*key).count().filter("count > 1").limit(1).count():
         row = free_name(docs, ROW)
         numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))

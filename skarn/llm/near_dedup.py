@@ -166,14 +166,14 @@ def _compared(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("nb"), (F.sum("n") - F.max("n")).alias("no"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(SIDE)).cast("int")
-    sizes = stored(sizes.filter("no > 0").select("cluster", "big", blocks("nb").alias("nb"), blocks("no").alias("no")))
+    sizes = stored(sizes.filter("no > 0").select("cluster", "big", blocks("nb").alias("nb"), blocks("no").alias("no")), few=True)
     rows = members.join(sizes, "cluster").withColumn("main", F.col("comp") == F.col("big"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("main"), F.col("nb")).otherwise(F.col("no"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     cell = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
     with_main = F.transform(upto("no"), lambda i: cell(i, F.col("own"), "main"))
     with_rest = F.concat(F.transform(upto("no"), lambda j: cell(F.least("own", j), F.greatest("own", j), "rest")), F.transform(upto("nb"), lambda j: cell(F.col("own"), j, "main")))
-    rows = stored(rows.select("rep", "comp", "cluster", F.when(F.col("main"), with_main).otherwise(with_rest).alias("cells")))
+    rows = stored(rows.select("rep", "comp", "cluster", F.when(F.col("main"), with_main).otherwise(with_rest).alias("cells")), few=True)
     ids = rows.select(F.col("rep").alias("__id")).distinct()
     texts = _texts(docs, ids, rows.count())
     spread = rows.select("rep", "comp", "cluster", F.explode("cells").alias("cell")).select("rep", "comp", "cluster", "cell.*")
@@ -218,22 +218,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
-        return keep(_judged(docs.select(F.col("doc_id").cast("long"), "text"), width, percent))
+        return keep(_judged(docs.select(F.col("doc_id").cast("long"), "text"), width, percent), few=True)
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = stored(docs.mapInArrow(signer(width), SIGNATURES))
     known = signed.filter("n > 0 and doc_id is not null")
-    classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
-    buckets = stored(_buckets(classes))
+    classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), few=True)
+    buckets = stored(_buckets(classes), few=True)
     open_ = _with_leaders(buckets.withColumn("cluster", F.col("rep")))
     # first, each class with the least of its leaders only
     first = open_.filter("rep > lead").groupBy("rep").agg(F.min("lead").alias("v"), F.first("n").alias("nu")).withColumnRenamed("rep", "u")
-    alike = _verified(docs, stored(_sized(first, classes, percent)), width, percent)
+    alike = _verified(docs, stored(_sized(first, classes, percent), few=True), width, percent)
     left = buckets
     for round_ in range(MOST_ROUNDS + 1):
         clusters = components(alike)
-        open_ = stored(_with_leaders(renamed(left.withColumn("cluster", F.col("rep")), "cluster", clusters)))
+        open_ = stored(_with_leaders(renamed(left.withColumn("cluster", F.col("rep")), "cluster", clusters)), few=True)
         if not open_.limit(1).count():
             break
         heads = renamed(open_.filter("rep > lead").withColumn("lead_cluster", F.col("lead")), "lead_cluster", clusters)
@@ -242,14 +242,14 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if round_ == MOST_ROUNDS:  # unseen
             clusters = components(alike.select("u", "v").unionByName(pairs.select("u", "v")))
             break
-        alike = alike.unionByName(_verified(docs, stored(_sized(pairs, classes, percent)), width, percent))
+        alike = alike.unionByName(_verified(docs, stored(_sized(pairs, classes, percent), few=True), width, percent))
         left = open_.filter("rep > lead").select("key", "rep", "n")
     links = alike.filter("linked").select("u", "v")
     labels = components(links)
     members = buckets.select("rep").distinct().withColumn("comp", F.col("rep")).withColumn("cluster", F.col("rep"))
-    members = stored(renamed(renamed(members, "comp", labels), "cluster", clusters))
+    members = stored(renamed(renamed(members, "comp", labels), "cluster", clusters), few=True)
     links = links.unionByName(_compared(docs, members, width, percent))
-    twice = stored(known.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).filter("x <> y").select("doc_id"))
+    twice = stored(known.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).filter("x <> y").select("doc_id"), few=True)
     if twice.limit(1).count():
         own = known.join(twice, "doc_id").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"])
         links = links.unionByName(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
@@ -271,7 +271,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     with scratch(docs.sparkSession) as keep:
         if not repeated:
-            judged = keep(near_duplicates(docs, width, percent).filter("kept is false").select(F.col("doc_id").alias("__id")))
+            judged = keep(near_duplicates(docs, width, percent).filter("kept is false").select(F.col("doc_id").alias("__id")), few=True)
             return docs.join(judged, docs["doc_id"] == judged["__id"], "left_anti")
         hash_, node = free_name(docs, "__th"), "__node"
         marked = docs.withColumn(hash_, F.xxhash64("text"))
@@ -288,3 +288,19 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Groups of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.8."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, CASE WHEN len(w) >= {WIDTH} THEN array_to_string(w[i:i + {WIDTH - 1}], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(least(len(w), 1), len(w) - {WIDTH - 1}) + 1)) AS i FROM d)),
+n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM p JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach(node, low) AS (SELECT u, u FROM ways UNION SELECT b.v, r.low FROM reach r JOIN ways b ON r.node = b.u WHERE r.low < b.v),
+c AS (SELECT node, least(node, min(low)) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN c ON c.node = d.doc_id
+"""

@@ -14,24 +14,21 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, read_table, words_of
 
-#: Phrases that mark a line as boilerplate when one occurs in it (lower case).
+#: Phrases that mark a line as boilerplate when one occurs in it, in lower case: English, German, French, Spanish (fixed values).
 BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "licensed under",
-    "lorem ipsum",
-    "privacy policy",
-    "released under",
-    "sign up for our newsletter",
-    "subscribe to our",
-    "terms of service",
-    "terms of use",
-    "use cookies",
-)
-#: Words of which a line of at most MENU_WORDS words, and no others, makes a menu.
-MENU = ("home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "top", "share", "print", "help", "faq", "news", "blog", "archive")
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under", "lorem ipsum", "privacy policy", "released under", "sign up for our newsletter", "subscribe to our",
+    "terms of service", "terms of use", "use cookies",
+    "alle rechte vorbehalten", "hier klicken", "cookie-richtlinie", "javascript aktivieren", "lizenziert unter", "datenschutzerklärung", "newsletter abonnieren", "allgemeine geschäftsbedingungen", "verwendet cookies",
+    "tous droits réservés", "cliquez ici", "politique de cookies", "activer javascript", "sous licence", "politique de confidentialité", "abonnez-vous", "conditions générales", "utilise des cookies",
+    "todos los derechos reservados", "haga clic aquí", "política de cookies", "activar javascript", "bajo licencia", "política de privacidad", "suscríbase", "términos de uso", "utiliza cookies",
+)
+#: Words of which a line of at most MENU_WORDS words, and no others, makes a menu, in the same languages (fixed values).
+MENU = (
+    "home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "top", "share", "print", "help", "faq", "news", "blog", "archive",
+    "startseite", "kontakt", "anmelden", "abmelden", "registrieren", "suche", "weiter", "zurück", "teilen", "drucken", "hilfe", "archiv", "impressum",
+    "accueil", "connexion", "déconnexion", "inscription", "recherche", "suivant", "précédent", "retour", "partager", "imprimer", "aide", "actualités", "archives",
+    "inicio", "contacto", "acceder", "salir", "registro", "buscar", "siguiente", "anterior", "volver", "compartir", "imprimir", "ayuda", "noticias", "archivo",
+)
 MENU_WORDS = 8
 #: A line fails when more than these shares of its words are of the kind named.
 SYMBOL_WORDS, SHOUTED_WORDS, SEPARATORS = 0.3, 0.6, 0.3

@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.OP3_SQL,
+        "op4_near_dedup": near_dedup.OP4_SQL,
         "op5_sharding": sharding.OP5_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op8_chat": chat.OP8_SQL,
