@@ -190,7 +190,8 @@ def _filled(rows: DataFrame, aims: list[float], most: int) -> DataFrame:
 
     Whole documents leave each cell short by less than one of them. One
     document of each size class (4 to an octave) of a source is at hand; the
-    largest that fit are taken first.
+    largest that fit are taken first, then the least of the others if the source
+    comes nearer its target with it.
     """
     left = dict(enumerate(aims))
     for r in rows.groupBy("sid").agg(F.sum("taken").alias("n")).collect():
@@ -198,11 +199,17 @@ def _filled(rows: DataFrame, aims: list[float], most: int) -> DataFrame:
     kind = F.floor(F.log2("size") * 4)
     at_hand = rows.filter((F.col("size") > 0) & (F.col("taken") < F.col("size") * most))
     at_hand = at_hand.groupBy("sid", kind.alias("kind")).agg(F.min(F.struct("__u", "doc_id", "h1", "size", ROW)).alias("d")).collect()
-    more = []
+    more, over = [], {}
     for r in sorted(at_hand, key=lambda r: (r.sid, -r.d.size, r.d["__u"])):
-        if 2 * left[r.sid] > r.d.size:
+        if r.d.size <= left[r.sid]:
             left[r.sid] -= r.d.size
             more.append((r.d[ROW],))
+        else:
+            over.setdefault(r.sid, []).append((r.d.size, r.d[ROW]))
+    for sid, rest in over.items():
+        size, row = min(rest)
+        if size < 2 * left[sid]:
+            more.append((row,))
     found = rows.sparkSession.createDataFrame(more, "__more long")
     return F.broadcast(found) if len(more) <= BROADCAST_CELLS else found
 
