@@ -78,6 +78,7 @@ def signer(width: int):
                     keys = _halves(sets, starts)
                 columns = [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys[:, :M], has), _lists(keys[:, M:], has)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "a", "b"])
+        textnum.released()
 
     return sign
 
@@ -103,6 +104,7 @@ def verifier(width: int, percent: int):
                 part = batch.slice(i, j - i)
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), linked], ["u", "v", "linked"])
                 yield out.filter(pa.array((shared > 0) & (100 * shared >= min(LOOSE, percent) * union)))
+        textnum.released()
 
     return verify
 
@@ -141,6 +143,7 @@ def comparer(width: int, percent: int):
                 root[max(a, b)] = min(a, b)
                 u.append(int(rep[x]))
                 v.append(int(rep[y]))
+        textnum.released()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return compare

@@ -70,6 +70,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(met)
     sums = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * DIMENSIONS), pa.array(total[at].ravel()))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), sums], ["bucket", "sums"])
+    textnum.released()
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -184,6 +185,7 @@ def score(docs: DataFrame, model, column: str = "text", into: str = "score") ->
             for i, j in textnum.slices(batch.column(at)):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at)).astype(np.float64))], names=[*part.schema.names, into])
+        textnum.released()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 

@@ -7,6 +7,7 @@ A batch is one byte buffer. Words are runs of bytes other than 0x20 and
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,17 @@ _BITS[48:58] = 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time; texts are never cut, a longer text makes a batch of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+
+# Arrow's own allocator keeps what it once had; the system's gives it back, see released()
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def released() -> None:
+    """Gives freed memory back to the system, where the C library can; for the end of a task, as idle workers share an executor with others."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006

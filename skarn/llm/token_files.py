@@ -21,6 +21,7 @@ files named in the manifest table are read.
 
 from __future__ import annotations
 
+import os
 import string
 import uuid
 import zlib
@@ -48,7 +49,7 @@ MOST_TASKS = 20_000
 #: Places (a power of two) for the ids of words in a worker's table, and ids at most of a word that is kept there.
 PLACES, MOST_IDS = 1 << 19, 8
 #: Bytes of texts encoded at a time (whole texts).
-TOGETHER = 2 << 20
+TOGETHER = 1 << 19
 GAMMA, BLOCK, NO_KEY = 2.0, 512, -(1 << 63)
 MANIFEST = "shard int, part int, path string, documents long, ids long, least long, greatest long"
 
@@ -195,7 +196,8 @@ class WholeEncoder:
 
 @cache
 def encoder(path: str):
-    """(encoder, dtype of ids) of a tokenizers file; a worker keeps it from task to task."""
+    """(encoder, dtype of ids) of a tokenizers file; a worker keeps it from task to task and uses one thread, its core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -234,6 +236,7 @@ def tokenised(tokenizer: str, end_id: int, firsts: list[tuple]):
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([pa.array(shards[i:j], pa.int32()), *own.columns[:3], column], ["shard", "doc_id", "lead", "tie", "ids"])
+        textnum.released()
 
     return encode
 
@@ -362,6 +365,8 @@ def writer(folder: str, width: int, most: int):
                 size += len(ids)
         if keys:
             yield done()
+            keys, payloads = [], []
+        textnum.released()
 
     return write
 
