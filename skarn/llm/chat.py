@@ -199,7 +199,7 @@ def read_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
-    """Digests of all conversations, read back from the formatted output."""
+    """Digests of all conversations, read back from the formatted output; turns of a conversation -1 in the table join the two added ones."""
     said = "</s>[INST] ok [/INST]"
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))

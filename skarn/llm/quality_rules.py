@@ -62,16 +62,28 @@ def line_fails(line: Column, low: Column) -> Column:
     return (line.rlike(SUSPECT) & (punctuation | navigation)) | menu | boilerplate
 
 
+def _apart(df: DataFrame, text: str) -> DataFrame:
+    """(__own, __text): the row as one struct, so that its columns' names can't clash with those made on the way."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__own"), F.col(text).alias("__text"))
+
+
+def _together(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The row's own columns again but for those that ``added`` replaces, and ``added``."""
+    return df.select(*[F.col(f"__own.`{c}`").alias(c) for c in columns if c not in added], *added)
+
+
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
-    """Adds clean_text, n_lines, n_lines_removed, words_removed, words_all and line_kept.
+    """Adds clean_text, n_lines, n_lines_removed, words_removed, words_all and line_kept; columns of these names are replaced.
 
     Null and empty texts have no words, lose nothing and are kept by this rule;
     clean_text is then the empty string. No shuffle; one row out for each row in.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.size(words_of(F.col(text))).cast("long")
-    out = _judged(df.withColumn("__lines", F.split(t, "\n", -1)), t).withColumn("words_all", words)
-    return out.select(*df.columns, F.array_join(F.filter("__lines", lambda x, i: ~F.get("__bad", i)), "\n").alias("clean_text"), *_losses(F.col("words_all"), most_lost))
+    t = F.coalesce("__text", F.lit(""))
+    own = _apart(df, text).withColumn("__lines", F.split(t, "\n", -1))
+    out = _judged(own, t).withColumn("words_all", F.size(words_of(F.col("__text"))).cast("long"))
+    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.get("__bad", i)), "\n").alias("clean_text")
+    out = out.select("__own", kept, *_losses(F.col("words_all"), most_lost))
+    return _together(out, df.columns, out.columns[1:])
 
 
 def _judged(df: DataFrame, t: Column) -> DataFrame:
@@ -112,12 +124,11 @@ def _with_repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds word_chars, n_symbols, n_dup_lines, n_words, n_repeat_words and base_failed.
+    """Adds word_chars, n_symbols, n_dup_lines, n_words, n_repeat_words and base_failed; columns of these names are replaced.
 
-    Null texts count as empty: no words, hence base_failed. The added names must
-    be free in ``df``.
+    Null texts count as empty: no words, hence base_failed.
     """
-    return _based(df, text).drop("__w", "__lines")
+    return _together(_based(_apart(df, text), "__text"), df.columns, ["word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words", "base_failed"])
 
 
 def _based(df: DataFrame, text: str) -> DataFrame:

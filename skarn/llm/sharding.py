@@ -7,11 +7,12 @@ two 32-bit halves because ANSI arithmetic refuses to wrap around.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Multiplier of the published generator, as its upper and lower halves.
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -71,10 +72,8 @@ def assign_shards(df: DataFrame, n_shards: int, key: str = "doc_id", into: str =
     """``df`` with the shard of each row's key; no shuffle, other columns untouched.
 
     Equal keys share a shard, null keys go as key -1, an empty table stays empty.
-    A column already named ``into`` is refused.
+    A column named ``into`` that is there already is replaced.
     """
-    if into in df.columns:
-        raise ValueError(f"column {into} is there already")
     return df.withColumn(into, jump_hash(integer_key(df, key), n_shards))
 
 
@@ -95,9 +94,13 @@ def number_slots(df: DataFrame, order: list[str], shard: str = "shard", into: st
     The first order column (an integer) is cut at its quantiles, rows are
     numbered inside (shard, piece), and the counts of earlier pieces are added;
     so no shard has to fit in one task. Rows equal in all of ``order`` get
-    adjacent slots in any order.
+    adjacent slots in any order. A column named ``into`` that is there already is
+    replaced, unless it is one of ``order``, which is an error.
     """
-    first, chunk, before = F.col(order[0]).cast("long"), "__chunk", "__before"
+    if into in order:
+        raise ValueError(f"column {into} can't be replaced, the order needs it")
+    df = df.drop(into)
+    first, chunk, before = F.col(order[0]).cast("long"), free_name(df, "__chunk"), free_name(df, "__before")
     n = df.count()
     pieces = min(MOST_CHUNKS, -(-n // rows_per_chunk))
     splits: list[int] = []
@@ -123,8 +126,8 @@ def write_shards(df: DataFrame, path: str, n_shards: int, key: str = "doc_id", f
 
 def moved(df: DataFrame, old: int, new: int, key: str = "doc_id") -> DataFrame:
     """Rows whose shard differs between two shard counts."""
-    ns = reduce(lambda d, x: assign_shards(d, x[0], key, x[1]), [(old, "__old"), (new, "__new")], df)
-    return ns.filter("__old <> __new").drop("__old", "__new")
+    own = integer_key(df, key)
+    return df.filter(jump_hash(own, old) != jump_hash(own, new))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

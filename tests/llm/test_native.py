@@ -51,9 +51,26 @@ def test_slots_are_gapless_in_order_with_nulls_ties_and_chunks(spark):
     assert sharding.number_slots(df.limit(0), ["doc_id"]).count() == 0
 
 
-def test_sharding_refuses_a_clashing_column(spark):
-    with pytest.raises(ValueError):
-        sharding.assign_shards(spark.range(1).withColumn("shard", F.lit(0)), 4, "id")
+def test_clashing_columns_are_replaced_and_others_stay(spark):
+    df = spark.range(40).select(F.col("id").alias("doc_id"), *[F.lit("own").alias(c) for c in ("shard", "slot", "__chunk", "__before", "__n")])
+    placed = sharding.assign_shards(df, 4)
+    assert placed.columns == df.columns and {r.shard for r in placed.collect()} == {0, 1, 2, 3}
+    out = sharding.number_slots(placed, ["doc_id"])
+    assert sorted(out.columns) == sorted(df.columns) and out.filter("__chunk = 'own' and __before = 'own' and __n = 'own'").count() == 40
+    assert sum(r.n for r in out.groupBy("shard").agg((F.max("slot") + 1).alias("n")).collect()) == 40
+    texts = spark.createDataFrame([("a b\n### ###\n" * 30, "own", 1)], "text string, __lines string, n_words int")
+    for rules in (quality_rules.base_rules, quality_rules.clean_lines):
+        row = rules(texts).first()
+        assert row["__lines"] == "own" and row["text"] and (rules is quality_rules.clean_lines or row.n_words == 120)
+
+
+def test_written_shards_hold_all_rows_and_few_move(spark, tmp_path):
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("x", F.col("doc_id") * 2)
+    sharding.write_shards(df, str(tmp_path / "s"), 5, files_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 3000 and back.filter("x <> 2 * doc_id").count() == 0
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in sharding.assign_shards(df, 5).collect()}
+    assert 350 < sharding.moved(df, 5, 6).count() < 650
 
 
 def _base(text):
