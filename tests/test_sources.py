@@ -72,3 +72,33 @@ def test_images_and_last_records(spark, tmp_path):
 def test_sitemap(spark, tmp_path):
     (tmp_path / "s.xml").write_text('<urlset xmlns:image="i"><url><loc>https://e.org/w/one/</loc><image:image><image:loc>https://e.org/1.jpg</image:loc></image:image></url><url><loc>https://e.org/w/two</loc></url></urlset>')
     assert [tuple(r) for r in files.read_sitemap(spark, str(tmp_path / "s.xml")).collect()] == [("one", "https://e.org/w/one/", "https://e.org/1.jpg")]
+
+
+def test_caches_match_what_they_were_made_of(spark, tmp_path):
+    from skarn.sources import caches
+    from skarn.sources.files import ContractError
+
+    rows = spark.createDataFrame([("b", [1.0]), ("a", None)], "slug string, v array<double>")
+    mark = caches.rows_fingerprint(rows, "slug", "v")
+    assert mark == caches.rows_fingerprint(rows.orderBy("slug").repartition(3), "slug", "v") != caches.rows_fingerprint(rows.limit(1), "slug", "v")
+    path, made = str(tmp_path / "cache"), []
+    for _ in range(2):
+        got, new = caches.cached(spark, path, "slug", {"mark": mark}, lambda: made.append(1) or rows)
+        assert sorted(r.slug for r in got.collect()) == ["a", "b"] and new == (len(made) == 1 and _ == 0)
+    with pytest.raises(ContractError):
+        caches.cached(spark, path, "slug", {"mark": "other"}, lambda: rows)
+    with pytest.raises(ContractError):
+        caches.save_cache(rows.unionByName(rows), str(tmp_path / "twice"), "slug", {})
+
+
+def test_reference_lines_errors_and_open_work(spark, tmp_path):
+    from skarn.sources import caches
+
+    (tmp_path / "l.json").write_text('{"slug": "a", "lines": [{"text": "x", "confidence": 0.5, "box": [1, 2, 3, 4]}, {"box": [1]}]}\n{"slug": "b", "lines": []}\n{"lines": [{"text": "y"}]}\n')
+    got = caches.read_reference_lines(spark, str(tmp_path / "l.json")).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [("a", 1, "x", 0.5, [1.0, 2.0, 3.0, 4.0]), ("a", 2, "", 0.0, None)]
+    table = spark.createDataFrame([("q1", "a", "a", ["a"]), ("q2", "a", None, ["b", "c"]), ("q3", None, None, [])], "query string, target string, answer string, best array<string>")
+    assert caches.write_errors(table, str(tmp_path / "errors"), F.col("target") == F.col("answer"), ["query", "best"]) == 2
+    assert "[\"\"b\"\",\"\"c\"\"]" in "".join(p.read_text() for p in (tmp_path / "errors").glob("*.csv"))
+    done = spark.createDataFrame([("q1", "done"), ("q2", "failed")], "query string, status string")
+    assert [r.query for r in caches.open_work(table, done, "query", F.col("query") != "q3").collect()] == ["q2"]
