@@ -12,7 +12,7 @@ from pyspark.sql.types import MapType, StringType
 #: Labels of visible lines and JSON-LD keys, by field (fixed values).
 LABELS = {"region": ("region", "регион"), "grape": ("grape", "grapes", "сорт винограда"), "winery": ("winery", "producer", "производитель"), "color": ("color", "colour", "цвет")}
 JSON_KEYS = {"name": "title", "description": "description", "brand": "winery", "color": "color"}
-MOST_CHARACTERS, LOOK_AHEAD = 500, 4
+MOST_CHARACTERS, LOOK_AHEAD = 360, 4
 _HIDDEN = frozenset(("script", "style", "noscript", "template"))
 _BREAKS = frozenset(("p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "table", "dt", "dd"))
 
