@@ -69,13 +69,29 @@ def open_set_auc(df: DataFrame, score: str, known: str, correct: str) -> DataFra
     return rows.agg((F.sum(F.col("u") * height) / F.nullif(F.max("__u") * F.max("__k"), F.lit(0))).alias("auc"))
 
 
-def floor_index_percentiles(df: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
-    """Elements at floor((n - 1) q) of each group's sorted values, found from counts of distinct values."""
+def _placed(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, c, __upto_c, __n): distinct values with their counts, running counts and the group's size."""
     tied = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
     sums = tied.groupBy(*by).agg(F.sum("c").alias("__n")).select(*[F.col(c).alias(f"__{c}") for c in by], "__n")
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    tied = with_running_sums(tied, value, by, "c").join(sums, same)
+    return with_running_sums(tied, value, by, "c").join(sums if by else F.broadcast(sums), same)
+
+
+def floor_index_percentiles(df: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """Elements at floor((n - 1) q) of each group's sorted values, found from counts of distinct values."""
     pick = [F.min(F.when(F.col("__upto_c") > F.floor((F.col("__n") - 1) * q), F.col(value))).alias(name) for name, q in at.items()]
-    return tied.groupBy(*by).agg(F.max("__n").alias("n"), *pick)
+    return _placed(df, value, by).groupBy(*by).agg(F.max("__n").alias("n"), *pick)
+
+
+def linear_percentiles(df: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """(by, n, one column each): percentiles interpolated between neighbours, found from counts of distinct values, so that no group is held whole."""
+
+    def pick(q: float) -> Column:
+        place = (F.col("__n") - 1) * F.lit(q)
+        element = lambda i: F.min(F.when(F.col("__upto_c") > i, F.col(value).cast("double")))
+        low, high, rest = element(F.floor(place)), element(F.ceil(place)), F.max(place - F.floor(place))
+        return low + (high - low) * rest
+
+    return _placed(df, value, by).groupBy(*by).agg(F.max("__n").alias("n"), *[pick(q).alias(name) for name, q in at.items()])

@@ -28,8 +28,8 @@ SELECT lang, round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1)
 
 def class_distribution_summary(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_t(spark, sf_dir, "labels"), "doc_id")
-    q = lambda p: F.round(F.percentile("n_chars", F.lit(p)), 6)
-    return d.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), q(0.1).alias("q10"), q(0.5).alias("median"), q(0.9).alias("q90"))
+    out = metrics.linear_percentiles(d, "n_chars", ["quality"], {"q10": 0.1, "median": 0.5, "q90": 0.9})
+    return out.select("quality", "n", *[F.round(c, 6).alias(c) for c in ("q10", "median", "q90")])
 
 
 CLASS_DISTRIBUTION_SUMMARY = "SELECT quality, count(*) AS n, round(quantile_cont(n_chars::DOUBLE, 0.1), 6) AS q10, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median, round(quantile_cont(n_chars::DOUBLE, 0.9), 6) AS q90 FROM documents JOIN labels USING (doc_id) GROUP BY quality"
@@ -37,9 +37,11 @@ CLASS_DISTRIBUTION_SUMMARY = "SELECT quality, count(*) AS n, round(quantile_cont
 
 def latency_summary(spark, sf_dir):
     """Linear percentiles and the share within a limit, by event type."""
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    e = _t(spark, sf_dir, "events").groupBy("event_type")
-    return e.agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.avg((F.col("value") <= 50).cast("double")), 9).alias("within"))
+    e = _t(spark, sf_dir, "events")
+    at = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    points = metrics.linear_percentiles(e, "value", ["event_type"], at).select(F.col("event_type").alias("kind"), *[F.round(c, 6).alias(c) for c in at])
+    sums = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("value") <= 50).cast("double")), 9).alias("within"))
+    return sums.join(points, F.col("event_type").eqNullSafe(F.col("kind")), "left").drop("kind")
 
 
 LATENCY_SUMMARY = "SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(100 * p)}" for p in (0.5, 0.9, 0.95, 0.99)) + ", round(avg((value <= 50)::INTEGER), 9) AS within FROM events GROUP BY event_type"

@@ -171,3 +171,19 @@ def test_best_items_over_batches():
         q, i, s, _ = best.settle()
         expected = [(x, it, -sc) for x in range(queries) for sc, it in sorted((-scores[x, j], items[j]) for j in range(n) if scores[x, j] > -np.inf)[:k]]
         assert list(zip(q.tolist(), i.tolist(), s.tolist(), strict=True)) == expected
+
+
+def test_linear_percentiles_and_running_sums(spark):
+    from skarn.operators import metrics
+
+    r = random.Random(2)
+    rows = [(r.choice("ab"), r.choice((r.random() * 100, 5.0, -3.0))) for _ in range(500)] + [("c", 1.0), ("d", None), (None, 2.0)]
+    table = spark.createDataFrame(rows, "g string, x double")
+    got = {x.g: x for x in metrics.linear_percentiles(table, "x", ["g"], {"p": 0.37, "low": 0.0, "high": 1.0}).collect()}
+    for g in ("a", "b", "c", None):
+        own = [x for k, x in rows if k == g]
+        assert got[g].n == len(own) and np.allclose([got[g].p, got[g].low, got[g].high], [np.percentile(own, 37), min(own), max(own)])
+    assert "d" not in got and metrics.linear_percentiles(table.limit(0), "x", ["g"], {"p": 0.5}).count() == 0
+    distinct = spark.createDataFrame([(float(v), 1) for v in range(3000)], "x double, n int")
+    sums = metrics.with_running_sums(distinct, "x", [], "n").collect()
+    assert all(s["__upto_n"] == s.x + 1 for s in sums)
