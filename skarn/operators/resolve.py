@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard
+
 
 def resolve_group(candidates: DataFrame, by: str, method: Column) -> DataFrame:
     """(by, status, method, path, n): one original wins; several with one size and checksum give the least path; else ambiguous.
@@ -67,3 +69,23 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> D
 def exact_duplicates(df: DataFrame, *columns: str) -> DataFrame:
     """(columns, rows) of groups of equal rows."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+
+
+def similar_sets(df: DataFrame, block: str, key: str, items: str, least: float) -> DataFrame:
+    """(u, v, j): pairs u < v of one block whose sets have a Jaccard similarity j of ``least`` or more.
+
+    Two such sets share one of the rarest items of each, if as many are looked at
+    as a set may lack and one more; so pairs meet only through those, and an item
+    that most sets have brings hardly any together.
+    """
+    rows = df.select(block, key, F.col(items).alias("__s"), F.explode(items).alias("__i"))
+    counts = rows.groupBy(F.col(block).alias("__b"), F.col("__i").alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    rows = rows.join(counts, F.col(block).eqNullSafe(F.col("__b")) & (F.col("__i") == F.col("__x")))
+    rare = F.row_number().over(Window.partitionBy(key).orderBy("__c", "__i"))
+    n = F.size("__s")
+    rows = rows.withColumn("__r", rare).filter(F.col("__r") <= n - F.ceil(n * F.lit(least) - 1e-9) + 1)
+    a = rows.select(block, "__i", F.col(key).alias("u"), F.col("__s").alias("__a"))
+    b = rows.select(block, "__i", F.col(key).alias("v"), F.col("__s").alias("__t"))
+    x, y = F.size("__a"), F.size("__t")
+    pairs = a.join(b, [block, "__i"]).filter((F.col("u") < F.col("v")) & (F.least(x, y) >= F.greatest(x, y) * (least - 1e-9))).dropDuplicates(["u", "v"])
+    return pairs.select("u", "v", jaccard(F.col("__a"), F.col("__t")).alias("j")).filter(F.col("j") >= least)

@@ -210,13 +210,9 @@ FK_CHECK = "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE NOT EXISTS (S
 
 
 def _name_pairs(spark, sf_dir) -> DataFrame:
-    """Pairs of distinct (brand, name) within a brand that share a token, with their Jaccard similarity."""
+    """Pairs of distinct (brand, name) within a brand that are alike in their tokens."""
     p = _t(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("id"))
-    p = p.withColumn("toks", F.array_distinct(T.tokens(F.lower("p_name"))))
-    t = p.select("p_brand", "id", "toks", F.explode("toks").alias("token"))
-    a, b = t.select("p_brand", "token", F.col("id").alias("u"), F.col("toks").alias("x")), t.select("p_brand", "token", F.col("id").alias("v"), F.col("toks").alias("y"))
-    pairs = a.join(b, ["p_brand", "token"]).filter("u < v").dropDuplicates(["u", "v"])
-    return pairs.select("u", "v", T.jaccard(F.col("x"), F.col("y")).alias("j")).filter("j >= 0.3")
+    return resolve.similar_sets(p.select("p_brand", "id", F.array_distinct(T.tokens(F.lower("p_name"))).alias("toks")), "p_brand", "id", "toks", 0.3)
 
 
 def jaccard_pairs(spark, sf_dir):

@@ -187,3 +187,14 @@ def test_linear_percentiles_and_running_sums(spark):
     distinct = spark.createDataFrame([(float(v), 1) for v in range(3000)], "x double, n int")
     sums = metrics.with_running_sums(distinct, "x", [], "n").collect()
     assert all(s["__upto_n"] == s.x + 1 for s in sums)
+
+
+def test_similar_sets_against_all_pairs(spark):
+    from skarn.operators import resolve
+
+    r = random.Random(4)
+    rows = [(r.choice("xy"), i, r.sample("abcdefgh", r.randint(1, 6))) for i in range(80)]
+    table = spark.createDataFrame(rows, "b string, k long, s array<string>")
+    for least in (0.3, 0.5, 0.8, 1.0):
+        expected = {(i, j) for (b, i, s), (c, j, t) in itertools.combinations(rows, 2) if b == c and len(set(s) & set(t)) / len(set(s) | set(t)) >= least}
+        assert {(x.u, x.v) for x in resolve.similar_sets(table, "b", "k", "s", least).collect()} == expected
