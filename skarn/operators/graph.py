@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir and read again, so that lineage doesn't grow with rounds."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="skarn-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written below spark.checkpoint.dir and read again, so that lineage doesn't grow with rounds."""
+    path = shared_folder(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _roots(parents: DataFrame) -> DataFrame:

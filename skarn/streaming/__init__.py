@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
     """Events of a Parquet file or folder, read file by file, with a watermark on their time."""
@@ -31,8 +31,19 @@ def session_counts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream has given once all input there is has been read (a memory table, for tests and small reports)."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream has given once all input there is has been read, as Parquet in the shared folder.
+
+    complete: each batch replaces what was there; append and update: batches are
+    added, so that an updated group has a row for each update. Batches are told
+    apart by their number, so one that is tried again does no harm.
+    """
+    spark = stream.sparkSession
+    top = shared_folder(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/rows" if mode == "complete" else f"{top}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{top}/rows" if mode == "complete" else f"{top}/rows/batch=-1")
+    return spark.read.schema(stream.schema).parquet(f"{top}/rows")
