@@ -155,7 +155,12 @@ def _fit(x: np.ndarray, y: np.ndarray, check: np.ndarray, vectors: np.ndarray) -
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:
-    """Word vectors from all ``docs`` (doc_id, text); the network from at most about ``most_rows`` labelled rows."""
+    """Word vectors from all ``docs`` (doc_id, text); the network from at most about ``most_rows`` labelled rows.
+
+    Null and empty texts add nothing to the vectors, texts of any length are read
+    whole, and rows that share a doc_id are each learnt from. Without labelled rows,
+    or with one label alone, every text gets the base rate, 0.5 for an empty table.
+    """
     vectors = word_vectors(docs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,7 +136,12 @@ def _fit(x: np.ndarray, y: np.ndarray, check: np.ndarray, kept: np.ndarray) -> F
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> FactorizationMachine:
-    """A machine fitted on at most about ``most_rows`` labelled rows of ``docs`` (doc_id, text)."""
+    """A machine fitted on at most about ``most_rows`` labelled rows of ``docs`` (doc_id, text).
+
+    Null and empty texts have no terms, texts of any length are read whole, and
+    rows that share a doc_id are each learnt from. Without labelled rows, or with one
+    label alone, every text gets the base rate, 0.5 for an empty table.
+    """
     bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", most_rows)
     kept = telling_terms(rows)
