@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near_dedup, pii, quality_model, quality_rules, sharding, token_files, toxicity
+from . import chat, decontaminate, divergence, mixing, near_dedup, pii, quality_model, quality_rules, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
         "op10_token_ids": token_files.op10_token_ids,
+        "op11_divergence": divergence.op11_divergence,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": sharding.OP5_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op8_chat": chat.OP8_SQL,
+        "op11_divergence": divergence.OP11_SQL,
     }
