@@ -27,31 +27,15 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .common import bounded_batches, read_table, scratch, stored
+from .units import blocks
 
 #: What stands between terms; terms are runs of ASCII letters and of all that isn't ASCII.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, ADDED, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
-#: Bytes of text counted at a time in a task.
-BLOCK_BYTES = 16 << 20
 #: So many kept terms at most (about 60 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 500_000
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again in batches of about BLOCK_BYTES of text."""
-    held, size = [], 0
-    for batch in batches:
-        for i, j in textnum.slices(batch.column(0), BLOCK_BYTES):
-            part = batch.slice(i, j - i)
-            held.append(part)
-            size += part.column(0).nbytes
-            if size >= BLOCK_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct terms, term of each occurrence, text of each occurrence) of texts without nulls; A-Z count as a-z."""
     parts = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string())), BETWEEN)
@@ -67,7 +51,7 @@ def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Function for mapInArrow, (text, lang) to (lang, term, n): documents of a block with the term."""
-    for block in _blocks(batches):
+    for block in blocks(batches):
         terms, found, owner = _terms(block.column(0))
         lang = block.column(1).dictionary_encode()
         pairs = np.unique(owner * len(terms) + found)
@@ -80,7 +64,7 @@ def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Function for mapInArrow, (text, lang, source) to (lang, source, term, n): occurrences in a block."""
-    for block in _blocks(batches):
+    for block in blocks(batches):
         terms, found, owner = _terms(block.column(0))
         lang, source = block.column(1).dictionary_encode(), block.column(2).dictionary_encode()
         kinds, kind = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
