@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, divergence, mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_files, toxicity
+from . import alignment, chat, decontaminate, divergence, mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_ids": token_files.op10_token_ids,
         "op11_divergence": divergence.op11_divergence,
         "op12_packing": packing.op12_packing,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
