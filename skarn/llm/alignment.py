@@ -1,18 +1,18 @@
 """Alignment of two tokenizers' tokens, as joins and windows over token rows.
 
-``align`` is relational throughout. Tokens of both sides are exploded with
-their places; a window sums their lengths up to the byte where each ends; an equi-join
-on text and end leaves the cuts, where both sides end; the running count of cuts
-numbers the groups, and the cut before gives each group's range of tokens on both
-sides. Groups are put together by text, and links are the products inside ranges.
+``align`` is relational. Tokens of both sides are exploded with their places; a
+window sums their lengths up to the byte where each ends; an equi-join on text
+and end leaves the cuts, where both sides end; the running count of cuts numbers
+the groups, and two cuts in a row bound a group's range of tokens on both sides.
+``links`` joins the ranges' tokens by group.
 
 Documents share most of their words, and no token reaches from one unit of
 text into the next (see ``units``; a tokenizer for which that doesn't hold gets whole
-texts as units). So rows are made for the distinct units of a block of documents
-instead of for every token of the corpus, of which a document has some
-thousands. Blocks lie in tables bucketed by block, so that explode,
-windows, joins and the return to documents need no shuffle; what is shuffled are
-counts of linked pairs by block. Documents get their sums from arrays of units.
+texts as units). So token rows are made for the distinct units of a block of
+documents instead of for every token of the corpus. Blocks lie in tables bucketed
+by block, so that explode, windows, joins and the return to documents need no
+shuffle; what is shuffled are counts of linked pairs by block. Arrow tasks,
+a block at a time, sum up a document's units and count the pairs that it holds.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum, units
@@ -35,9 +37,11 @@ from .common import bounded_batches, read_table, scratch, shared_dir, stored
 #: Blocks that a task can number.
 BLOCKS_A_TASK = 1 << 20
 #: Units of documents that are looked at together.
-UNITS_TOGETHER = 1 << 18
-TOKENS = "array<struct<id:int,length:int>>"
-LINKS = "array<struct<a:int,b:int,n:long>>"
+UNITS_TOGETHER = 1 << 16
+#: A group of more links than this counts ids that repeat in it before they are multiplied.
+MANY_LINKS = 4_096
+TOKENS = "a array<int>, a_lengths array<int>, b array<int>, b_lengths array<int>"
+IDS = pa.list_(pa.int32())
 DOCUMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -55,63 +59,41 @@ def _co_located(spark: SparkSession) -> Iterator[None]:
 
 
 def _ends(tokens: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """(keys, end, place) of each token of the array ``side``: the byte after its last, and its place from 1."""
-    rows = tokens.select(*keys, F.posexplode(side).alias("__at", "__token"))
+    """(keys, end, place) of each token of a side: the byte after its last, and how many tokens end there or before."""
+    rows = tokens.select(*keys, F.posexplode(f"{side}_lengths").alias("__at", "__length"))
     so_far = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*keys, F.sum("__token.length").over(so_far).alias("__end"), (F.col("__at") + 1).alias(f"__{side}"))
+    return rows.select(*keys, F.sum("__length").over(so_far).alias("__end"), (F.col("__at") + 1).alias(f"{side}_to"))
 
 
-def cuts(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, group from 1, first and last place of its a tokens, of its b tokens; from 1) of ``tokens`` (keys, a, b)."""
+def align(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """``tokens`` (keys, TOKENS; lengths in bytes) with a_cuts and b_cuts: for each group in order, how many tokens of a side end with it or before.
+
+    ``keys`` are unique; both sides spell the same bytes. A row without tokens has no cuts.
+    """
     met = _ends(tokens, keys, "a").join(_ends(tokens, keys, "b"), [*keys, "__end"])
-    order = Window.partitionBy(*keys).orderBy("__end")
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0)) + 1
-    return met.select(*keys, F.row_number().over(order).alias("group"), before("__a").alias("a_from"), F.col("__a").alias("a_to"), before("__b").alias("b_from"), F.col("__b").alias("b_to"))
+    group = F.row_number().over(Window.partitionBy(*keys).orderBy("__end"))
+    ranges = met.select(*keys, group.alias("group"), "a_to", "b_to").groupBy(*keys).agg(F.collect_list(F.struct("group", "a_to", "b_to")).alias("__met"))
+    cuts = ranges.withColumn("__met", F.array_sort("__met")).select(*keys, F.col("__met.a_to").alias("a_cuts"), F.col("__met.b_to").alias("b_cuts"))
+    none = F.array().cast("array<int>")
+    return tokens.join(cuts, keys, "left").select(*tokens.columns, F.coalesce("a_cuts", none).alias("a_cuts"), F.coalesce("b_cuts", none).alias("b_cuts"))
 
 
-def _times(values: Column, x: Column) -> Column:
-    return F.size(F.filter(values, lambda y: y == x)).cast("long")
+def links(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, n): how often the ids a and b are linked, from rows of ``align``; ids that repeat in a group are counted before they meet."""
 
+    def members(side: str) -> DataFrame:
+        places = aligned.select(*keys, F.posexplode(side).alias("__at", side), f"{side}_cuts")
+        group = F.size(F.filter(f"{side}_cuts", lambda c: c <= F.col("__at")))
+        return places.groupBy(*keys, group.alias("__group"), side).agg(F.count(F.lit(1)).alias(f"__{side}"))
 
-def align(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_a, n_b, n_groups, n_links, groups, links) of ``tokens`` (keys, a, b: TOKENS); ``keys`` are unique.
+    met = members("a").join(members("b"), [*keys, "__group"])
+    return met.groupBy(*keys, "a", "b").agg(F.sum(F.col("__a") * F.col("__b")).alias("n"))
 
-    Both sides must spell the same bytes, token after token. ``groups`` is written
-    `a1,a2|b1;a3|b2,b3`; ``links`` are LINKS, one for each pair of ids of
-    a group with its number of occurrences (ids that repeat in a group are
-    multiplied, not written out). Rows without tokens have no groups and an empty string.
-    """
-    ranges = cuts(tokens, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", "a_from", "a_to", "b_from", "b_to"))).alias("__groups"))
-    rows = tokens.join(ranges, keys, "left").withColumns({"__a": F.col("a.id"), "__b": F.col("b.id"), "__groups": F.coalesce("__groups", F.array().cast("array<struct<group:int,a_from:int,a_to:int,b_from:int,b_to:int>>"))})
-    part = lambda side, g: F.slice(F.col(f"__{side}"), g[f"{side}_from"], g[f"{side}_to"] - g[f"{side}_from"] + 1)
-    listed = F.transform("__groups", lambda g: F.struct(part("a", g).alias("a"), part("b", g).alias("b")))
-    rows = rows.withColumn("__groups", listed)
-    spelled = F.transform("__groups", lambda g: F.concat(F.array_join(g.a.cast("array<string>"), ","), F.lit("|"), F.array_join(g.b.cast("array<string>"), ",")))
-
-    def linked(g: Column) -> Column:
-        single = F.array(F.struct(F.get(g.a, F.lit(0)).alias("a"), F.get(g.b, F.lit(0)).alias("b"), F.lit(1).cast("long").alias("n")))
-        product = F.flatten(F.transform(F.array_distinct(g.a), lambda x: F.transform(F.array_distinct(g.b), lambda y: F.struct(x.alias("a"), y.alias("b"), (_times(g.a, x) * _times(g.b, y)).alias("n")))))
-        return F.when((F.size(g.a) == 1) & (F.size(g.b) == 1), single).otherwise(product)
-
-    size = lambda c: F.size(c).cast("long")
-    products = F.aggregate("__groups", F.lit(0).cast("long"), lambda s, g: s + size(g.a) * size(g.b))
-    return rows.select(
-        *keys,
-        size("__a").alias("n_a"),
-        size("__b").alias("n_b"),
-        size("__groups").alias("n_groups"),
-        products.alias("n_links"),
-        F.array_join(spelled, ";").alias("groups"),
-        F.flatten(F.transform("__groups", linked)).cast(LINKS).alias("links"),
-    )
-
-
-def _tokens(ids: units.Ids, lengths: np.ndarray, keep: np.ndarray) -> pa.Array:
-    """TOKENS of values; empty where ``keep`` is false."""
+
+def _listed(ids: units.Ids, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, flat ids) of values; nothing where ``keep`` is false."""
     counts = np.where(keep, np.diff(ids.starts), 0)
-    flat = units.gathered(ids.flat, ids.starts[:-1], counts)
-    pairs = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array(lengths[flat], pa.int32())], ["id", "length"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pairs)
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), units.gathered(ids.flat, ids.starts[:-1], counts)
 
 
 def _spelled(ids: units.Ids, lengths: np.ndarray) -> np.ndarray:
@@ -151,14 +133,16 @@ def _splitter(a_path: str, b_path: str):
                 sizes = np.asarray(values.cast(pa.large_binary()).buffers()[1]).view(np.int64)[values.offset : values.offset + len(values) + 1]
                 sizes = np.diff(sizes) + 1
                 right = (_spelled(own, a.lengths) == sizes) & (_spelled(other, b.lengths) == sizes)
-                yield _rows(first + n, "u", unit=pa.array(np.arange(i, i + len(values)), pa.int32()), a=_tokens(own, a.lengths, right), b=_tokens(other, b.lengths, right))
+                rows = {"unit": pa.array(np.arange(i, i + len(values)), pa.int32())}
+                for side, (bounds, flat), lengths in (("a", _listed(own, right), a.lengths), ("b", _listed(other, right), b.lengths)):
+                    rows[side], rows[f"{side}_lengths"] = (pa.ListArray.from_arrays(pa.array(bounds), pa.array(x, pa.int32())) for x in (flat, lengths[flat]))
+                yield _rows(first + n, "u", **rows)
         textnum.released()
 
     return run
 
 
-_KIND = pa.list_(pa.struct([("id", pa.int32()), ("length", pa.int32())]))
-_COLUMNS = {"block": pa.int64(), "kind": pa.string(), "doc_id": pa.int64(), "places": pa.binary(), "unit": pa.int32(), "a": _KIND, "b": _KIND}
+_COLUMNS = {"block": pa.int64(), "kind": pa.string(), "doc_id": pa.int64(), "places": pa.binary(), "unit": pa.int32(), "a": IDS, "a_lengths": IDS, "b": IDS, "b_lengths": IDS}
 
 
 def _rows(block: int, kind: str, **columns: pa.Array) -> pa.RecordBatch:
@@ -181,57 +165,102 @@ def _bucketed(df: DataFrame, buckets: int, parts: str) -> Iterator[DataFrame]:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@dataclass
+class _Aligned:
+    """Units of a block: numbers (n_a, n_b, n_groups, n_links) by unit, their groups as text, and links by unit."""
+
+    numbers: np.ndarray
+    spelled: pa.Array
+    starts: np.ndarray
+    codes: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> _Aligned:
+        rows = rows.take(pc.sort_indices(rows["unit"])).combine_chunks()
+        sides = {}
+        for side in "ab":
+            ids, cuts = (rows[c].chunk(0) if rows[c].num_chunks else pa.array([], IDS) for c in (side, f"{side}_cuts"))
+            first, bounds = ids.offsets.to_numpy().astype(np.int64), cuts.offsets.to_numpy().astype(np.int64)
+            stops = cuts.flatten().to_numpy() + np.repeat(first[:-1], np.diff(bounds))
+            edges = np.concatenate([[0], stops])  # every token lies in a group, so a group begins where the one before it ends
+            flat = ids.flatten()
+            sides[side] = (first, bounds, edges, flat.to_numpy(), pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat.cast(pa.string())), ","))
+        (first_a, bounds, edges_a, a, text_a), (first_b, _, edges_b, b, text_b) = sides["a"], sides["b"]
+        spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pc.binary_join_element_wise(text_a, text_b, "|")), ";")
+        n_a, n_b = np.diff(edges_a), np.diff(edges_b)
+        products = np.concatenate([[0], np.cumsum(n_a * n_b)])[bounds]
+        numbers = np.stack([np.diff(first_a), np.diff(first_b), np.diff(bounds), np.diff(products)])
+        codes, times, sizes = cls._links(a, b, edges_a, edges_b)
+        return cls(numbers, spelled, np.concatenate([[0], np.cumsum(sizes)])[bounds], codes, times)
+
+    @staticmethod
+    def _links(a: np.ndarray, b: np.ndarray, edges_a: np.ndarray, edges_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs of ids, times of each, number for each group); in groups of very many links, ids that repeat meet once."""
+        n_a, n_b = np.diff(edges_a), np.diff(edges_b)
+        large = np.flatnonzero(n_a * n_b > MANY_LINKS)
+        sizes = n_a * n_b
+        found = []
+        for g in large.tolist():
+            (x, nx), (y, ny) = (np.unique(v[e[g] : e[g + 1]], return_counts=True) for v, e in ((a, edges_a), (b, edges_b)))
+            found.append((_code(np.repeat(x, len(y)), np.tile(y, len(x))), np.repeat(nx, len(y)) * np.tile(ny, len(x))))
+            sizes[g] = len(x) * len(y)
+        stops = np.cumsum(sizes)
+        codes, times = np.empty(stops[-1] if len(stops) else 0, np.int64), np.ones(stops[-1] if len(stops) else 0, np.int64)
+        for g, (code, n) in zip(large.tolist(), found, strict=True):
+            codes[stops[g] - sizes[g] : stops[g]], times[stops[g] - sizes[g] : stops[g]] = code, n
+        small = np.ones(len(sizes), bool)
+        small[large] = False
+        whose = np.repeat(np.flatnonzero(small), sizes[small])
+        at = np.arange(len(codes)) if not len(large) else units.gathered(np.arange(len(codes)), (stops - sizes)[small], sizes[small])
+        i, j = np.divmod(at - (stops - sizes)[whose], n_b[whose])
+        codes[at] = _code(a[edges_a[whose] + i], b[edges_b[whose] + j])
+        return codes, times, sizes
+
+
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << 32) | b
+
+
 def _summed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Function for cogrouped documents and aligned units of a block: documents without counts of pairs (kind "d"), and the block's pairs (kind "p")."""
     block = key[0].as_py()
-    right = right.combine_chunks().sort_by("unit")
-    numbers = np.stack([right[c].to_numpy() for c in ("n_a", "n_b", "n_groups", "n_links")]) if len(right) else np.zeros((4, 0), np.int64)
-    spelled = right["groups"].to_pylist()
-    links = right["links"].combine_chunks() if len(right) else pa.array([], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])))
-    links = links.chunk(0) if isinstance(links, pa.ChunkedArray) else links
-    starts = links.offsets.to_numpy().astype(np.int64)
-    flat = links.values
-    codes = (flat.field("a").to_numpy().astype(np.int64) << 32) | flat.field("b").to_numpy()
-    times = flat.field("n").to_numpy()
-    pairs, code = np.unique(codes, return_inverse=True)
-    counts = np.diff(starts)
+    own = _Aligned.of(right)
+    n_units = max(1, own.numbers.shape[1])
+    pairs, code = np.unique(own.codes, return_inverse=True)
+    n_pairs, counts = max(1, len(pairs)), np.diff(own.starts)
     documents, out = np.zeros(len(pairs), np.int64), []
-    ids, places = left["doc_id"].combine_chunks(), left["places"].to_pylist()
+    left = left.combine_chunks()
+    ids, places = left["doc_id"], left["places"].chunk(0) if len(left) else pa.array([], pa.binary())
+    lengths = pc.binary_length(places).to_numpy() // 4
     i = 0
     while i < len(places):
-        j, size = i, 0
-        while j < len(places) and (j == i or size + len(places[j]) <= 4 * UNITS_TOGETHER):
-            size += len(places[j])
-            j += 1
-        which = np.frombuffer(b"".join(places[i:j]), "<i4").astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in places[i:j]])])
-        owner = np.repeat(np.arange(j - i), np.diff(bounds))
-        bad = np.bincount(owner[numbers[0, which] == 0], minlength=j - i) > 0
+        j = max(i + 1, int(np.searchsorted(np.cumsum(lengths[i:]), UNITS_TOGETHER, "right")) + i)
+        which = np.frombuffer(b"".join(places.slice(i, j - i).to_pylist()), "<i4").astype(np.int64)
+        owner = np.repeat(np.arange(j - i), lengths[i:j])
+        bad = np.bincount(owner[own.numbers[0, which] == 0], minlength=j - i) > 0
         good = ~bad[owner]
         which, owner = which[good], owner[good]
         bounds = np.searchsorted(owner, np.arange(j - i + 1))
-        sums = [np.bincount(owner, numbers[c, which], j - i).astype(np.int64) for c in range(4)]
+        sums = [np.bincount(owner, row[which], j - i).astype(np.int64) for row in own.numbers]
+        spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), own.spelled.take(pa.array(which))), ";")
+        digests = [hashlib.sha256(s.as_buffer()).hexdigest() if n else "" for s, n in zip(spelled, np.diff(bounds).tolist(), strict=True)]
         # distinct units of each document first, then their pairs
-        unit, repeats = np.unique(owner * max(1, numbers.shape[1]) + which, return_counts=True)
-        whose, unit = np.divmod(unit, max(1, numbers.shape[1]))
+        unit, repeats = np.unique(owner * n_units + which, return_counts=True)
+        whose, unit = np.divmod(unit, n_units)
         run = counts[unit]
-        at = units.gathered(np.arange(len(codes)), starts[unit], run)
-        key_of = np.repeat(whose, run) * max(1, len(pairs)) + code[at]
-        order = np.argsort(key_of, kind="stable")
-        key_of = key_of[order]
-        new = np.flatnonzero(np.concatenate([[True], key_of[1:] != key_of[:-1]])) if len(key_of) else np.zeros(0, np.int64)
-        total = np.add.reduceat((times[at] * np.repeat(repeats, run))[order], new) if len(new) else np.zeros(0, np.int64)
-        holder, pair = np.divmod(key_of[new], max(1, len(pairs)))
+        at = units.gathered(np.arange(len(code), dtype=np.int32), own.starts[unit], run)
+        key_of = np.repeat(whose, run) * n_pairs + code[at]
+        order = np.argsort(key_of)
+        key_of, n = key_of[order], (own.times[at] * np.repeat(repeats, run))[order]
+        new = np.flatnonzero(np.diff(key_of, prepend=-1))
+        total = np.add.reduceat(n, new) if len(new) else n
+        holder, pair = np.divmod(key_of[new], n_pairs)
         documents += np.bincount(pair, minlength=len(pairs))
         cut = np.searchsorted(holder, np.arange(j - i + 1))
-        digests, pair_bytes, total_bytes = [], [], []
-        for k in range(j - i):
-            own = which[bounds[k] : bounds[k + 1]]
-            digests.append(hashlib.sha256(";".join([spelled[u] for u in own.tolist()]).encode()).hexdigest() if len(own) else "")
-            pair_bytes.append(pair[cut[k] : cut[k + 1]].astype("<u4").tobytes())
-            total_bytes.append(total[cut[k] : cut[k + 1]].astype("<i8").tobytes())
-        columns = {"doc_id": ids.slice(i, j - i), **{c: pa.array(s) for c, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)}}
-        out.append(_sums(block, "d", columns | {"groups_sha256": pa.array(digests), "pairs": pa.array(pair_bytes, pa.binary()), "times": pa.array(total_bytes, pa.binary())}))
+        part = lambda values, size, kind: pa.array([values[cut[k] : cut[k + 1]].astype(kind).tobytes() for k in range(size)], pa.binary())  # noqa: E731, B023
+        columns = {"doc_id": ids.slice(i, j - i).combine_chunks(), **{c: pa.array(s) for c, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)}}
+        out.append(_sums(block, "d", columns | {"groups_sha256": pa.array(digests, pa.string()), "pairs": part(pair, j - i, "<u4"), "times": part(total, j - i, "<i8")}))
         i = j
     out.append(_sums(block, "p", {"pair": pa.array(pairs), "n": pa.array(documents)}))
     return pa.Table.from_batches(out)
@@ -277,12 +306,13 @@ def align_documents(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
     bounded_batches(spark)
     rows = df.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
     buckets = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    split = rows.mapInArrow(_splitter(a_path, b_path), f"block long, kind string, doc_id long, places binary, unit int, a {TOKENS}, b {TOKENS}")
+    split = rows.mapInArrow(_splitter(a_path, b_path), f"block long, kind string, doc_id long, places binary, unit int, {TOKENS}")
     own_block = F.col("block").alias("block")  # a column of its own, as both sides of a cogroup stem from one table
     with scratch(spark) as keep, _co_located(spark):
         with _bucketed(split, buckets, "kind") as table:
             documents = table.filter("kind = 'd'").select(own_block, "doc_id", "places")
-            aligned = align(table.filter("kind = 'u'").select("block", "unit", "a", "b"), ["block", "unit"])
+            tokens = table.filter("kind = 'u'").select("block", "unit", "a", "a_lengths", "b", "b_lengths")
+            aligned = align(tokens, ["block", "unit"]).drop("a_lengths", "b_lengths")
             sums = documents.groupBy("block").cogroup(aligned.groupBy("block")).applyInArrow(_summed, SUMS)
             with _bucketed(sums, buckets, "kind") as summed:
                 partial = summed.filter("kind = 'p'").select("block", "pair", "n")
