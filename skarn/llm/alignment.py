@@ -36,6 +36,8 @@ from .common import bounded_batches, read_table, scratch, shared_dir, stored
 
 #: Blocks that a task can number.
 BLOCKS_A_TASK = 1 << 20
+#: Bytes of text of a block, and blocks that a task of the input may have before two of them share a bucket.
+BLOCK_BYTES, BLOCKS_IN_MIND = 8 << 20, 4
 #: Units of documents that are looked at together.
 UNITS_TOGETHER = 1 << 16
 #: A group of more links than this counts ids that repeat in it before they are multiplied.
@@ -120,8 +122,9 @@ def _splitter(a_path: str, b_path: str):
         a, b = units.byte_units(a_path), units.piece_units(b_path)
         safe = a.safe() and b.safe()
         first = TaskContext.get().partitionId() * BLOCKS_A_TASK
-        for n, block in enumerate(units.blocks(batches)):
+        for n, block in enumerate(units.blocks(batches, size=BLOCK_BYTES)):
             found = units.split(block.column(0)) if safe else _whole(block.column(0))
+            found = units.finer(found) if safe and b.fine else units.coarse(found)
             ids = block.column(1).take(pa.array(found.order))
             for i in range(0, len(ids), 4096):
                 j = min(len(ids), i + 4096)
@@ -129,9 +132,9 @@ def _splitter(a_path: str, b_path: str):
                 yield _rows(first + n, "d", doc_id=ids.slice(i, j - i), places=places)
             for i in range(0, len(found.values), 1 << 16):
                 values = found.values.slice(i, 1 << 16)
-                own, other = a.encode(values), b.encode(values)
+                own, other = a.encode_spelled(values), b.encode_spelled(values)
                 sizes = np.asarray(values.cast(pa.large_binary()).buffers()[1]).view(np.int64)[values.offset : values.offset + len(values) + 1]
-                sizes = np.diff(sizes) + 1
+                sizes = np.diff(sizes)
                 right = (_spelled(own, a.lengths) == sizes) & (_spelled(other, b.lengths) == sizes)
                 rows = {"unit": pa.array(np.arange(i, i + len(values)), pa.int32())}
                 for side, (bounds, flat), lengths in (("a", _listed(own, right), a.lengths), ("b", _listed(other, right), b.lengths)):
@@ -156,7 +159,7 @@ def _bucketed(df: DataFrame, buckets: int, parts: str) -> Iterator[DataFrame]:
     """``df`` as a table of the shared folder, bucketed by block and split by ``parts``; dropped at the end."""
     spark = df.sparkSession
     name, path = f"skarn_{uuid.uuid4().hex}", shared_dir(spark)
-    df.write.bucketBy(buckets, "block").partitionBy(parts).option("path", path).saveAsTable(name)
+    df.write.bucketBy(buckets, "block").partitionBy(parts).option("compression", "zstd").option("path", path).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
@@ -258,9 +261,12 @@ def _summed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         holder, pair = np.divmod(key_of[new], n_pairs)
         documents += np.bincount(pair, minlength=len(pairs))
         cut = np.searchsorted(holder, np.arange(j - i + 1))
+        steps = np.diff(pair, prepend=0)
+        begins = cut[:-1][np.diff(cut) > 0]
+        steps[begins] = pair[begins]
         part = lambda values, size, kind: pa.array([values[cut[k] : cut[k + 1]].astype(kind).tobytes() for k in range(size)], pa.binary())  # noqa: E731, B023
         columns = {"doc_id": ids.slice(i, j - i).combine_chunks(), **{c: pa.array(s) for c, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)}}
-        out.append(_sums(block, "d", columns | {"groups_sha256": pa.array(digests, pa.string()), "pairs": part(pair, j - i, "<u4"), "times": part(total, j - i, "<i8")}))
+        out.append(_sums(block, "d", columns | {"groups_sha256": pa.array(digests, pa.string()), "pairs": part(steps, j - i, "<i4"), "times": part(total, j - i, "<i8")}))
         i = j
     out.append(_sums(block, "p", {"pair": pa.array(pairs), "n": pa.array(documents)}))
     return pa.Table.from_batches(out)
@@ -282,7 +288,7 @@ def _counted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     count, best = right["count"].to_numpy(), right["best"].to_numpy()
     n_best, count_sum = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
     for i, (pairs, times) in enumerate(zip(left["pairs"], left["times"], strict=True)):
-        pair, n = np.frombuffer(pairs.as_buffer(), "<u4"), np.frombuffer(times.as_buffer(), "<i8")
+        pair, n = np.cumsum(np.frombuffer(pairs.as_buffer(), "<i4")), np.frombuffer(times.as_buffer(), "<i8")
         n_best[i], count_sum[i] = n[best[pair]].sum(), (n * count[pair]).sum()
     made = {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
     return pa.table({c: made.get(c, left[c] if c in left.column_names else None) for c in (x.split()[0] for x in RESULT.split(", "))})
@@ -305,7 +311,7 @@ def align_documents(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    buckets = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    buckets = max(spark.sparkContext.defaultParallelism, BLOCKS_IN_MIND * rows.rdd.getNumPartitions())
     split = rows.mapInArrow(_splitter(a_path, b_path), f"block long, kind string, doc_id long, places binary, unit int, {TOKENS}")
     own_block = F.col("block").alias("block")  # a column of its own, as both sides of a cogroup stem from one table
     with scratch(spark) as keep, _co_located(spark):

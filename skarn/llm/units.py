@@ -6,6 +6,8 @@ that split words by the usual pattern always end a token there, and so do
 sentence pieces none of which has a space mark after another character;
 ``ByteUnits.safe`` and ``PieceUnits.safe`` tell. The ids of a text are then
 those of its units, and a unit that occurs often is encoded once a block.
+``finer`` cuts units once more, between letters and punctuation and before line
+breaks, so that a word is one unit whatever follows it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ BLOCK_BYTES = 16 << 20
 #: A text with one of these isn't cut at every space: a space after white space, or at an end.
 UNEVEN = r"[\t-\r\x1c- \x{85}\p{Z}] |^ | \z"
 CUT = re.compile(r"(?<=\S) (?!\Z)")
-#: Letters that no version of Unicode classes otherwise, then ASCII punctuation but for the apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters that no version of Unicode classes otherwise, and ASCII punctuation but for the apostrophe.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")
+BESIDE = f"[{LETTERS}][{MARKS}\n]|[{MARKS}][{LETTERS}\n]"
+FINE = re.compile(f"(?<=[{LETTERS}])(?=[{MARKS}\n])|(?<=[{MARKS}])(?=[{LETTERS}\n])")
 #: Plain words encoded in one call.
 WORDS_TOGETHER = 1_000
 SPACE_MARK = "▁"
@@ -85,6 +90,15 @@ class Ids:
         flat = np.fromiter((i for x in lists for i in x), np.int32, int(counts.sum()))
         return cls(flat, np.concatenate([[0], np.cumsum(counts)]))
 
+    @classmethod
+    def merged(cls, first: Ids, second: Ids, is_first: np.ndarray) -> Ids:
+        """Both in one, where ``is_first`` tells from which the next value comes."""
+        counts = np.empty(len(is_first), np.int64)
+        counts[is_first], counts[~is_first] = np.diff(first.starts), np.diff(second.starts)
+        starts = np.empty(len(is_first), np.int64)
+        starts[is_first], starts[~is_first] = first.starts[:-1], len(first.flat) + second.starts[:-1]
+        return cls(gathered(np.concatenate([first.flat, second.flat]), starts, counts), np.concatenate([[0], np.cumsum(counts)]))
+
 
 def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Runs of ``flat``, one after another."""
@@ -92,6 +106,29 @@ def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _spaced(values: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar("", pa.large_string()), values, pa.scalar(" ", pa.large_string()))
+
+
+def finer(found: Split) -> Split:
+    """The same texts in finer units, which begin with the space that stands before them, if one does."""
+    mixed = pc.match_substring_regex(found.values, BESIDE).to_numpy(zero_copy_only=False)
+    parts = pa.array([FINE.split(" " + v) for v in found.values.filter(pa.array(mixed)).to_pylist()], pa.large_list(pa.large_string()))
+    flat = pa.concat_arrays([_spaced(found.values.filter(pa.array(~mixed))), parts.flatten()]).dictionary_encode()
+    counts, starts = np.ones(len(mixed), np.int64), np.empty(len(mixed), np.int64)
+    rest = int((~mixed).sum())
+    offsets = parts.offsets.to_numpy()
+    counts[mixed], starts[mixed], starts[~mixed] = np.diff(offsets), rest + offsets[:-1], np.arange(rest)
+    own = counts[found.which]
+    which = gathered(flat.indices.to_numpy(), starts[found.which], own)
+    return Split(flat.dictionary, which, np.concatenate([[0], np.cumsum(own)])[found.bounds], found.order)
+
+
+def coarse(found: Split) -> Split:
+    """The same units with the space before each of them, as ``finer`` gives them."""
+    return Split(_spaced(found.values), found.which, found.bounds, found.order)
+
+
 def _byte_alphabet() -> dict[int, str]:
     """Byte-level tokenizers write each byte as a printable character: itself, or the next from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,7 +177,14 @@ class ByteUnits:
             out += np.split(ids, np.flatnonzero(self.begins[ids])[1:])
         return out
 
+    def encode_spelled(self, values: pa.Array) -> Ids:
+        """ids of units that are spelled with the space before them, if there is one."""
+        spaced = pc.starts_with(values, " ").to_numpy(zero_copy_only=False)
+        after = pc.utf8_slice_codeunits(values.filter(pa.array(spaced)), 1)
+        return Ids.merged(self.encode(after), Ids.of(self.whole(values.filter(pa.array(~spaced)).to_pylist())), spaced)
+
     def encode(self, units: pa.Array) -> Ids:
+        """ids of space + unit."""
         texts = units.to_pylist()
         words: dict[str, int] = {}
         kinds = []
@@ -181,6 +225,9 @@ class PieceUnits:
         spelled = [1 if self.model.is_byte(i) else len(p.replace(SPACE_MARK, " ").encode()) for i, p in enumerate(pieces)]
         self.lengths = np.asarray(spelled, np.int32)
         self.apart = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
+        own = [p for i, p in enumerate(pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        #: No piece reaches over a place where ``finer`` cuts.
+        self.fine = self.apart and not any(re.search(f"{BESIDE}|\n", p) for p in own)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -190,8 +237,16 @@ class PieceUnits:
         probe = ["one", "two,", "d'été", "3rd", "<s>", "né\n\nfoo", "a\t", "b  c", "…", "ﬁ", "日本", "end"]
         return self.apart and self.whole([" ".join(probe)])[0] == [i for p in self.whole(probe) for i in p]
 
-    def encode(self, units: pa.Array) -> Ids:
-        return Ids.of(self.whole(units.to_pylist()))
+    def encode_spelled(self, values: pa.Array) -> Ids:
+        """ids of units that are spelled with the space before them, if there is one; others are encoded behind a letter or mark that is cut from them."""
+        texts = values.to_pylist()
+        spaced = np.fromiter((t.startswith(" ") for t in texts), bool, len(texts))
+        plain = Ids.of(self.whole([t[1:] for t in texts if t.startswith(" ")]))
+        others = [t for t in texts if not t.startswith(" ")]
+        before = ["a" if re.match(f"[{MARKS}\n]", t) else "." for t in others]
+        skipped = {x: len(self.whole([x])[0]) for x in "a."}
+        ids = [i[skipped[x] :] for x, i in zip(before, self.whole([x + t for x, t in zip(before, others, strict=True)]), strict=True)]
+        return Ids.merged(plain, Ids.of(ids), spaced)
 
 
 @cache
