@@ -36,50 +36,58 @@ def _turns(*pairs: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("text")) for role, text in pairs])
 
 
-def _listed(items: str, role: str, text: str, names: dict[str, str] | None = None) -> Column:
+#: A field of a row by its name, a null where the layout's optional field is absent.
+Fields = Callable[[str], Column]
+
+
+def _listed(items: str, role: str, text: str, names: dict[str, str] | None = None) -> Callable[[Fields], Column]:
     def one(x: Column) -> Column:
         r = x[role]
         for old, new in (names or {}).items():
             r = F.when(x[role] == old, new).otherwise(r)
         return F.struct(r.alias("role"), x[text].alias("text"))
 
-    return F.transform(F.col(items), one)
+    return lambda field: F.transform(field(items), one)
+
 
+def _asked(user: str, assistant: str) -> Callable[[Fields], Column]:
+    return lambda field: _turns(("user", field(user)), ("assistant", field(assistant)))
 
-def _instruction() -> Column:
-    more = F.coalesce(F.col("input"), F.lit(""))
-    asked = F.concat(F.coalesce(F.col("instruction"), F.lit("")), F.when(more != "", F.concat(F.lit("\n\n"), more)).otherwise(""))
-    return _turns(("user", asked), ("assistant", F.col("output")))
+
+def _instruction(field: Fields) -> Column:
+    more = F.coalesce(field("input"), F.lit(""))
+    asked = F.concat(F.coalesce(field("instruction"), F.lit("")), F.when(more != "", F.concat(F.lit("\n\n"), more)).otherwise(""))
+    return _turns(("user", asked), ("assistant", field("output")))
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """paths: the nested fields of a layout; turns: its canonical turns, or None for a row of a table per turn."""
+    """paths: the nested fields of a layout, of which ``optional`` may be absent; turns: its canonical turns, or None for a row of a table per turn."""
 
     name: str
     paths: tuple[str, ...]
     schema: str
-    turns: Callable[[], Column] | None
+    turns: Callable[[Fields], Column] | None
+    optional: tuple[str, ...] = ()
 
     @property
-    def fingerprint(self) -> str:
-        return fingerprint_of(self.paths)
+    def fingerprints(self) -> list[str]:
+        return [fingerprint_of(set(self.paths) - set(self.optional[:n])) for n in range(len(self.optional) + 1)]
 
 
 def fingerprint_of(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-_SHARE_NAMES = {"human": "user", "gpt": "assistant"}
 MAPPINGS = (
     Mapping("turn_rows", ("conv_id", "turn", "role", "text"), "", None),
-    Mapping("messages", ("messages[].role", "messages[].content"), "messages array<struct<role:string,content:string>>", lambda: _listed("messages", "role", "content")),
-    Mapping("shared", ("conversations[].from", "conversations[].value"), "conversations array<struct<`from`:string,value:string>>", lambda: _listed("conversations", "from", "value", _SHARE_NAMES)),
-    Mapping("prompt", ("prompt", "response"), "prompt string, response string", lambda: _turns(("user", F.col("prompt")), ("assistant", F.col("response")))),
-    Mapping("completion", ("prompt", "completion"), "prompt string, completion string", lambda: _turns(("user", F.col("prompt")), ("assistant", F.col("completion")))),
-    Mapping("instruction", ("instruction", "input", "output"), "instruction string, input string, output string", _instruction),
+    Mapping("messages", ("messages[].role", "messages[].content"), "messages array<struct<role:string,content:string>>", _listed("messages", "role", "content")),
+    Mapping("shared", ("conversations[].from", "conversations[].value"), "conversations array<struct<`from`:string,value:string>>", _listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
+    Mapping("prompt", ("prompt", "response"), "prompt string, response string", _asked("prompt", "response")),
+    Mapping("completion", ("prompt", "completion"), "prompt string, completion string", _asked("prompt", "completion")),
+    Mapping("instruction", ("instruction", "input", "output"), "instruction string, input string, output string", _instruction, optional=("input",)),
 )
-BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
+BY_FINGERPRINT = {f: m for m in MAPPINGS for f in m.fingerprints}
 #: Paths that tell layouts apart; others (extra columns) take no part in a fingerprint.
 KNOWN = frozenset(p for m in MAPPINGS for p in m.paths) - {"conv_id"}
 
@@ -105,7 +113,7 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """
     layout = layout_of(df)
     if layout.turns:
-        turns = layout.turns()
+        turns = layout.turns(lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string"))
         out = df.select(F.col(key), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
     else:
         empty = F.lit("")
@@ -119,49 +127,36 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
 def canonical_json(df: DataFrame, json: str, key: str = "conv_id") -> DataFrame:
     """(key, layout, turns) for a column of JSON records whose layouts differ by row.
 
-    The fingerprint of each record comes from its own variant schema with leaf
-    types removed. Broken JSON and unknown layouts give null layout and turns;
-    no row is lost.
+    A record's fingerprint is made of those KNOWN paths that it has, told by the
+    keys of the record and of the first element of its lists, so that further
+    fields are ignored as in tables. Broken JSON, empty lists and unknown
+    layouts give null layout and turns; no row is lost.
     """
-    shape = F.schema_of_variant(F.try_parse_json(F.col(json)))
-    shape = F.regexp_replace(shape, r"STRING|VOID|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)", "_")
-    print_of = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    shapes = {
-        "messages": ["OBJECT<messages: ARRAY<OBJECT<content: _, role: _>>>"],
-        "shared": ["OBJECT<conversations: ARRAY<OBJECT<from: _, value: _>>>"],
-        "prompt": ["OBJECT<prompt: _, response: _>"],
-        "completion": ["OBJECT<completion: _, prompt: _>"],
-        "instruction": ["OBJECT<input: _, instruction: _, output: _>", "OBJECT<instruction: _, output: _>"],
-    }
-    out = df.select(F.col(key), F.col(json).alias("__json"), F.sha2(shape, 256).alias("__print"))
+    record = F.col(json)
+    lists = sorted({p.split("[]")[0] for p in KNOWN if "[]" in p})
+    keys = {name: F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")) for name in lists} | {"": F.json_object_keys(record)}
+
+    def present(path: str) -> Column:
+        outer, _, inner = path.rpartition("[].")
+        return F.when(F.array_contains(keys[outer], inner), path)
+
+    paths = F.array_compact(F.array(*[present(p) for p in sorted(KNOWN)]))
+    out = df.select(F.col(key), record.alias("__json"), F.sha2(F.array_join(paths, "\n"), 256).alias("__print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in MAPPINGS:
-        if m.turns:
-            hit = F.col("__print").isin([print_of(s) for s in shapes[m.name]])
-            layout = F.when(hit, m.name).otherwise(layout)
-            names = T.StructType.fromDDL(m.schema).fieldNames()
-            record = F.from_json("__json", m.schema)
-            out = out.withColumns({f"__{m.name}": F.when(hit, record)})
-            cols = {n: F.col(f"__{m.name}").getField(n) for n in names}
-            inner = {"messages": lambda c=cols: F.transform(c["messages"], lambda x: F.struct(x["role"].alias("role"), x["content"].alias("text"))), "shared": lambda c=cols: F.transform(c["conversations"], lambda x: F.struct(F.when(x["from"] == "human", "user").when(x["from"] == "gpt", "assistant").otherwise(x["from"]).alias("role"), x["value"].alias("text")))}
-            if m.name in inner:
-                t = inner[m.name]()
-            elif m.name == "instruction":
-                more = F.coalesce(cols["input"], F.lit(""))
-                t = _turns(("user", F.concat(F.coalesce(cols["instruction"], F.lit("")), F.when(more != "", F.concat(F.lit("\n\n"), more)).otherwise(""))), ("assistant", cols["output"]))
-            else:
-                t = _turns(("user", cols["prompt"]), ("assistant", cols[names[1]]))
-            turns = F.when(hit, t).otherwise(turns)
+    for m in (m for m in MAPPINGS if m.turns):
+        hit = F.col("__print").isin(m.fingerprints)
+        read = F.from_json("__json", m.schema)
+        layout, turns = F.when(hit, m.name).otherwise(layout), F.when(hit, m.turns(read.getField)).otherwise(turns)
     return out.select(key, layout.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
-    """One backslash more before each control string and the backslashes that lead up to it."""
-    return F.regexp_replace(text, rf"(\\*)({CONTROL})", r"\\$1$2")
+    """One backslash more before each control string and the backslashes that lead up to it; a run of them is tried from its start only."""
+    return F.regexp_replace(text, rf"(?<!\\)(\\*+)({CONTROL})", r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\\(\\*)({CONTROL})", "$1$2")
+    return F.regexp_replace(text, rf"(?<!\\)\\(\\*+)({CONTROL})", "$1$2")
 
 
 def format_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -1,7 +1,8 @@
 """Line-first cleaning with SQL functions only.
 
-Rules for punctuation and navigation look at one line at a time; boilerplate is
-learnt from the corpus: lines that many documents hold in ever other surroundings.
+Rules for punctuation, navigation and known phrases look at one line at a time; other
+boilerplate is learnt from the corpus: lines that many documents hold in ever other
+surroundings.
 Failing lines go, and a document that loses too much of its text goes too.
 """
 
@@ -20,7 +21,15 @@ BOILERPLATE = (
     "tous droits réservés", "cliquez ici", "politique de cookies", "activer javascript", "sous licence", "politique de confidentialité", "abonnez-vous", "conditions générales", "utilise des cookies",
     "todos los derechos reservados", "haga clic aquí", "política de cookies", "activar javascript", "bajo licencia", "política de privacidad", "suscríbase", "términos de uso", "utiliza cookies",
 )
-#: Words of which a line of at most MENU_WORDS words and MENU_CHARS characters, and no others, makes a menu: English, German, French, Spanish (fixed values).
+#: Phrases that mark a line as boilerplate when a word of it begins one, in lower case: English, German, French, Spanish (fixed values).
+BOILERPLATE = (
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under", "lorem ipsum", "privacy policy", "released under", "sign up for our newsletter", "subscribe to our",
+    "terms of service", "terms of use", "use cookies",
+    "alle rechte vorbehalten", "hier klicken", "cookie-richtlinie", "javascript aktivieren", "lizenziert unter", "datenschutzerklärung", "newsletter abonnieren", "allgemeine geschäftsbedingungen", "verwendet cookies",
+    "tous droits réservés", "cliquez ici", "politique de cookies", "activer javascript", "sous licence", "politique de confidentialité", "abonnez-vous", "conditions générales", "utilise des cookies",
+    "todos los derechos reservados", "haga clic aquí", "política de cookies", "activar javascript", "bajo licencia", "política de privacidad", "suscríbase", "términos de uso", "utiliza cookies",
+)
+#: Words of which a line of at most MENU_WORDS words and MENU_CHARS characters, and no others, makes a menu, in the same languages (fixed values).
 MENU = (
     "home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "top", "share", "print", "help", "faq", "news", "blog", "archive",
     "startseite", "kontakt", "anmelden", "abmelden", "registrieren", "suche", "weiter", "zurück", "teilen", "drucken", "hilfe", "archiv", "impressum",
@@ -49,6 +58,7 @@ MENU_START = rf"^[\x20\x09-\x0D]*(?:{'|'.join(MENU)})(?:[\x20\x09-\x0D|>»]|$)"
 
 #: A line without any of these passes the rules that count words of a kind.
 SUSPECT = r"[#*$%&<>|»›•·]|!!"
+PHRASE = rf"(?:^|[^a-z])(?:{'|'.join(BOILERPLATE)})"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,8 +66,8 @@ def _n_words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(WORD))
 
 
-def line_fails(line: Column) -> Column:
-    """True where a line breaks a punctuation or navigation rule.
+def line_fails(line: Column, phrases: Column) -> Column:
+    """True where a line breaks a punctuation, navigation or phrase rule; ``phrases`` tells whether its text has a phrase at all.
 
     Blank lines pass. Cheap conditions stand first: most lines are settled by them.
     A menu is told by its split words, so that a line may be as long as it likes.
@@ -68,7 +78,7 @@ def line_fails(line: Column) -> Column:
     low = F.lower(line)
     menu = low.rlike(MENU_START) & (n <= MENU_WORDS) & F.forall(F.split(F.ltrim(low), MENU_BETWEEN), lambda w: w.isin("", *MENU))
     short = F.when(F.length(line) <= MENU_CHARS, menu).otherwise(False)
-    return F.when(line.rlike(SUSPECT), punctuation | navigation).otherwise(False) | short
+    return F.when(line.rlike(SUSPECT), punctuation | navigation).otherwise(False) | short | F.when(phrases, low.rlike(PHRASE)).otherwise(False)
 
 
 def _apart(df: DataFrame, text: str) -> DataFrame:
@@ -123,7 +133,8 @@ def _judged(rows: DataFrame, shared: DataFrame, words_all: Column, most_lost: fl
     Lines become rows to meet boilerplate, and are summed up again by row, in
     the same task where boilerplate is small enough to be sent there.
     """
-    line = F.transform("__lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), line_fails(x).alias("fails")))
+    line = F.transform("__lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), line_fails(x, F.col("__phrases")).alias("fails")))
+    rows = rows.withColumn("__phrases", F.coalesce(F.lower("__text").rlike(PHRASE), F.lit(False)))
     opened = rows.select("__own", "__row", words_all.alias("words_all"), F.size("__lines").cast("long").alias("n_lines"), F.inline(line))
     met = opened.withColumn("line_hash", F.when(~F.col("fails"), F.xxhash64("line"))).join(shared.withColumnRenamed("words", "__shared"), "line_hash", "left")
     gone = F.col("fails") | F.col("__shared").isNotNull()
@@ -205,7 +216,8 @@ _LINE_FAILS = f"""(
     OR ({_N} >= {LEAST_WORDS} AND len(regexp_extract_all(x, '{SHOUT}')) > {_N} * {SHOUTED_WORDS}::DOUBLE)
     OR ({_N} >= {LEAST_WORDS} AND len(list_filter(regexp_split_to_array(x, '{SPACE}'), lambda w: w IN ('|', '»', '›', '•', '·', '>'))) > {_N} * {SEPARATORS}::DOUBLE)
     OR ({_N} <= {MENU_WORDS} AND length(x) <= {MENU_CHARS} AND regexp_matches(lower(x), '{MENU_START}')
-      AND len(list_filter(regexp_split_to_array(lower(x), '{MENU_BETWEEN}'), lambda w: w NOT IN ('', {', '.join(f"'{w}'" for w in MENU)}))) = 0)))"""
+      AND len(list_filter(regexp_split_to_array(lower(x), '{MENU_BETWEEN}'), lambda w: w NOT IN ('', {', '.join(f"'{w}'" for w in MENU)}))) = 0)
+    OR regexp_matches(lower(x), '{PHRASE}')))"""
 
 OP6_SQL = f"""
 WITH base AS (

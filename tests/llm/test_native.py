@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -173,3 +174,60 @@ def test_contained_keeps_items_without_id_and_of_one_id_apart(spark):
     assert got == sorted((d, *i) for d in (0, 1) for i in ((0, 6, 6), (7, 6, 6), (7, 6, 7)))
     clean = decontaminate.decontaminate(docs, items)
     assert clean.columns == docs.columns and sorted(x.asDict()["__id"] for x in clean.collect()) == ["d", "e"]
+
+
+def test_json_records_with_further_fields_and_tables_without_input(spark):
+    rows = [
+        ("m", '{"id": 3, "messages": [{"role": "user", "content": "q", "meta": {"x": [1]}}, {"role": "assistant", "content": "a"}]}'),
+        ("s", '{"conversations": [{"value": "q", "from": "human", "n": 1}, {"from": "gpt", "value": "a"}], "source": "x"}'),
+        ("i", '{"tags": [], "output": "a", "instruction": "q"}'),
+        ("both", '{"prompt": "q", "response": "a", "completion": "b"}'),
+        ("empty", '{"messages": []}'),
+        ("list", "[1]"),
+    ]
+    got = {r.conv_id: r for r in chat.canonical_json(spark.createDataFrame(rows, "conv_id string, j string"), "j").collect()}
+    for k, layout in (("m", "messages"), ("s", "shared"), ("i", "instruction")):
+        assert got[k].layout == layout and [tuple(t) for t in got[k].turns] == [("user", "q"), ("assistant", "a")]
+    assert all(got[k].layout is None and got[k].turns is None for k in ("both", "empty", "list"))
+    table = spark.createDataFrame([("1", "q", "a", 5)], "conv_id string, instruction string, output string, extra int")
+    assert [tuple(t) for t in chat.canonical(table).first().turns] == [("user", "q"), ("assistant", "a")]
+
+
+def test_long_runs_of_backslashes_are_escaped_in_linear_time(spark):
+    run = "\\" * 1_000_000
+    texts = [run, run + "<s>", run + "x<s>", (run[:999] + "[INST]") * 1000, "<|end|>" + run, "\\<s>\\\\</s>" * 10_000]
+    df = spark.createDataFrame([(i, "user", t) for i, t in enumerate(texts)] + [(9, t, "x") for t in texts[:2]], "conv_id long, role string, text string")
+    began = time.monotonic()
+    back = chat.read_turns(chat.format_turns(chat.canonical(df.withColumn("turn", F.lit(0)))))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back.collect()}
+    assert time.monotonic() - began < 60
+    assert all(got[i] == [("user", t)] for i, t in enumerate(texts)) and sorted(got[9]) == sorted((t, "x") for t in texts[:2])
+
+
+def test_lines_of_a_megabyte_are_judged(spark):
+    lines = [f"{w}{sep}" * (1_000_000 // len(w + sep)) for w in ("home", "datenschutz", "zurück", "|", "!!", "a", "licensed under") for sep in (" ", " | ", "")]
+    began = time.monotonic()
+    rows = quality_rules.clean_lines(_docs(spark, [(i, f"{x}\nhome | about\n\nA line that stays as it is.") for i, x in enumerate(lines)])).collect()
+    assert time.monotonic() - began < 120 and len(rows) == len(lines)
+    assert all(r.n_lines == 4 and "A line that stays as it is." in r.clean_text and "about" not in r.clean_text for r in rows)
+
+
+def test_boilerplate_is_learnt_from_lines_in_ever_other_surroundings(spark):
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(n))
+    passage = [say(9) for _ in range(4)]  # lines that stand together wherever they stand
+    copy = "\n".join(say(8) for _ in range(6))
+    texts = [copy] * 60 + [None, "", "to be"]
+    for i in range(130):
+        lines = [say(8) for _ in range(6)]
+        lines.insert(r.randrange(7), "Read more of this on our pages")
+        lines += ["Sent from my own device today"] if i % 2 else []
+        texts.append("\n".join(lines + (passage if i % 6 == 0 else [])))
+    found = quality_rules.boilerplate(_docs(spark, list(enumerate(texts)))).collect()
+    told = ["Read more of this on our pages", "Sent from my own device today"]
+    expected = {tuple(x) for x in spark.createDataFrame([(x, len(x.split())) for x in told], "x string, n long").select(F.xxhash64("x"), "n").collect()}
+    assert {tuple(x) for x in found} == expected
+    cleaned = quality_rules.clean_lines(_docs(spark, list(enumerate(texts))).withColumn("line_hash", F.lit("own")))
+    for row in cleaned.collect():
+        own = (texts[row.doc_id] or "").split("\n")
+        assert row.clean_text.split("\n") == [x for x in own if x not in told] and row.n_lines_removed == sum(x in told for x in own) and row.line_hash == "own"
