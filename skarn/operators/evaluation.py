@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranking
+from .metrics import with_points
 
 
 def share(x: Column, digits: int = 9) -> Column:
@@ -27,10 +28,8 @@ def ratio(a: Column, b: Column, digits: int = 9) -> Column:
 def ranking_report(df: DataFrame, rank: str, latency: str, *by: str, k: int = 5) -> DataFrame:
     """(by, n, top1, recall, mrr, mean_ms, p50_ms, p95_ms); a missing rank counts as 0; without rows all but n are null."""
     r, t = F.col(rank), F.col(latency)
-    point = lambda q: F.round(F.percentile(t, F.lit(q)), 6)
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), share(r == 1).alias("top1"), share(r <= k).alias("recall"), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), 9).alias("mrr"), F.round(F.avg(t), 6).alias("mean_ms"), point(0.5).alias("p50_ms"), point(0.95).alias("p95_ms")
-    )
+    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(r == 1).alias("top1"), share(r <= k).alias("recall"), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), 9).alias("mrr"), F.round(F.avg(t), 6).alias("mean_ms"))
+    return with_points(sums, df, {"p50_ms": (t, 0.5), "p95_ms": (t, 0.95)}, *by).withColumns({c: F.round(c, 6) for c in ("p50_ms", "p95_ms")})
 
 
 def padded(scores: Column, items: Column) -> Column:
@@ -67,7 +66,8 @@ def transition_summary(df: DataFrame, before: str, after: str, *by: str) -> Data
     kind = ranking.rank_transition(a, b)
     counts = [F.count_if(kind == name).alias(name) for name in ("gained", "lost", "improved", "degraded", "unchanged", "both_missing")]
     in_a, in_b = F.coalesce(a <= 5, F.lit(False)), F.coalesce(b <= 5, F.lit(False))
-    return df.groupBy(*by).agg(*counts, F.count_if(in_b & ~in_a).alias("top5_gained"), F.count_if(in_a & ~in_b).alias("top5_lost"), F.median(a - b).alias("median_gain"))
+    sums = df.groupBy(*by).agg(*counts, F.count_if(in_b & ~in_a).alias("top5_gained"), F.count_if(in_a & ~in_b).alias("top5_lost"))
+    return with_points(sums, df, {"median_gain": (a - b, 0.5)}, *by)
 
 
 def transition_counts(df: DataFrame, before: str, after: str, *by: str) -> DataFrame:
@@ -156,11 +156,13 @@ def band_shares(df: DataFrame, rank: str, *by: str) -> DataFrame:
 
 def latency_report(df: DataFrame, parts: list[str], limit: float, *by: str) -> DataFrame:
     """(by, mean and p95 of each part, mean and p95 of the rows' totals, sum of the parts' p95, within): within says if the true p95 keeps the limit."""
-    point = lambda c: F.percentile(c, F.lit(0.95))
     total = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
-    each = [x for c in parts for x in (F.round(F.avg(c), 3).alias(f"{c}_mean"), F.round(point(F.col(c)), 3).alias(f"{c}_p95"))]
-    summed = sum((point(F.col(c)) for c in parts[1:]), point(F.col(parts[0])))
-    return df.groupBy(*by).agg(*each, F.round(F.avg(total), 3).alias("total_mean"), F.round(point(total), 3).alias("total_p95"), F.round(summed, 3).alias("p95_sum"), (point(total) <= limit).alias("within"))
+    means = [F.round(F.avg(c), 3).alias(f"{c}_mean") for c in parts]
+    sums = df.groupBy(*by).agg(*means, F.round(F.avg(total), 3).alias("total_mean"))
+    out = with_points(sums, df, {f"{c}_p95": (F.col(c), 0.95) for c in parts} | {"total_p95": (total, 0.95)}, *by)
+    summed = sum((F.col(f"{c}_p95") for c in parts[1:]), F.col(f"{parts[0]}_p95"))
+    rounded = [F.round(f"{c}_p95", 3).alias(f"{c}_p95") for c in (*parts, "total")]
+    return out.select(*by, *[f"{c}_mean" for c in (*parts, "total")], *rounded, F.round(summed, 3).alias("p95_sum"), (F.col("total_p95") <= limit).alias("within"))
 
 
 def target_rank(position: Column, full_rank: Column) -> Column:

@@ -2,29 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="skarn-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir and read again, so that lineage doesn't grow with rounds."""
-    path = shared_folder(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .scratch import kept
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -32,7 +13,7 @@ def _roots(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("__n"), F.col("to").alias("__t"))
         step = parents.join(up, parents["to"] == up["__n"], "left")
-        parents = _kept(step.select("node", F.coalesce("__t", "to").alias("to"), F.col("__t").isNotNull().alias("more")))
+        parents = kept(step.select("node", F.coalesce("__t", "to").alias("to"), F.col("__t").isNotNull().alias("more")))
         if not parents.filter("more").limit(1).count():
             return parents.select("node", "to")
 
@@ -50,11 +31,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are ignored, loops make single nodes.
     """
     pairs = edges.filter("u is not null and v is not null")
-    labels = _kept(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node")))
+    labels = kept(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node")))
     ordered = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    left = _kept(ordered(pairs))
+    left = kept(ordered(pairs))
     while left.limit(1).count():
         to = _roots(left.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to")))
-        labels = _kept(_moved(labels, "component", to))
-        left = _kept(ordered(_moved(_moved(left, "u", to), "v", to)))
+        labels = kept(_moved(labels, "component", to))
+        left = kept(ordered(_moved(_moved(left, "u", to), "v", to)))
     return labels

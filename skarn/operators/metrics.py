@@ -5,37 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import kept
 
-def rank_metrics(rank: Column, digits: int = 9) -> list[Column]:
-    """count, missing, mrr (missing as 0), median rank of those found, recall at 1, 5, 10 and 25."""
-    recall = [F.round(F.avg(F.when(rank <= k, 1.0).otherwise(0.0)), digits).alias(f"recall_at_{k}") for k in (1, 5, 10, 25)]
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(rank.isNull()).alias("missing"),
-        F.round(F.avg(F.coalesce(1 / rank, F.lit(0.0))), digits).alias("mrr"),
-        F.round(F.median(rank), digits).alias("median_rank"),
-        *recall,
-    ]
 
+def rank_metrics(df: DataFrame, rank: str, *by: str, digits: int = 9) -> DataFrame:
+    """(by, n, missing, mrr with missing as 0, median rank of those found, recall at 1, 5, 10 and 25)."""
+    r = F.col(rank)
+    recall = [F.round(F.avg(F.when(r <= k, 1.0).otherwise(0.0)), digits).alias(f"recall_at_{k}") for k in (1, 5, 10, 25)]
+    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(r.isNull()).alias("missing"), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), digits).alias("mrr"), *recall)
+    out = with_points(sums, df, {"median_rank": (r, 0.5)}, *by)
+    return out.select(*by, "n", "missing", "mrr", F.round("median_rank", digits).alias("median_rank"), *[f"recall_at_{k}" for k in (1, 5, 10, 25)])
 
-#: Ranges of a value whose sums are added up first, so that no task sees all values of a group.
-RANGES = 1_024
+
+#: Ranges of about equally many values whose sums are added up first, so that no task sees all values of a group.
+RANGES = 256
+
+
+def _range_of(value: str, points: list[float]) -> Column:
+    """The number of ``points`` up to the value, by halving; 0 for null."""
+
+    def halved(low: int, high: int) -> str:
+        middle = (low + high) // 2
+        return str(low) if low == high else f"IF(`{value}` < {points[middle]!r}D, {halved(low, middle)}, {halved(middle + 1, high)})"
+
+    return F.coalesce(F.expr(halved(0, len(points))), F.lit(0))
 
 
 def with_running_sums(df: DataFrame, value: str, by: list[str], *columns: str) -> DataFrame:
     """``df``, with one row a ``value`` and ``by``, and __upto_c: the sum of each column c over rows of the group up to this value.
 
-    Values are dealt to equal ranges between the group's least and greatest; sums
-    of ranges are added up first, then those inside each range.
+    Values are dealt to ranges between quantiles of all groups' values, so that a
+    range has about one in RANGES of the rows, however the values lie; sums of
+    ranges are added up first, then those inside each range. The rows are
+    written to the shared folder, as they are read three times. Not a number stands last.
     """
+    df = kept(df)
+    found = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v) and abs(v) < 1e300")
+    points = sorted(set(found.stat.approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))))
     own = [F.col(c) for c in by]
-    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high")).select(*[c.alias(f"__{n}") for c, n in zip(own, by, strict=True)], "__low", "__high")
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    rows = df.join(ends if by else F.broadcast(ends), same).drop(*[f"__{c}" for c in by])
-    at = F.floor((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * (RANGES - 1))
-    rows = rows.withColumn("__at", F.coalesce(at, F.lit(0))).drop("__low", "__high")
+    rows = df.withColumn("__at", _range_of(value, points))
     sums = rows.groupBy(*by, "__at").agg(*[F.sum(c).alias(f"__s_{c}") for c in columns])
     before = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
     sums = sums.select(*[c.alias(f"__{n}") for c, n in zip(own, by, strict=True)], F.col("__at").alias("__range"), *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in columns])
@@ -95,3 +106,29 @@ def linear_percentiles(df: DataFrame, value: str, by: list[str], at: dict[str, f
         return low + (high - low) * rest
 
     return _placed(df, value, by).groupBy(*by).agg(F.max("__n").alias("n"), *[pick(q).alias(name) for name, q in at.items()])
+
+
+def with_points(sums: DataFrame, df: DataFrame, points: dict[str, tuple[Column, float]], *by: str) -> DataFrame:
+    """``sums``, with one row a group of ``df``, and a column for each percentile (value, share), interpolated, null where a group has no value.
+
+    All values are placed in one pass; ``by`` may be null, and without ``by`` there is one row.
+    """
+    values = F.array(*[F.struct(F.lit(name).alias("__point"), v.cast("double").alias("__value")) for name, (v, _) in points.items()])
+    long = df.select(*by, F.inline(values))
+    placed = _placed(long, "__value", [*by, "__point"]).select(*by, "__point", "__value", "__upto_c", "__n")
+
+    def pick(name: str, q: float) -> Column:
+        own = F.col("__point") == name
+        place = (F.col("__n") - 1) * F.lit(q)
+        element = lambda i: F.min(F.when(own & (F.col("__upto_c") > i), F.col("__value")))
+        low, high, rest = element(F.floor(place)), element(F.ceil(place)), F.max(F.when(own, place - F.floor(place)))
+        return low + (high - low) * rest
+
+    found = placed.groupBy(*by).agg(*[pick(name, q).alias(name) for name, (_, q) in points.items()])
+    if not by:
+        return sums.join(F.broadcast(found), how="left")  # one row each
+    same = F.lit(True)
+    for c in by:
+        found = found.withColumnRenamed(c, f"__{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return sums.join(found, same, "left").drop(*[f"__{c}" for c in by])

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the catalogue answers; more queries make more passes.
-BLOCK = 4_096
+#: Queries that are scored at a time, and those that one pass over the catalogue answers; more queries make more passes.
+BLOCK, WAVE = 4_096, 65_536
+#: Catalogue rows that meet the queries of a pass in one task.
+GROUP = 65_536
 #: Scores are rounded before ranking, so that ties don't hang on the order of additions.
 DIGITS = 9
 #: Catalogue rows that are scored at a time.
@@ -52,100 +52,103 @@ class _Best:
         return self.parts[0]
 
 
-def _search(ids: list[int], matrix: np.ndarray, k: int, views: tuple[tuple[int, int], ...], labels: list | None = None, same: bool = True):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, best = np.array(ids), _Best(len(ids), k)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                items, rows = np.asarray(part.column(0)), _matrix(part.column(1), matrix.shape[1])
+def _in_blocks(catalog: DataFrame, asked: DataFrame, run, columns: str, wave: int = WAVE) -> DataFrame:
+    """Rows of ``run`` (queries, catalogue rows) over all queries and groups of the catalogue, both on executors.
+
+    A task has one group of about GROUP catalogue rows and the queries of one
+    pass, which are sent to each group; so what a task holds is bounded, and the
+    catalogue is shuffled once for every ``wave`` queries.
+    """
+    rows = catalog.count()
+    groups = max(1, -(-rows // GROUP), min(catalog.sparkSession.sparkContext.defaultParallelism, rows // ROWS))
+    passes = max(1, -(-asked.count() // wave))
+    dealt = catalog.withColumn("__group", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(groups)))
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own, as both sides may stem from one table
+    sent = asked.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    found = None
+    for n in range(passes):
+        part = sent.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(passes)) == n) if passes > 1 else sent
+        out = part.groupBy("__group").cogroup(dealt.groupBy("__group")).applyInArrow(run, columns)
+        found = out if found is None else found.unionByName(out)
+    return found
+
+
+def _search(k: int, views: tuple[tuple[int, int], ...], block: int, family: bool | None, itself: bool):
+    names = ["query_id", "item_id", "score", *[f"view{i}" for i in range(len(views))]]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        found = [pa.table({c: pa.array([], pa.int64() if c.endswith("_id") else pa.float64()) for c in names})]
+        for first in range(0, len(left) if len(right) else 0, block):
+            own = left.slice(first, block)
+            ids, best = own["vec_id"].to_numpy(), _Best(len(own), k)
+            matrix = _matrix(own["embedding"].combine_chunks(), len(own["embedding"][0]))
+            for start in range(0, len(right), ROWS):
+                part = right.slice(start, ROWS)
+                items, rows = part["vec_id"].to_numpy(), _matrix(part["embedding"].combine_chunks(), matrix.shape[1])
                 scores = np.round(matrix @ rows.T, DIGITS)
-                scores[own[:, None] == items[None, :]] = -np.inf  # a row is no candidate for itself
-                if labels is not None:
-                    scores[(np.array(labels)[:, None] == np.asarray(part.column(2))[None, :]) != same] = -np.inf
-                best.add(scores, items, lambda q, at, rows=rows: np.stack([np.round(np.einsum("ij,ij->i", matrix[q, a:b], rows[at, a:b]), DIGITS) for a, b in views], axis=1) if views else np.empty((len(q), 0)))
-        if best.parts:
+                if not itself:
+                    scores[ids[:, None] == items[None, :]] = -np.inf
+                if family is not None:
+                    scores[(own["label"].to_numpy()[:, None] == part["label"].to_numpy()[None, :]) != family] = -np.inf
+                best.add(scores, items, lambda q, at, m=matrix, rows=rows: np.stack([np.round(np.einsum("ij,ij->i", m[q, a:b], rows[at, a:b]), DIGITS) for a, b in views], axis=1) if views else np.empty((len(q), 0)))
             q, items, scores, more = best.settle()
-            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(items), pa.array(scores), *map(pa.array, more.T)], ["query_id", "item_id", "score", *[f"view{i}" for i in range(len(views))]])
+            found.append(pa.table(dict(zip(names, [ids[q], items, scores, *more.T], strict=True))))
+        return pa.concat_tables(found)
 
     return run
 
 
-def knn(catalog: DataFrame, queries: DataFrame, k: int, views: tuple[tuple[int, int], ...] = (), block: int = BLOCK, family: bool | None = None) -> DataFrame:
+def knn(catalog: DataFrame, queries: DataFrame, k: int, views: tuple[tuple[int, int], ...] = (), block: int = BLOCK, family: bool | None = None, itself: bool = False, wave: int = WAVE) -> DataFrame:
     """(query_id, item_id, score, view0.., rank): the k best inner products for each query.
 
     Both inputs: vec_id, embedding of one size. Order: score descending, item_id
-    ascending; an item with the query's own id is left out. ``views``: ranges of
-    dimensions whose partial products are returned too. Each task keeps k rows a
-    query over all its batches, so what is shuffled grows with tasks, not rows. Query
-    vectors come to the driver a block at a time. ``family``: only items of the
+    ascending; an item with the query's own id is left out unless ``itself``. ``views``:
+    ranges of dimensions whose partial products are returned too. Queries and
+    catalogue meet in blocks on executors, and k rows a query and group of the
+    catalogue are shuffled; no vector comes to the driver. ``family``: only items of the
     query's label (True) or of other labels (False); rows without label then have none.
     """
     columns = "query_id long, item_id long, score double" + "".join(f", view{i} double" for i in range(len(views)))
     label = [] if family is None else ["label"]
     catalog = catalog.select(F.col("vec_id").cast("long"), "embedding", *label).dropna(subset=["embedding", *label])
-    asked = queries.select(F.col("vec_id").cast("long"), "embedding", *label).dropna(subset=["embedding", *label]).orderBy("vec_id")
-    parts, ids, rows, labels = [], [], [], []
-
-    def flush() -> None:
-        if ids:
-            parts.append(catalog.mapInArrow(_search(list(ids), np.array(rows, dtype=np.float64), k, views, list(labels) if label else None, bool(family)), columns))
-            ids.clear()
-            rows.clear()
-            labels.clear()
-
-    for r in asked.toLocalIterator():
-        ids.append(r.vec_id)
-        rows.append(r.embedding)
-        labels += [r.label] if label else []
-        if len(ids) == block:
-            flush()
-    flush()
-    if not parts:
-        return catalog.sparkSession.createDataFrame([], columns + ", rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    asked = queries.select(F.col("vec_id").cast("long"), "embedding", *label).dropna(subset=["embedding", *label])
+    found = _in_blocks(catalog, asked, _search(k, views, block, family, itself), columns, wave)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _ahead(asked: list, views: tuple[tuple[int, int], ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, target, score = (np.array([r[c] for r in asked])[:, None] for c in ("vec_id", "item_id", "score"))
-        matrix = np.array([r.embedding for r in asked], dtype=np.float64)
-        counts = np.zeros((len(views), len(asked)), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                piece = batch.slice(start, ROWS)
-                items, rows = np.asarray(piece.column(0))[None, :], _matrix(piece.column(1), matrix.shape[1])
+def _ahead(views: tuple[tuple[int, int], ...], block: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        counts = np.zeros((len(views), len(left)), np.int64)
+        for first in range(0, len(left) if len(right) else 0, block):
+            asked = left.slice(first, block)
+            own, target, score = (asked[c].to_numpy()[:, None] for c in ("vec_id", "item_id", "score"))
+            matrix = _matrix(asked["embedding"].combine_chunks(), len(asked["embedding"][0]))
+            for start in range(0, len(right), ROWS):
+                piece = right.slice(start, ROWS)
+                items, rows = piece["vec_id"].to_numpy()[None, :], _matrix(piece["embedding"].combine_chunks(), matrix.shape[1])
                 scores = np.round(matrix @ rows.T, DIGITS)
                 sooner = (scores > score) | (scores == score) & (items < target)
                 other = (items != own) & (items != target)
                 for i, (a, b) in enumerate(views):
-                    part, aim = np.round(matrix[:, a:b] @ rows[:, a:b].T, DIGITS), np.array([r[f"view{i}"] for r in asked])[:, None]
-                    counts[i] += (other & ((part > aim) | (part == aim) & sooner)).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), *map(pa.array, counts)], ["query_id", *[f"r{i}" for i in range(len(views))]])
+                    part, aim = np.round(matrix[:, a:b] @ rows[:, a:b].T, DIGITS), asked[f"view{i}"].to_numpy()[:, None]
+                    counts[i, first : first + block] += (other & ((part > aim) | (part == aim) & sooner)).sum(axis=1)
+        return pa.table({"query_id": left["vec_id"], **{f"r{i}": counts[i] for i in range(len(views))}})
 
     return run
 
 
-def full_ranks(catalog: DataFrame, queries: DataFrame, targets: DataFrame, views: tuple[tuple[int, int], ...], block: int = BLOCK) -> DataFrame:
+def full_ranks(catalog: DataFrame, queries: DataFrame, targets: DataFrame, views: tuple[tuple[int, int], ...], block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, r0..): rank of each query's target among all rows but the query, by the partial products of each view.
 
     ``targets``: query_id, item_id, score, view0.. as knn() gives them. Ties go by
-    score, then item_id. What is shuffled is a row a query and task.
+    score, then item_id. What is shuffled beside the rows is a count a query and group of the catalogue.
     """
     names = [f"r{i}" for i in range(len(views))]
-    columns = "query_id long, " + ", ".join(f"{c} long" for c in names)
     catalog = catalog.select(F.col("vec_id").cast("long"), "embedding").filter("embedding is not null")
-    asked = queries.select(F.col("vec_id").cast("long"), "embedding").join(targets, F.col("vec_id") == F.col("query_id")).orderBy("vec_id")
-    found, rows = catalog.sparkSession.createDataFrame([], columns), []
-    for r in asked.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            found = found.unionByName(catalog.mapInArrow(_ahead(rows, views), columns))
-            rows = []
-    if rows:
-        found = found.unionByName(catalog.mapInArrow(_ahead(rows, views), columns))
+    asked = queries.select(F.col("vec_id").cast("long"), "embedding").join(targets, F.col("vec_id") == F.col("query_id"))
+    asked = asked.select("vec_id", "embedding", "item_id", "score", *[f"view{i}" for i in range(len(views))])
+    found = _in_blocks(catalog, asked, _ahead(views, block), "query_id long, " + ", ".join(f"{c} long" for c in names), wave)
     return found.groupBy("query_id").agg(*[(F.sum(c) + 1).alias(c) for c in names])

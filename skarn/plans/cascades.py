@@ -9,7 +9,7 @@ from ..functions import boxes, html
 from ..functions import pictures as P
 from ..functions import text as T
 from ..operators import evaluation as E
-from ..operators import ranking
+from ..operators import metrics, ranking
 from ..operators.retrieval import knn
 from ..sources import read_table
 from .evaluation import _BASE, _outcomes, _scored
@@ -43,7 +43,8 @@ def similarity_kinds(spark, sf_dir):
     """Mean and median of each signal for items inside and outside the query's family."""
     c = _nearest(spark, sf_dir).withColumn("kind", F.when(F.col("item_label") == F.col("query_label"), "family").otherwise("other"))
     long = c.unpivot(["kind"], ["score", "view0", "view1"], "signal", "value")
-    return long.groupBy("kind", "signal").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"))
+    sums = long.groupBy("kind", "signal").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return metrics.with_points(sums, long, {"median": (F.col("value"), 0.5)}, "kind", "signal").withColumn("median", F.round("median", 6))
 
 
 SIMILARITY_KINDS = _SQL + ", l AS (UNPIVOT (SELECT CASE WHEN item_label = query_label THEN 'family' ELSE 'other' END AS kind, score, view0, view1 FROM c) ON score, view0, view1 INTO NAME signal VALUE value) SELECT kind, signal, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM l GROUP BY ALL"

@@ -78,7 +78,7 @@ RETRIEVAL_METRICS = _RANKS + " SELECT count(*) AS n, round(avg(CASE WHEN r0 <= 1
 
 def rank_metrics(spark, sf_dir):
     t = _view_ranks(spark, sf_dir).selectExpr("query_id", "stack(2, 'view0', r0, 'view1', r1) as (method, rank)")
-    return t.groupBy("method").agg(*metrics.rank_metrics(F.col("rank")))
+    return metrics.rank_metrics(t, "rank", "method")
 
 
 RANK_METRICS = _RANKS + """ SELECT method, count(*) AS n, count(*) FILTER (WHERE rank IS NULL) AS missing, round(avg(coalesce(1 / rank, 0)), 9) AS mrr, round(median(rank), 9) AS median_rank,

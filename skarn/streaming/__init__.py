@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..operators.scratch import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:

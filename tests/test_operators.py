@@ -43,10 +43,10 @@ def test_guard_keeps_image_winner_without_text_margin(spark):
 
 def test_rank_metrics_and_transitions(spark):
     df = spark.createDataFrame([(1, 2), (2, None), (None, 3)], "a int, b int")
-    m = df.agg(*metrics.rank_metrics(F.col("a"))).first()
+    m = metrics.rank_metrics(df, "a").first()
     assert (m.n, m.missing, m.mrr, m.recall_at_1, m.recall_at_5) == (3, 1, 0.5, round(1 / 3, 9), round(2 / 3, 9))
     assert sorted(r[0] for r in _values(df.select(ranking.rank_transition(F.col("a"), F.col("b"))))) == ["degraded", "gained", "lost"]
-    assert df.limit(0).agg(*metrics.rank_metrics(F.col("a"))).first().mrr is None
+    assert metrics.rank_metrics(df.limit(0), "a").first().mrr is None
 
 
 def test_auc_with_ties_and_one_class(spark):
