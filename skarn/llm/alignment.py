@@ -37,7 +37,7 @@ from .common import bounded_batches, read_table, scratch, shared_dir, stored
 #: Blocks that a task can number.
 BLOCKS_A_TASK = 1 << 20
 #: Bytes of text of a block, and blocks that a task of the input may have before two of them share a bucket.
-BLOCK_BYTES, BLOCKS_IN_MIND = 8 << 20, 4
+BLOCK_BYTES, BLOCKS_IN_MIND = 5 << 20, 6
 #: Units of documents that are looked at together.
 UNITS_TOGETHER = 1 << 16
 #: A group of more links than this counts ids that repeat in it before they are multiplied.
@@ -140,6 +140,7 @@ def _splitter(a_path: str, b_path: str):
                 for side, (bounds, flat), lengths in (("a", _listed(own, right), a.lengths), ("b", _listed(other, right), b.lengths)):
                     rows[side], rows[f"{side}_lengths"] = (pa.ListArray.from_arrays(pa.array(bounds), pa.array(x, pa.int32())) for x in (flat, lengths[flat]))
                 yield _rows(first + n, "u", **rows)
+        units.forget()
         textnum.released()
 
     return run

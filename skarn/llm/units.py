@@ -258,3 +258,9 @@ def byte_units(path: str, special: bool = False) -> ByteUnits:
 @cache
 def piece_units(path: str) -> PieceUnits:
     return PieceUnits(path)
+
+
+def forget() -> None:
+    """Lets go of the tokenizers, for workers that wait beside others that need the memory."""
+    byte_units.cache_clear()
+    piece_units.cache_clear()
