@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import with_overlap
+
 #: Limits of near-duplicate pictures.
 MOST_ASPECT, MOST_HAMMING, MOST_THUMBNAIL, MOST_CONTENT = 0.03, 48, 0.055, 0.03
+#: Overlaps up to this are none but for rounding.
+LEAST_OVERLAP = 1e-9
 
 
 def laplacian(gray: Column, width: Column) -> Column:
@@ -41,11 +45,22 @@ def near_duplicate(aspect: Column, hamming: Column, thumbnail: Column, content:
     return (aspect <= MOST_ASPECT) & ((hamming <= MOST_HAMMING) | ((thumbnail <= MOST_THUMBNAIL) & (content <= MOST_CONTENT)))
 
 
-def with_homography_state(df: DataFrame, transform: str, width: Column, height: Column, least: float = 0.03, most: float = 8.0) -> DataFrame:
+#: Limits of copies among collected pictures (fixed values); those of hashes are for 1024 bits.
+COPY_ASPECT, COPY_HAMMING, COPY_THUMBNAIL, COPY_CONTENT, COPY_CENTRE_HAMMING, COPY_CENTRE_THUMBNAIL = 0.02, 180, 0.06, 0.03, 240, 0.12
+
+
+def same_picture(aspect: Column, hamming: Column, thumbnail: Column, content: Column, centre_hamming: Column, centre_thumbnail: Column, bits: int = 1024) -> Column:
+    """Alike in shape, and in hash, or in the shape of the content and either the thumbnail or hash and thumbnail of the centre."""
+    centre = (centre_hamming <= COPY_CENTRE_HAMMING * bits / 1024) & (centre_thumbnail <= COPY_CENTRE_THUMBNAIL)
+    return (aspect <= COPY_ASPECT) & ((hamming <= COPY_HAMMING * bits / 1024) | ((content <= COPY_CONTENT) & ((thumbnail <= COPY_THUMBNAIL) | centre)))
+
+
+def with_homography_state(df: DataFrame, transform: str, width: Column, height: Column, least: float = 0.03, most: float = 8.0, seen_width: Column | None = None, seen_height: Column | None = None) -> DataFrame:
     """Adds state and area_ratio of a 3 by 3 transform given row by row.
 
     state: missing, bad shape, singular, corners at infinity, not convex, area out
-    of range or valid. The steps are columns of their own, as each is used many times.
+    of range, outside the other picture (of ``seen_width`` by ``seen_height``, if they
+    are given; then also the column overlap, the area inside it) or valid. The steps are columns of their own, as each is used many times.
     """
     h = F.col(transform)
     g = lambda i: F.get(h, i)
@@ -70,4 +85,7 @@ def with_homography_state(df: DataFrame, transform: str, width: Column, height:
         .otherwise("valid")
     )
     out = out.withColumn("state", state)
-    return out.withColumn("area_ratio", F.when(F.col("state").isin("valid", "projected_area_out_of_range"), ratio)).drop("__det", "__q", "__turns", "__ratio")
+    if seen_width is not None:
+        out = with_overlap(out.withColumn("__q", F.when(F.col("state") == "valid", F.col("__q"))), "__q", seen_width, seen_height)
+        out = out.withColumn("state", F.when(F.col("overlap") <= LEAST_OVERLAP, "projection_outside_query").otherwise(F.col("state")))
+    return out.withColumn("area_ratio", F.when(F.col("state").isin("valid", "projected_area_out_of_range", "projection_outside_query"), ratio)).drop("__det", "__q", "__turns", "__ratio")

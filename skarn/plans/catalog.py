@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cascades, decisions, evaluation, families, features, guards, learning, recognition, retrieval, tables, unstructured
+from . import cascades, decisions, evaluation, families, features, geometry, guards, learning, recognition, retrieval, tables, unstructured
 
-_MODULES = (retrieval, decisions, features, tables, unstructured, recognition, guards, families, evaluation, cascades, learning)
+_MODULES = (retrieval, decisions, features, tables, unstructured, recognition, guards, families, evaluation, cascades, learning, geometry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
