@@ -1,14 +1,15 @@
 """Personal data, also behind disguises, with spans in the source text.
 
 Plain detection first. Then transducers rewrite the text (look-alike letters,
-full-width forms, invisible characters, spelled digits, at/dot wordings) while
-keeping, for each character written, the source characters it stands for; what
-the same detectors find in the rewritten text is mapped back and added.
+forms of letters and digits, invisible characters, digits and at/dot wordings in
+four languages) while keeping, for each character written, the source characters it
+stands for; what the same detectors find in the rewritten text is mapped back and added.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -28,10 +29,20 @@ LOOKALIKES = {
     "ı": "i", "ɡ": "g", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-#: Spoken digits (fixed values).
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Spelled digits count only in runs of at least this many, among them one other than "one" and "oh".
+#: Spoken digits (fixed values): English, German, French, Spanish.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words for the signs + @ and . in the same languages (fixed values).
+PLUS, AT, DOT = "plus|más", "at|ät|klammeraffe|arobase|arrobase|arroba", "dot|punkt|point|punto"
+#: Spelled digits count only in runs of at least this many, among them one that isn't an EVERYDAY_DIGIT.
 LEAST_SPELLED = 4
+EVERYDAY_DIGITS = ("one", "oh", "un", "uno", "null")
+#: Blocks of characters among which look-alikes of ASCII are found by compatibility (NFKC): superscripts, letter-like, enclosed, full-width, mathematical.
+COMPATIBLE = ((0xB2, 0xBA), (0x2000, 0x2500), (0x3200, 0x3400), (0xFB00, 0x10000), (0x1D400, 0x1D800), (0x1F100, 0x1F200))
 SPANS = "array<struct<kind:string,start:int,stop:int,disguised:boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,24 +52,41 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "！-～٠-٩۰-۹०-९]")
+
+
+
+def _compatible() -> dict[str, str]:
+    """Characters that are ASCII letters, digits or signs but for their form, with what they stand for."""
+    found = {chr(c): unicodedata.normalize("NFKC", chr(c)) for low, high in COMPATIBLE for c in range(low, high) if not 0xD800 <= c < 0xE000}
+    return {c: n for c, n in found.items() if n != c and n.isascii() and n.isprintable() and " " not in n}
+
+
+COMPATIBLE_FORMS = _compatible()
+_ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE + "".join(COMPATIBLE_FORMS)) + "٠-٩۰-۹०-९]")
 # the blanks around are added by _bracketed, which walks over each of them once
-_BRACKETED = re.compile(r"[\[({<][ \t]*+(?:(at|@)|(?:dot|\.|punto|point))[ \t]*+[\])}>][ \t]*+", re.I)
+_BRACKETED = re.compile(rf"[\[({{<][ \t]*+(?:({AT}|@)|(?:{DOT}|\.))[ \t]*+[\])}}>][ \t]*+", re.I)
 _NAME = r"[A-Za-z0-9-]+"
 #: Top-level domains that are everyday words; "at the dot in" is no address (fixed values).
 _EVERYDAY = "am|as|at|be|by|do|here|in|is|it|me|my|next|no|now|so|to|us"
 _PART = r"[A-Za-z0-9_%+-]+"
-_SEP = r"(?:\.|[ \t]+dot[ \t]+)"
+# blanks between words, among them one line break at most
+_GAP = r"(?:[ \t]++(?:\n[ \t]*+)?|\n[ \t]*+)"
+_SEP = rf"(?:\.|{_GAP}(?:{DOT}){_GAP})"
 # after a bare "at" the last part must be a top-level domain; after an @, also one written for a bracketed at, any will do
-_BARE = rf"(?P<at>[ \t]+at[ \t]+)(?!(?:the|a|an|this|that|each|every)[ \t]+dot[ \t]+(?:{_EVERYDAY})(?![A-Za-z0-9-])){_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+(?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9-])"
+# after "dot", and a top-level domain after words that also stand in prose, if the address has no dot yet
+_BARE = rf"(?P<at>{_GAP}(?:{AT}){_GAP})(?!(?:the|a|an|this|that|each|every){_GAP}(?:{DOT}){_GAP}(?:{_EVERYDAY})(?![A-Za-z0-9-])){_NAME}(?:{_SEP}{_NAME})*{_GAP}(?:{DOT}){_GAP}(?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9-])"
 # chains of parts are taken whole, from left to right, and what must follow is tried at their ends only
 _CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?>{_PART}(?:{_SEP}{_PART})*)", re.I)
-_AFTER = re.compile(rf"{_BARE}|@{_NAME}(?:{_SEP}{_NAME})*[ \t]+dot[ \t]+{_NAME}", re.I)
-_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
-_WORD = "|".join(DIGITS)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ \t,-]+)?(?:(?:{_WORD})(?![A-Za-z])|[0-9])(?:[ \t,.-]*(?:(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])|[0-9]))+", re.I)
-_ONE_DIGIT = re.compile(rf"plus|{_WORD}|[0-9]", re.I)
-_TELLING = tuple(d for d in DIGITS if d not in ("one", "oh"))
+_AFTER = re.compile(rf"{_BARE}|@{_NAME}(?:{_SEP}{_NAME})*{_GAP}dot{_GAP}{_NAME}|@{_NAME}{_GAP}(?:{DOT}){_GAP}(?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9-])", re.I)
+_DOT = re.compile(rf"{_GAP}(?:{DOT}){_GAP}", re.I)
+_DOT_WORD = re.compile(rf"\s(?:{DOT})\s")
+_SPOKEN_IP = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_SEP}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SPELLED = re.compile(rf"(?<![{_LETTER}])(?:(?:{PLUS})[ \t,-]+)?(?:(?:{_WORD})(?![{_LETTER}])|[0-9])(?:[ \t,.-]*(?:(?<![{_LETTER}])(?:{_WORD})(?![{_LETTER}])|[0-9]))+", re.I)
+_ONE_DIGIT = re.compile(rf"{PLUS}|{_WORD}|[0-9]", re.I)
+_TELLING = tuple(d for d in DIGITS if d not in EVERYDAY_DIGITS)
+_TELLING_WORD = re.compile(rf"(?<![{_LETTER}])(?:{'|'.join(sorted(_TELLING, key=len, reverse=True))})(?![{_LETTER}])")
 
 
 def _luhn(digits: str) -> bool:
@@ -130,21 +158,22 @@ def _plain(c: str) -> str:
         return ""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
+    if c in COMPATIBLE_FORMS:
+        return COMPATIBLE_FORMS[c]
     return str(ord(c) & 15 if c < "۰" else ord(c) - 0x06F0 if c < "ऀ" else ord(c) - 0x0966)
 
 
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     """Edits that write a run of spelled digits without what stands between them."""
     parts = list(_ONE_DIGIT.finditer(m[0]))
-    spelled = [p[0].lower() for p in parts if len(p[0]) > 1 and p[0].lower() != "plus"]
+    signs = PLUS.split("|")
+    spelled = [p[0].lower() for p in parts if len(p[0]) > 1 and p[0].lower() not in signs]
     if len(spelled) < LEAST_SPELLED or not any(w in _TELLING for w in spelled):
         return []
     edits, base = [], m.start()
     for p, q in zip(parts, [*parts[1:], None], strict=True):
         word = p[0].lower()
-        edits.append((base + p.start(), base + (q.start() if q else p.end()), "+" if word == "plus" else DIGITS.get(word, word)))
+        edits.append((base + p.start(), base + (q.start() if q else p.end()), "+" if word in signs else DIGITS.get(word, word)))
     if len(edits) > 1:  # a span ends with its last digit, not with what follows
         last = parts[-1]
         edits[-1] = (base + last.start(), base + last.end(), edits[-1][2])
@@ -181,11 +210,12 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     if _ODD.search(text):
         r.replace([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
     low = r.text.lower()
-    if any(x in low for x in ("at]", "at)", "at}", "at>", "@)", "@]", "dot", "[.]", "(.)", "point", "punto")) or "at " in low and any(x in low for x in ("(", "[", "{")):
+    if any(x in low for x in ("[", "(", "{", "<")):
         r.replace(list(_bracketed(r.text)))
-        if " dot" in low or "\tdot" in low:
-            r.replace(list(_spoken(r.text)))
-    if any(w in low for w in _TELLING):
+    if _DOT_WORD.search(low):
+        r.replace([(x.start(), x.end(), ".") for m in _SPOKEN_IP.finditer(r.text) for x in _DOT.finditer(r.text, m.start(), m.end())])
+        r.replace(list(_spoken(r.text)))
+    if _TELLING_WORD.search(low):
         r.replace([e for m in _SPELLED.finditer(r.text) for e in _digits(m)])
     if r.text == text:
         return []
