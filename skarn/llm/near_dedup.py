@@ -34,8 +34,8 @@ from .components import components, renamed
 Q, M = 3, 16
 WIDTH, PERCENT = 4, 80
 MOST_ROUNDS, LOOSE = 2, 30
-#: Classes on one side of a block of comparisons, and shingles compared at a time in it.
-SIDE, COLUMNS = 256, 8_192
+#: Classes and shingles on one side of a block of comparisons (about; one larger text is a side by itself), and shingles compared at a time in it.
+SIDE, SIDE_SHINGLES, COLUMNS = 256, 1 << 17, 8_192
 #: So many ids at most (8 bytes each) are broadcast to pick texts for verification.
 BROADCAST_IDS = 1_000_000
 _RANDOM = np.random.Generator(np.random.PCG64(20262))
@@ -109,17 +109,30 @@ def verifier(width: int, percent: int):
     return verify
 
 
-def comparer(width: int, percent: int):
-    """Function for applyInArrow: (rep, comp, text) of a block to edges (u, v) that join its components, no more than needed."""
+def hasher(width: int):
+    """Function for mapInArrow: (doc_id, text) to (doc_id, its shingle hashes in order, 8 bytes each)."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in textnum.slices(batch.column(1)):
+                sets, bounds, _ = textnum.shingle_sets(textnum.words(batch.column(1).slice(i, j - i)), width)
+                own = [sets[bounds[k] : bounds[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], ["doc_id", "sets"])
+        textnum.released()
+
+    return hashes
+
+
+def comparer(percent: int):
+    """Function for applyInArrow: (rep, comp, sets) of a block to edges (u, v) that join its components, no more than needed."""
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.sort_by("rep").combine_chunks()
         rep, comp = np.asarray(block["rep"]), np.asarray(block["comp"])
-        texts = block["text"].combine_chunks() if isinstance(block["text"], pa.ChunkedArray) else block["text"]
-        found = [(textnum.shingle_sets(textnum.words(texts.slice(i, j - i)), width)) for i, j in textnum.slices(texts)]
-        n = np.concatenate([np.diff(bounds) for _, bounds, _ in found])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["sets"]]
+        n = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(rep)), n)
-        every, column, times = np.unique(np.concatenate([sets for sets, _, _ in found]), return_inverse=True, return_counts=True)
+        every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         new = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
         owner, column = owner[new >= 0], new[new >= 0]
         shared = np.zeros((len(rep), len(rep)), dtype=np.float32)
@@ -165,11 +178,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 
 
 def _compared(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Stored edges (u, v) between components of one cluster, from (rep, comp, cluster)."""
-    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("nb"), (F.sum("n") - F.max("n")).alias("no"))
-    blocks = lambda c: F.ceil(F.col(c) / F.lit(SIDE)).cast("int")
-    sizes = stored(sizes.filter("no > 0").select("cluster", "big", blocks("nb").alias("nb"), blocks("no").alias("no")), few=True)
+    """Stored edges (u, v) between components of one cluster, from (rep, n, comp, cluster)."""
+    blocks = _blocks(docs, members, width)
+    return stored(blocks.groupBy("cluster", "i", "j", "kind").applyInArrow(comparer(percent), "u long, v long"))
+
+
+def _blocks(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(cluster, i, j, kind, rep, comp, sets): the members of each block of comparisons.
+
+    The largest component and the rest are cut into sides of so many classes and
+    shingles each, so that a block is bounded whatever the length of its texts; what
+    is sent to blocks are shingle hashes, made once a text.
+    """
+    parts = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("s"))
+    top = F.max(F.struct("n", "comp", "s"))
+    sizes = parts.groupBy("cluster").agg(top.alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("n") > F.col("top.n"))
+    sides = lambda n, s: F.greatest(F.ceil(n / F.lit(SIDE)), F.ceil(s / F.lit(SIDE_SHINGLES))).cast("int")
+    main, rest = sides(F.col("top.n"), F.col("top.s")), sides(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
+    sizes = stored(sizes.select("cluster", F.col("top.comp").alias("big"), main.alias("nb"), rest.alias("no")), few=True)
     rows = members.join(sizes, "cluster").withColumn("main", F.col("comp") == F.col("big"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("main"), F.col("nb")).otherwise(F.col("no"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -178,10 +204,9 @@ def _compared(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     with_rest = F.concat(F.transform(upto("no"), lambda j: cell(F.least("own", j), F.greatest("own", j), "rest")), F.transform(upto("nb"), lambda j: cell(F.col("own"), j, "main")))
     rows = stored(rows.select("rep", "comp", "cluster", F.when(F.col("main"), with_main).otherwise(with_rest).alias("cells")), few=True)
     ids = rows.select(F.col("rep").alias("__id")).distinct()
-    texts = _texts(docs, ids, rows.count())
+    sets = _texts(docs, ids, rows.count()).mapInArrow(hasher(width), "doc_id long, sets binary")
     spread = rows.select("rep", "comp", "cluster", F.explode("cells").alias("cell")).select("rep", "comp", "cluster", "cell.*")
-    blocks = spread.join(texts, spread["rep"] == texts["doc_id"]).select("cluster", "i", "j", "kind", "rep", "comp", "text")
-    return stored(blocks.groupBy("cluster", "i", "j", "kind").applyInArrow(comparer(width, percent), "u long, v long"))
+    return spread.join(sets, spread["rep"] == sets["doc_id"]).select("cluster", "i", "j", "kind", "rep", "comp", "sets")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -249,7 +274,7 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         left = open_.filter("rep > lead").select("key", "rep", "n")
     links = alike.filter("linked").select("u", "v")
     labels = components(links)
-    members = buckets.select("rep").distinct().withColumn("comp", F.col("rep")).withColumn("cluster", F.col("rep"))
+    members = buckets.select("rep", "n").distinct().withColumn("comp", F.col("rep")).withColumn("cluster", F.col("rep"))
     members = stored(renamed(renamed(members, "comp", labels), "cluster", clusters), few=True)
     links = links.unionByName(_compared(docs, members, width, percent))
     twice = stored(known.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).filter("x <> y").select("doc_id"), few=True)

@@ -81,11 +81,34 @@ def test_near_duplicates_against_brute_force(spark):
 def test_blocks_join_components_across_sides(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SIDE", 4)
     texts = [(i, "a b c d e f g h i j k l m n o p q r s t u v w x " + "y" * (i % 3)) for i in range(40)]
-    members = spark.createDataFrame([(i, i, 0) for i in range(40)], "rep long, comp long, cluster long")
+    members = spark.createDataFrame([(i, 21, i, 0) for i in range(40)], "rep long, n long, comp long, cluster long")
     edges = near_dedup._compared(_docs(spark, texts), members, 4, 80)
     assert components.components(edges).filter("label = 0").count() == 39
 
 
+def test_clusters_of_long_texts_are_cut_into_blocks_by_shingles(spark, monkeypatch):
+    """Long texts that are alike but not alike enough: sides of blocks hold few of them, and links are those of brute force."""
+    r = random.Random(8)
+    say = lambda n: [str(r.randrange(10**6)) for _ in range(n)]
+    base, docs = say(30_000), []
+    for i in range(24):
+        own = list(base)
+        at = r.randrange(20_000)
+        own[at : at + (400 if i < 6 else 9_000)] = say(400 if i < 6 else 9_000)
+        docs.append((i, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "SIDE_SHINGLES", 100_000)
+    sides, compare = [], near_dedup.comparer(80)
+    members = spark.createDataFrame([(i, len(_set(t, 4)), i, 0) for i, t in docs], "rep long, n long, comp long, cluster long")
+    blocks = near_dedup._blocks(_docs(spark, docs), members, 4)
+    for cell in {tuple(x) for x in blocks.select("cluster", "i", "j", "kind").collect()}:
+        own = blocks.filter((F.col("i") == cell[1]) & (F.col("j") == cell[2]) & (F.col("kind") == cell[3])).select("rep", "comp", "sets").toArrow()
+        sides.append(sum(len(x.as_py()) // 8 for x in own["sets"]))
+        compare(own)
+    assert len(sides) > 8 and max(sides) < 24 * 30_000 / 2
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(_docs(spark, docs)).collect()}
+    assert got == _expected_components(docs)
+
+
 def test_near_duplicates_of_nothing_and_repeated_rows(spark):
     assert near_dedup.near_duplicates(_docs(spark, [])).count() == 0
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e f")]
@@ -375,6 +398,36 @@ def test_pipeline_stages_on_the_smallest_tables(spark):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))  # noqa: B905
 
 
+def test_pipeline_against_brute_force(spark):
+    """run(): what the classifier keeps, then groups, contained items, the mix and ids by plain definitions, each on what the stage before it kept."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import tokenizers
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_model.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in quality_model.score(docs, model, into="p").select("doc_id", F.col("p").alias("score")).collect()}
+    kept = {r.doc_id: r for r in docs.collect() if scores[r.doc_id] >= 0.5}
+    groups = _expected_components([(d, r.text) for d, r in kept.items()], 5)
+    kept = {d: r for d, r in kept.items() if groups[d][1] == d}
+
+    def shingles(text):
+        w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    items = [shingles(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    kept = {d: r for d, r in kept.items() if not any(i and len(i & own) * 100 >= 80 * len(i) for own in [shingles(r.text)] for i in items)}
+    left = spark.createDataFrame(list(kept.values()), docs.schema)
+    mixed = [r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, left, sf_dir).collect()]
+    assert set(mixed) <= set(kept) and max(mixed.count(d) for d in set(mixed)) <= 3
+    tokenizer, place, expected = tokenizers.Tokenizer.from_file(corpus_pipeline.TOKENIZER), 0, []
+    for d in sorted(mixed):
+        ids = [*tokenizer.encode(kept[d].text or "", add_special_tokens=False).ids, 1]
+        expected.append((d, place, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        place += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect()) == expected
+
+
 def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
     """Nulls, empty and very long texts, repeated rows and columns named like the operators' own pass every stage."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
