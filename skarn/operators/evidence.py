@@ -175,6 +175,27 @@ def choose_allowed(scores: DataFrame, allowed: DataFrame, margin: float = 0.0) -
     return sums.select("query_id", F.when(reason == "ok", F.get("o", 0).year).alias("year"), F.when(reason == "tie", 0.0).otherwise(lead).alias("margin"), reason.alias("reason"))
 
 
+def year_outcomes(df: DataFrame, year: str, target: str, ambiguous: Column, *by: str) -> DataFrame:
+    """(by, queries, correct_year, correct_year_rate, wrong_year, ambiguous, no_year): what became of each decision; one without a year is ambiguous or none."""
+    decided = F.col(year).isNotNull()
+    right = F.count_if(decided & F.col(year).eqNullSafe(F.col(target)))
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("queries"),
+        right.alias("correct_year"),
+        F.round(right / F.count(F.lit(1)), 4).alias("correct_year_rate"),
+        F.count_if(decided & ~F.col(year).eqNullSafe(F.col(target))).alias("wrong_year"),
+        F.count_if(~decided & ambiguous).alias("ambiguous"),
+        F.count_if(~decided & ~ambiguous).alias("no_year"),
+    )
+
+
+def pairwise_year_accuracy(df: DataFrame, year: str, target: str, competing: str, *by: str) -> DataFrame:
+    """(by, pairwise_queries, pairwise_correct, pairwise_accuracy) over queries with two or more ``competing`` years; the accuracy is null without any."""
+    rows = df.withColumn("__pair", F.coalesce(F.col(competing) >= 2, F.lit(False)))
+    n, right = F.count_if("__pair"), F.count_if(F.col("__pair") & (F.col(year) == F.col(target)))
+    return rows.groupBy(*by).agg(n.alias("pairwise_queries"), right.alias("pairwise_correct"), F.round(F.try_divide(right, n), 4).alias("pairwise_accuracy"))
+
+
 def year_box(lines: DataFrame, years: DataFrame) -> DataFrame:
     """(slug, box, provenance): of an item's lines that read as its year, the box of the surest, the earliest among equals.
 

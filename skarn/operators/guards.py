@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -18,6 +18,26 @@ def usable(catalog: DataFrame, required: Sequence[str] = (), by: str = "slug", o
     return kept.withColumn("__n", first).filter("__n = 1").drop("__n")
 
 
+def repeated(make: Callable[[], DataFrame], repeats: int = 2) -> DataFrame:
+    """(repeats, rows, all_equal): whether every run of ``make`` gives the same rows, bit by bit and in any order.
+
+    Runs are told by the number of their rows and the sums of two hashes of each row, all columns taking part.
+    """
+    if repeats < 2:
+        raise ValueError("a run can only be compared with another")
+
+    def digest() -> DataFrame:
+        run = make()
+        row = [F.xxhash64(*[F.col(f"`{c}`") for c in run.columns], F.lit(seed)).cast("decimal(38,0)") for seed in (1, 2)]
+        return run.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(h), F.lit(0)).alias(f"h{i}") for i, h in enumerate(row)])
+
+    runs = digest()
+    for _ in range(repeats - 1):
+        runs = runs.unionByName(digest())
+    same = F.countDistinct("rows", "h0", "h1") == 1
+    return runs.agg(F.lit(repeats).cast("long").alias("repeats"), F.first("rows").alias("rows"), same.alias("all_equal"))
+
+
 def unexpected_counts(df: DataFrame, by: str, expected: Mapping[str, int]) -> DataFrame:
     """(value, expected, found) of the values of ``by`` whose number of rows isn't the one expected."""
     want = df.sparkSession.createDataFrame(list(expected.items()), "value string, expected long")

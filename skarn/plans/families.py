@@ -100,9 +100,9 @@ PAIR_SIGNALS = _SIGNALS + " SELECT u, v, n, ranks_2_5, small_margins, min_margin
 
 
 def _strong(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(evidence, families) of pairs with three signals, so that components stay small."""
+    """(evidence, families) of pairs with two signals."""
     found = _signals(spark, sf_dir)
-    return found, families.signal_families(found, 3)
+    return found, families.signal_families(found, 2)
 
 
 def signal_families(spark, sf_dir):
@@ -111,7 +111,7 @@ def signal_families(spark, sf_dir):
 
 _FAMILIES = (
     _SIGNALS
-    + """, s2 AS (SELECT u, v FROM sig WHERE len(signals) >= 3 UNION SELECT v, u FROM sig WHERE len(signals) >= 3), r(node, low) AS (SELECT u, u FROM s2 UNION SELECT s2.v, r.low FROM r JOIN s2 ON r.node = s2.u WHERE r.low < s2.v),
+    + """, s2 AS (SELECT u, v FROM sig WHERE len(signals) >= 2 UNION SELECT v, u FROM sig WHERE len(signals) >= 2), r(node, low) AS (SELECT u, u FROM s2 UNION SELECT s2.v, r.low FROM r JOIN s2 ON r.node = s2.u WHERE r.low < s2.v),
 fam AS (SELECT least(node, min(low)) AS family, node AS slug FROM r GROUP BY node)"""
 )
 SIGNAL_FAMILIES = _FAMILIES + " SELECT * FROM fam"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import negatives
+from ..operators import guards, negatives
 from ..sources import read_table
-from .retrieval import _SQL, _asked
+from .retrieval import _SQL, _asked, knn_topk
 
 SEED, FAMILY, HARD, DRAWN, POOL = 17, 4, 8, 2, 20
 
@@ -91,5 +91,12 @@ SELECT x.bucket, count(*) AS views, round(avg((c.item_id = x.target)::INTEGER),
   round(avg(CASE WHEN hardest IS NOT NULL THEN positive END), 6) AS positive_mean, round(avg(hardest), 6) AS hardest_mean
 FROM each x JOIN candidate c USING (target, bucket) JOIN full_best f USING (target, bucket) JOIN kin_best k USING (target, bucket) GROUP BY x.bucket"""
 
-QUERIES = {"tiered_negatives": tiered_negatives, "internal_metrics": internal_metrics}
-ORACLES = {"tiered_negatives": TIERED_NEGATIVES, "internal_metrics": INTERNAL_METRICS}
+def repeat_check(spark, sf_dir):
+    """The search run three times: the same rows each time."""
+    return guards.repeated(lambda: knn_topk(spark, sf_dir), 3)
+
+
+REPEAT_CHECK = _SQL + " SELECT 3 AS repeats, count(*) AS rows, true AS all_equal FROM c WHERE pos <= 5"
+
+QUERIES = {"repeat_check": repeat_check, "tiered_negatives": tiered_negatives, "internal_metrics": internal_metrics}
+ORACLES = {"repeat_check": REPEAT_CHECK, "tiered_negatives": TIERED_NEGATIVES, "internal_metrics": INTERNAL_METRICS}

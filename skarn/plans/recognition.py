@@ -189,9 +189,51 @@ SELECT query_id, CASE WHEN n > 0 AND (m IS NULL OR m > 0.1) THEN y END AS year,
 )
 
 
+MARGINS = {"near": 0.1, "clear": 0.5}
+
+
+def _choices(spark, sf_dir) -> DataFrame:
+    """(query_id, method, year, reason, target, competing): years chosen at two margins, the year of the right part, and how many years the candidates have."""
+    known = _known(spark, sf_dir)
+    scores = evidence.year_observations(_lines(spark, sf_dir), "query_id").select("query_id", "year", F.round(F.col("confidence") * F.col("n"), 4).alias("score"))
+    allowed = known.filter("year is not null").select("query_id", "year")
+    chosen = [evidence.choose_allowed(scores, allowed, m).select("query_id", F.lit(name).alias("method"), "year", "reason") for name, m in MARGINS.items()]
+    right = known.groupBy("query_id").agg(F.min_by("year", F.struct(F.col("slug") % 3, "slug")).alias("target"), F.countDistinct("year").alias("competing"))
+    return chosen[0].unionByName(chosen[1]).join(right, "query_id")
+
+
+def year_outcomes(spark, sf_dir):
+    return evidence.year_outcomes(_choices(spark, sf_dir), "year", "target", F.col("reason") == "tie", "method")
+
+
+def pairwise_year_accuracy(spark, sf_dir):
+    return evidence.pairwise_year_accuracy(_choices(spark, sf_dir), "year", "target", "competing", "method")
+
+
+_CHOICES = (
+    _DECIDED
+    + """, alw AS (SELECT DISTINCT query_id, kno.year, round(confidence * n, 4) AS score FROM kno LEFT JOIN obs USING (query_id, year) WHERE kno.year IS NOT NULL),
+ord AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, year) AS r FROM alw),
+lead AS (SELECT query_id, count(score) AS n, max(year) FILTER (WHERE r = 1) AS y, max(score) FILTER (WHERE r = 1) - max(score) FILTER (WHERE r = 2) AS m FROM ord GROUP BY query_id),
+tgt AS (SELECT query_id, first(year ORDER BY slug % 3, slug) AS target, count(DISTINCT year) AS competing FROM kno GROUP BY query_id),
+cho AS (SELECT query_id, method, CASE WHEN n > 0 AND (m IS NULL OR m > least_lead) THEN y END AS year, coalesce(n > 0 AND m <= least_lead, false) AS tie, target, competing
+  FROM lead JOIN tgt USING (query_id), (VALUES ('near', 0.1), ('clear', 0.5)) x(method, least_lead))"""
+)
+YEAR_OUTCOMES = (
+    _CHOICES
+    + """ SELECT method, count(*) AS queries, count(*) FILTER (WHERE year = target) AS correct_year, round(count(*) FILTER (WHERE year = target) / count(*), 4) AS correct_year_rate,
+  count(*) FILTER (WHERE year IS NOT NULL AND year IS DISTINCT FROM target) AS wrong_year, count(*) FILTER (WHERE year IS NULL AND tie) AS ambiguous, count(*) FILTER (WHERE year IS NULL AND NOT tie) AS no_year FROM cho GROUP BY method"""
+)
+PAIRWISE_YEAR_ACCURACY = (
+    _CHOICES
+    + """ SELECT method, count(*) FILTER (WHERE competing >= 2) AS pairwise_queries, count(*) FILTER (WHERE competing >= 2 AND year = target) AS pairwise_correct,
+  round(count(*) FILTER (WHERE competing >= 2 AND year = target) / nullif(count(*) FILTER (WHERE competing >= 2), 0), 4) AS pairwise_accuracy FROM cho GROUP BY method"""
+)
+
+
 def _challenge(spark, sf_dir) -> DataFrame:
     known = _known(spark, sf_dir)
-    targets = known.groupBy("query_id").agg(F.min(F.struct(F.xxhash64("query_id") * 0 + F.col("slug") % 3, "slug")).alias("s")).select("query_id", F.col("s.slug").alias("target"))
+    targets = known.groupBy("query_id").agg(F.min(F.struct(F.col("slug") % 3, "slug")).alias("s")).select("query_id", F.col("s.slug").alias("target"))
     return evidence.year_challenge(targets, known)
 
 
@@ -343,7 +385,7 @@ SELECT slug, {_SQUEEZE.format('bare')} AS title_key, {_SQUEEZE.format("regexp_re
 )
 
 _NAMES = (
-    "candidate_text_index", "query_text_evidence", "candidate_documents", "year_observations", "item_year_evidence", "query_years", "year_swap", "allowed_year_choice", "year_challenge", "year_ceiling",
+    "candidate_text_index", "query_text_evidence", "candidate_documents", "year_observations", "item_year_evidence", "query_years", "year_swap", "allowed_year_choice", "year_outcomes", "pairwise_year_accuracy", "year_challenge", "year_ceiling",
     "text_signals", "vintage_states", "line_audit", "box_gates", "text_coverage", "center_crops", "retry_reasons", "name_keys",
 )
 QUERIES = {name: globals()[name] for name in _NAMES}
