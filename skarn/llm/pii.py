@@ -62,7 +62,8 @@ def _compatible() -> dict[str, str]:
 
 
 COMPATIBLE_FORMS = _compatible()
-_ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE + "".join(COMPATIBLE_FORMS)) + "٠-٩۰-۹०-९]")
+# blocks beyond U+FFFF go in whole: a class is a table for the characters up to there, a list for others
+_ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE + "".join(c for c in COMPATIBLE_FORMS if c <= "\uffff")) + "٠-٩۰-۹०-९" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in COMPATIBLE if a > 0xFFFF) + "]")
 # the blanks around are added by _bracketed, which walks over each of them once
 _BRACKETED = re.compile(rf"[\[({{<][ \t]*+(?:({AT}|@)|(?:{DOT}|\.))[ \t]*+[\])}}>][ \t]*+", re.I)
 _NAME = r"[A-Za-z0-9-]+"
@@ -160,6 +161,8 @@ def _plain(c: str) -> str:
         return LOOKALIKES[c]
     if c in COMPATIBLE_FORMS:
         return COMPATIBLE_FORMS[c]
+    if c > "\uffff":
+        return c
     return str(ord(c) & 15 if c < "۰" else ord(c) - 0x06F0 if c < "ऀ" else ord(c) - 0x0966)
 
 
@@ -207,7 +210,7 @@ def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, stop), in source characters, of what only shows in the rewritten text."""
     r = Rewriting(text)
-    if _ODD.search(text):
+    if not text.isascii() and _ODD.search(text):
         r.replace([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
     low = r.text.lower()
     if any(x in low for x in ("[", "(", "{", "<")):
