@@ -9,6 +9,7 @@ from .. import streaming
 from ..functions import fuzzy, html
 from ..functions import text as T
 from ..sources import read_table
+from ..streaming import lookups
 
 
 def fuzzy_scores(spark, sf_dir) -> DataFrame:
@@ -44,5 +45,22 @@ STREAM_SESSION = """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id"""
 
-QUERIES = {"fuzzy_scores": fuzzy_scores, "html_fields": html_fields, "stream_tumbling": stream_tumbling, "stream_session": stream_session}
-ORACLES = {"html_fields": HTML_FIELDS, "stream_tumbling": STREAM_TUMBLING, "stream_session": STREAM_SESSION}
+def cached_lookups(spark, sf_dir) -> DataFrame:
+    """Events as lookups of their users; an error is a fetch that fails."""
+    events = streaming.event_stream(spark, f"{sf_dir}/events.parquet").withColumn("ok", F.col("event_type") != "error")
+    out = streaming.drained(lookups.cached_lookups(events, "user_id"), "append")
+    sums = [F.count_if("fetched").alias("fetches"), F.count_if(F.col("fetched") & ~F.col("available")).alias("failures"), F.count_if(~F.col("available")).alias("unavailable"), F.sum("source").alias("sources")]
+    return out.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("lookups"), *sums)
+
+
+CACHED_LOOKUPS = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type <> 'error' AS ok FROM events WHERE user_id IS NOT NULL),
+f AS (
+  SELECT * FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)
+  UNION ALL
+  SELECT n.* FROM f, LATERAL (SELECT * FROM e WHERE e.user_id = f.user_id AND e.ts >= f.ts + CASE WHEN f.ok THEN INTERVAL {lookups.LIVE} SECOND ELSE INTERVAL {lookups.LIVE_FAILED} SECOND END ORDER BY ts, event_id LIMIT 1) n
+),
+l AS (SELECT e.user_id, e.event_id, arg_max(f.event_id, (f.ts, f.event_id)) AS source, arg_max(f.ok, (f.ts, f.event_id)) AS available FROM e JOIN f ON f.user_id = e.user_id AND (f.ts, f.event_id) <= (e.ts, e.event_id) GROUP BY ALL)
+SELECT user_id, count(*) AS lookups, count(*) FILTER (WHERE source = event_id) AS fetches, count(*) FILTER (WHERE source = event_id AND NOT available) AS failures, count(*) FILTER (WHERE NOT available) AS unavailable, sum(source)::BIGINT AS sources FROM l GROUP BY user_id"""
+
+QUERIES = {"cached_lookups": cached_lookups, "fuzzy_scores": fuzzy_scores, "html_fields": html_fields, "stream_tumbling": stream_tumbling, "stream_session": stream_session}
+ORACLES = {"cached_lookups": CACHED_LOOKUPS, "html_fields": HTML_FIELDS, "stream_tumbling": STREAM_TUMBLING, "stream_session": STREAM_SESSION}
