@@ -105,3 +105,12 @@ def test_planted_transforms_are_found_among_outliers(spark):
     most = max(int((_distances(_fitted(a[list(c)], b[list(c)]), a, b) <= MOST_DISTANCE).sum()) for c in itertools.combinations(range(14), 4))
     assert aligned("x", a, b, 1.0, 1.0, samples=3000)[1] >= most - 1
     assert _hull_area(np.array([[0, 0], [4, 0], [4, 3], [0, 3], [2, 1], [2, 0]])) == 12
+
+
+def test_a_sliver_inside_the_other_picture_is_no_miss(spark):
+    """A line item's transform that reaches 1.2e-5 into the box: a smaller area than any bound on areas, but separated along no axis."""
+    h = [14 / 32, 0.03, 64 - 40.3717, 0.25, 1 / 8, 2 - 30.7331, 0.0, 0.0, 1.0]
+    moved = [*h[:5], h[5] - 2e-5, *h[6:]]
+    df = spark.createDataFrame([(1, h), (2, moved)], "i int, h array<double>")
+    got = pictures.with_homography_state(df, "h", F.lit(100), F.lit(80), seen_width=F.lit(60), seen_height=F.lit(50))
+    assert {r.i: r.state for r in got.collect()} == {1: "valid", 2: "projection_outside_query"}
