@@ -72,12 +72,12 @@ def align(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
     ``keys`` are unique; both sides spell the same bytes. A row without tokens has no cuts.
     """
-    met = _ends(tokens, keys, "a").join(_ends(tokens, keys, "b"), [*keys, "__end"])
+    met = _ends(tokens, keys, "a").join(_ends(tokens, keys, "b").hint("merge"), [*keys, "__end"])
     group = F.row_number().over(Window.partitionBy(*keys).orderBy("__end"))
     ranges = met.select(*keys, group.alias("group"), "a_to", "b_to").groupBy(*keys).agg(F.collect_list(F.struct("group", "a_to", "b_to")).alias("__met"))
     cuts = ranges.withColumn("__met", F.array_sort("__met")).select(*keys, F.col("__met.a_to").alias("a_cuts"), F.col("__met.b_to").alias("b_cuts"))
     none = F.array().cast("array<int>")
-    return tokens.join(cuts, keys, "left").select(*tokens.columns, F.coalesce("a_cuts", none).alias("a_cuts"), F.coalesce("b_cuts", none).alias("b_cuts"))
+    return tokens.join(cuts.hint("merge"), keys, "left").select(*tokens.columns, F.coalesce("a_cuts", none).alias("a_cuts"), F.coalesce("b_cuts", none).alias("b_cuts"))
 
 
 def links(aligned: DataFrame, keys: list[str]) -> DataFrame:
@@ -296,10 +296,14 @@ def _counted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def pair_counts(partial: DataFrame) -> DataFrame:
-    """(pair, count, best) from (pair, n): all documents that hold a pair linked, and whether no pair of its a id is held by more."""
+    """(pair, count, best) from (pair, n): all documents that hold a pair linked, and whether no pair of its a id is held by more.
+
+    Joined by sorting: the size of packed files, scaled down to two columns, tells Spark too little, and it
+    would send many times what it allows through the driver.
+    """
     total = partial.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("__a", F.shiftright("pair", 32))
     top = total.groupBy("__a").agg(F.max("count").alias("__most"))
-    return total.join(top, "__a").select("pair", "count", (F.col("count") == F.col("__most")).alias("best"))
+    return total.join(top.hint("merge"), "__a").select("pair", "count", (F.col("count") == F.col("__most")).alias("best"))
 
 
 def align_documents(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -323,7 +327,7 @@ def align_documents(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
             sums = documents.groupBy("block").cogroup(aligned.groupBy("block")).applyInArrow(_summed, SUMS)
             with _bucketed(sums, buckets, "kind") as summed:
                 partial = summed.filter("kind = 'p'").select("block", "pair", "n")
-                counts = stored(partial.select("block", "pair").join(pair_counts(partial), "pair"), few=True)
+                counts = stored(partial.select("block", "pair").hint("merge").join(pair_counts(partial), "pair"), few=True)
                 done = summed.filter("kind = 'd'").select(own_block, *[c.split()[0] for c in DOCUMENTS.split(", ")], "pairs", "times")
                 return keep(done.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_counted, RESULT))
 

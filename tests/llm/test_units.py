@@ -227,3 +227,14 @@ def test_divergence_against_all_terms(spark):
                         expected[lang, s, part, item] = (v, n)
     assert got == expected and any(k[2] == "term" for k in got)
     assert divergence.audit(df.limit(0)).count() == 0
+
+
+def test_counts_of_pairs_are_not_sent_through_the_driver(spark):
+    """Few packed bytes may hold very many rows: whatever their size seems to be, both joins sort."""
+    rows = spark.createDataFrame([((1 << 32) | 2, 3), ((1 << 32) | 2, 1), ((1 << 32) | 5, 2), (7 << 32, 1)], "pair long, n long")
+    found = alignment.pair_counts(rows)
+    assert {(r["pair"], r["count"], r.best) for r in found.collect()} == {((1 << 32) | 2, 4, True), ((1 << 32) | 5, 2, False), (7 << 32, 1, True)}
+    tokens = spark.createDataFrame([(1, [1, 2], [1, 1], [3], [2])], "unit int, a array<int>, a_lengths array<int>, b array<int>, b_lengths array<int>")
+    for df in (found, alignment.align(tokens, ["unit"])):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
