@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from . import graph
+from .scratch import kept
 
 MOST_MEMBERS = 12
 SMALL_MARGIN, NAME_JACCARD, NAME_SEQUENCE = 0.02, 0.75, 0.80
@@ -48,11 +49,12 @@ def near_by_confusion(same_maker: Column, overlap: Column, agreeing: Column) ->
     return (same_maker & ((overlap >= 0.18) | (agreeing >= 2))) | ((overlap >= 0.45) & (agreeing >= 1))
 
 
-def _judged(pairs: DataFrame, products: DataFrame) -> DataFrame:
-    """``pairs`` (u < v) with same_maker, overlap and agreeing."""
+def _judged(pairs: DataFrame, products: DataFrame, outer: bool = False) -> DataFrame:
+    """``pairs`` (u < v) with same_maker, overlap and agreeing; pairs of unknown products are left out, or with ``outer`` have nulls."""
     keyed = _keyed(products)
     side = lambda name: keyed.select(F.col("slug").alias(name), F.struct(*keyed.columns[1:]).alias(f"__{name}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    how = "left" if outer else "inner"
+    both = pairs.join(side("u"), "u", how).join(side("v"), "v", how)
     a, b = F.col("__u"), F.col("__v")
     out = both.withColumn("same_maker", a.maker == b.maker).withColumn("overlap", T.jaccard(a.words, b.words)).withColumn("agreeing", _agreeing(a, b))
     return out.drop("__u", "__v")
@@ -61,12 +63,17 @@ def _judged(pairs: DataFrame, products: DataFrame) -> DataFrame:
 def metadata_pairs(products: DataFrame) -> DataFrame:
     """(u, v): products of one maker with names and attributes alike.
 
-    Both rules ask for a shared word, so pairs meet through (maker, word).
+    Both rules ask for a shared word, so pairs meet through (maker, word). Products
+    bring all that they are judged by, and a pair counts where its least shared word
+    is met, so that no pair is sent on or made distinct.
     """
-    keyed = _keyed(products).filter("maker <> ''").select("slug", "maker", F.explode("words").alias("word"))
-    a, b = keyed.select(F.col("slug").alias("u"), "maker", "word"), keyed.select(F.col("slug").alias("v"), "maker", "word")
-    pairs = a.join(b, ["maker", "word"]).filter("u < v").select("u", "v").distinct()
-    return _judged(pairs, products).filter(near_by_metadata(F.col("overlap"), F.col("agreeing"))).select("u", "v")
+    keyed = _keyed(products).filter("maker <> ''")
+    rows = keyed.select("maker", F.explode("words").alias("word"), "slug", F.struct(*keyed.columns[2:]).alias("__p"))
+    side = lambda name: rows.select("maker", "word", F.col("slug").alias(name), F.col("__p").alias(f"__{name}"))
+    both = side("u").join(side("v").hint("merge"), ["maker", "word"])
+    a, b = F.col("__u"), F.col("__v")
+    first = F.array_min(F.array_intersect(a.words, b.words)) == F.col("word")
+    return both.filter((F.col("u") < F.col("v")) & first & near_by_metadata(T.jaccard(a.words, b.words), _agreeing(a, b))).select("u", "v")
 
 
 def confusions(errors: DataFrame) -> DataFrame:
@@ -80,11 +87,12 @@ def confusions(errors: DataFrame) -> DataFrame:
 
 def family_edges(products: DataFrame, errors: DataFrame) -> DataFrame:
     """(u, v, n, kinds): pairs supported by metadata, by errors between products somewhat alike, or both."""
-    seen = confusions(errors).select("u", "v", "n")
-    likely = _judged(seen, products).filter(near_by_confusion(F.col("same_maker"), F.col("overlap"), F.col("agreeing"))).select("u", "v", F.lit("observed_confusion").alias("kind"))
-    every = likely.unionByName(metadata_pairs(products).withColumn("kind", F.lit("same_maker_and_attributes")))
-    kinds = every.groupBy("u", "v").agg(F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("kinds"))
-    return kinds.join(seen, ["u", "v"], "left").select("u", "v", F.coalesce("n", F.lit(0)).alias("n"), "kinds")
+    seen = _judged(confusions(errors).select("u", "v", "n"), products, outer=True)
+    likely = near_by_confusion(F.col("same_maker"), F.col("overlap"), F.col("agreeing"))
+    seen = seen.select("u", "v", "n", F.coalesce(likely, F.lit(False)).alias("__likely"))
+    both = seen.join(metadata_pairs(products).withColumn("__near", F.lit(True)), ["u", "v"], "full").filter("__likely or __near")
+    kinds = F.concat_ws(";", F.when(F.col("__likely"), "observed_confusion"), F.when(F.col("__near"), "same_maker_and_attributes"))
+    return both.select("u", "v", F.coalesce("n", F.lit(0)).alias("n"), kinds.alias("kinds"))
 
 
 def _cliques(edges: pd.DataFrame) -> pd.DataFrame:
@@ -116,6 +124,7 @@ def clique_families(edges: DataFrame) -> DataFrame:
     independent; one component is worked on by one task.
     """
     kind = dict(edges.dtypes)["u"]
+    edges = kept(edges)  # read by the components and by their tasks, made once
     label = graph.connected_components(edges.select("u", "v")).withColumnRenamed("node", "u")
     return edges.join(label, "u").groupBy("component").applyInPandas(lambda part: _cliques(part), f"family {kind}, slug {kind}")
 
@@ -123,7 +132,16 @@ def clique_families(edges: DataFrame) -> DataFrame:
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    matcher, out = SequenceMatcher(None), []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if y != matcher.b:  # what is known of the second string is kept as long as it stays
+            matcher.set_seq2(y)
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
 
 
 def pair_signals(pairs: DataFrame, products: DataFrame, errors: DataFrame, alike: DataFrame, sequence: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     their roots and contracts the edges, until none is left; rows with a null
     are ignored, loops make single nodes.
     """
-    pairs = edges.filter("u is not null and v is not null")
+    pairs = kept(edges.filter("u is not null and v is not null").select("u", "v"))  # read twice, made once
     labels = kept(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node")))
     ordered = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     left = kept(ordered(pairs))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import boxes, fuzzy
 from skarn.functions import text as T
-from skarn.operators import evaluation, evidence, families, guards
+from skarn.operators import evaluation, evidence, families, graph, guards
 from skarn.operators.retrieval import _Best
 
 
@@ -198,3 +198,33 @@ def test_similar_sets_against_all_pairs(spark):
     for least in (0.3, 0.5, 0.8, 1.0):
         expected = {(i, j) for (b, i, s), (c, j, t) in itertools.combinations(rows, 2) if b == c and len(set(s) & set(t)) / len(set(s) | set(t)) >= least}
         assert {(x.u, x.v) for x in resolve.similar_sets(table, "b", "k", "s", least).collect()} == expected
+
+
+def test_edges_are_made_once_for_components_and_cliques(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    edges = spark.createDataFrame([(1, 2, 1, "a"), (2, 3, 1, "a"), (5, 6, 2, "a;b")], "u long, v long, n long, kinds string").withColumn("n", counted("n"))
+    got = {(r.family, r.slug) for r in families.clique_families(edges).collect()}
+    assert got == {(1, 1), (1, 2), (5, 5), (5, 6)} and made.value == 3
+    pairs = edges.select(counted("u").alias("u"), "v")
+    graph.connected_components(pairs.filter("u > 0")).collect()
+    assert made.value <= 9
+
+
+def test_pairs_of_a_maker_are_judged_where_they_meet(spark):
+    """No pair is made distinct or joined again, and errors are read once."""
+    rows = [(1, "red hill one", "M", "t", "c", "r", "g"), (2, "red hill two", "M", "t", "c", "r", "g"), (3, "red hill one", "N", "t", "c", "r", "g"), (4, "blue", "M", "t", "c", "r", "g"), (5, None, None, None, None, None, None)]
+    products = spark.createDataFrame(rows, "slug long, title string, maker string, category string, color string, region string, grape string")
+    pairs = families.metadata_pairs(products)
+    assert [(r.u, r.v) for r in pairs.collect()] == [(1, 2)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+    errors = spark.createDataFrame([(1, 2, 2, 0.1), (2, 1, 1, 0.1), (4, 1, 3, 0.5), (5, 9, 1, 0.5)], "target long, predicted long, rank int, margin double")
+    edges = families.family_edges(products, errors)
+    assert {tuple(r) for r in edges.collect()} == {(1, 2, 2, "observed_confusion;same_maker_and_attributes"), (1, 4, 1, "observed_confusion")}
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("count(1)") == 1
