@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import families
+from ..operators.scratch import kept
 from ..sources import read_table
 from .retrieval import HARD_NEGATIVES, hard_negatives
 
@@ -100,8 +101,8 @@ PAIR_SIGNALS = _SIGNALS + " SELECT u, v, n, ranks_2_5, small_margins, min_margin
 
 
 def _strong(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(evidence, families) of pairs with two signals."""
-    found = _signals(spark, sf_dir)
+    """(evidence, families) of pairs with two signals; the evidence is made once and read by all steps."""
+    found = kept(_signals(spark, sf_dir).filter(F.size("signals") >= 2))
     return found, families.signal_families(found, 2)
 
 
