@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import metrics, ranking
 from ..operators.retrieval import knn
+from ..operators.scratch import kept
 from ..sources import read_table
 from .evaluation import _BASE, _outcomes, _scored
 from .retrieval import _SQL, _asked
@@ -143,7 +144,7 @@ SEEDED_SAMPLE = "SELECT c_custkey FROM customer ORDER BY sha256('11:' || c_custk
 
 def resolution_report(spark, sf_dir):
     """Decisions by status and method with their share, and photos by the one status of their parts, else mixed."""
-    d = cascade_match(spark, sf_dir).withColumn("photo", F.col("slug") % 500)
+    d = kept(cascade_match(spark, sf_dir).withColumn("photo", F.col("slug") % 500))  # read four times, made once
     n = d.agg(F.count(F.lit(1)).alias("all"))
     by = d.groupBy(F.lit("decision").alias("level"), "status", F.coalesce("method", F.lit("none")).alias("method")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n)).select("level", "status", "method", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
     photos = d.groupBy("photo").agg(F.collect_set("status").alias("s")).select(F.when(F.size("s") == 1, F.get("s", 0)).otherwise("mixed").alias("status"))
