@@ -47,22 +47,24 @@ def candidate_document(index: DataFrame, references: DataFrame) -> DataFrame:
     return both.select("slug", F.array_join(parts, " | ").alias("document"))
 
 
-def _best(scores, pairs) -> float:
-    return max((score(a, b) / 100 for a, b in pairs if a for score in scores), default=0.0)
-
-
 @F.pandas_udf(StructType([StructField(name, DoubleType()) for name in SIGNALS]))
 def _signals(q: pd.Series, q_latin: pd.Series, fields: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
-    part, whole = (fuzzy.partial_ratio, fuzzy.token_set_ratio), (fuzzy.ratio, fuzzy.token_set_ratio)
-    rows, known = [], {}
-    for a, b, f, r in zip(q, q_latin, fields.itertuples(index=False), reference.itertuples(index=False), strict=True):
-        key = (a, b, *f, *r)
-        if key not in known:
-            pairs = lambda c, a=a, b=b, f=f: ((getattr(f, c), a), (getattr(f, f"{c}_latin"), b))
-            of_reference = max(s(x, y) / 100 for x, y in ((a, r.text), (b, r.latin)) for s in whole) if r.text is not None else 0.0
-            known[key] = (_best(whole, pairs("title")), _best(part, pairs("winery")), _best(part, pairs("grape")), _best(part, pairs("region")), _best(whole, pairs("metadata")), of_reference)
-        rows.append(known[key])
-    return pd.DataFrame(rows, columns=list(SIGNALS))
+    """Names and whole texts by whole_ratio, other fields by their best place in the text or their tokens; equal pairs of a batch once."""
+
+    def pairs(c, latin):  # where both spellings are the same, one is compared
+        return [{p for p in ((a, b), (x, y)) if p[0]} for a, b, x, y in zip(c, q, latin, q_latin, strict=True)]
+
+    def best(rows, score):
+        known = {p: score(p) for p in set().union(*rows)}
+        return [max((known[p] for p in row), default=0.0) / 100 for row in rows]
+
+    whole = lambda p: fuzzy.whole_ratio(*p)
+    name, metadata, *parts = (pairs(fields[c], fields[f"{c}_latin"]) for c in ("title", "metadata", "winery", "grape", "region"))
+    placed = fuzzy.partial_ratios(set().union(*parts[0], *parts[1], *parts[2]))
+    out = [best(name, whole), *(best(rows, lambda p: fuzzy.token_set_ratio(*p, placed[p])) for rows in parts), best(metadata, whole)]
+    read = reference["text"].notna()
+    both = [{(a, x), (b, y)} if seen else set() for a, x, b, y, seen in zip(q, reference["text"], q_latin, reference["latin"], read, strict=True)]
+    return pd.DataFrame(dict(zip(SIGNALS, [*out, best(both, whole)], strict=True)))
 
 
 def text_signals(candidates: DataFrame, queries: DataFrame, index: DataFrame, references: DataFrame | None = None) -> DataFrame:
@@ -71,13 +73,15 @@ def text_signals(candidates: DataFrame, queries: DataFrame, index: DataFrame, re
     ``queries``: line_evidence by query_id; ``index``: candidate_index; ``references``:
     line_evidence by slug, its score being 0 where an item has none. Candidates
     without query or item in those are left out. Scores are computed once for
-    equal texts of an Arrow batch.
+    equal texts of an Arrow batch. Joins go by sorting: packed file sizes let Spark
+    send an index far above its threshold through the driver.
     """
-    both = candidates.join(queries.select("query_id", F.col("text").alias("__q"), F.col("latin").alias("__l"), F.col("years").alias("__y")), "query_id").join(index, "slug")
+    texts = queries.select("query_id", F.col("text").alias("__q"), F.col("latin").alias("__l"), F.col("years").alias("__y"))
+    both = candidates.join(texts.hint("merge"), "query_id").join(index.hint("merge"), "slug")
     if references is None:
         both = both.withColumn("__rt", F.lit(None).cast("string")).withColumn("__rl", F.lit(None).cast("string"))
     else:
-        both = both.join(references.select("slug", F.col("text").alias("__rt"), F.col("latin").alias("__rl")), "slug", "left")
+        both = both.join(references.select("slug", F.col("text").alias("__rt"), F.col("latin").alias("__rl")).hint("merge"), "slug", "left")
     fields = F.struct(*[c for f in (*FIELDS, "metadata") for c in (f, f"{f}_latin")])
     scores = _signals("__q", "__l", fields, F.struct(F.col("__rt").alias("text"), F.col("__rl").alias("latin")))
     out = both.withColumn("__s", scores).withColumn("vintage_match", T.year_state(F.col("vintage"), F.col("__y")))

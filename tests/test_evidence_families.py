@@ -12,6 +12,7 @@ from skarn.functions import boxes, fuzzy
 from skarn.functions import text as T
 from skarn.operators import evaluation, evidence, families, graph, guards
 from skarn.operators.retrieval import _Best
+from skarn.plans import recognition
 
 
 def _lcs(a, b):
@@ -68,6 +69,29 @@ def test_text_signals(spark):
     assert all(r.reference_ocr_score == 0.0 for r in alone.collect())
 
 
+def test_many_fuzzy_scores_at_once_equal_single_ones(monkeypatch):
+    r = random.Random(6)
+    word = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    pairs = [(word("abc ж", 9), word("abc ж", 40)) for _ in range(300)] + [(word("abcdef", 80), word("abcdef", 90)) for _ in range(100)]
+    monkeypatch.setattr(fuzzy, "WINDOWS", 200)
+    assert fuzzy.partial_ratios(pairs) == {p: fuzzy.partial_ratio(*p) for p in pairs} and fuzzy.partial_ratios([]) == {}
+    for a, b in pairs:
+        x, y = set(a.split()), set(b.split())
+        both = " ".join(sorted(x & y))
+        left, right = (" ".join([*([both] if both else []), *sorted(s)]) for s in (x - y, y - x))
+        plain = 0.0 if not x or not y else 100.0 if both and (x <= y or y <= x) else max([_ratio(left, right), *([_ratio(both, left), _ratio(both, right)] if both else [])])
+        assert fuzzy.token_set_ratio(a, b) == plain and fuzzy.whole_ratio(a, b) == max(plain, _ratio(a, b)) and fuzzy.token_set_ratio(a, b, 50.0) == max(plain, 50.0)
+
+
+def test_text_signals_send_no_table_through_the_driver(spark):
+    lines = spark.createDataFrame([("q", 1, "x", 0.9)], "query_id string, pos int, text string, confidence double")
+    pairs = spark.createDataFrame([("q", "s1")], "query_id string, slug string")
+    references = evidence.line_evidence(lines.withColumnRenamed("query_id", "slug"), "slug")
+    found = evidence.text_signals(pairs, evidence.line_evidence(lines, "query_id"), evidence.candidate_index(_catalog(spark)), references)
+    for df in (found, recognition.text_signals(spark, "/root/testdata/sf0.001")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_years_of_items_and_queries(spark):
     seen = spark.createDataFrame([("s2", "2018"), ("s3", "2001")], "slug string, year string")
     got = {r.slug: (r.year, r.provenance, r.conflict) for r in evidence.item_years(_catalog(spark), seen).collect()}
