@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()))
 
 
+def _once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)``, with x computed once however often it is used there; without Python functions inside."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
 def slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
@@ -72,11 +78,13 @@ def filename_key(path: Column, folded: bool = False) -> Column:
 
     ``folded``: with NFKC and case folding through Python; else lower case only.
     """
-    name = fold(basename(path)) if folded else F.lower(basename(path))
-    stem = F.regexp_replace(_stem(name), rf"^({'|'.join(RESIZED)})_", "")
-    stem = F.regexp_replace(stem, r"_[0-9a-f]{10}$", "")
-    stem = F.regexp_replace(F.regexp_replace(stem, r"[\s_-]+", "_"), r"^_+|_+$", "")
-    return F.concat(stem, suffix_of(name))
+    def key(name: Column) -> Column:
+        stem = F.regexp_replace(_stem(name), rf"^({'|'.join(RESIZED)})_", "")
+        stem = F.regexp_replace(stem, r"_[0-9a-f]{10}$", "")
+        stem = F.regexp_replace(F.regexp_replace(stem, r"[\s_-]+", "_"), r"^_+|_+$", "")
+        return F.concat(stem, suffix_of(name))
+
+    return _once(fold(basename(path)) if folded else F.lower(basename(path)), key)
 
 
 def transliterated_filename_key(path: Column, folded: bool = False) -> Column:
@@ -85,15 +93,17 @@ def transliterated_filename_key(path: Column, folded: bool = False) -> Column:
 
 def punctuation_key(path: Column, folded: bool = False) -> Column:
     """The key of the transliterated name with every punctuation mark and symbol of its stem as an underscore first."""
-    name = basename(transliterate(path, folded))
-    return filename_key(F.concat(F.regexp_replace(_stem(name), r"[\p{P}\p{S}]", "_"), suffix_of(name)), folded)
+    plain = lambda name: F.concat(F.regexp_replace(_stem(name), r"[\p{P}\p{S}]", "_"), suffix_of(name))
+    return filename_key(_once(basename(transliterate(path, folded)), plain), folded)
 
 
 def variant(path: Column) -> Column:
     """The resize prefix, else original for images, else unknown."""
-    name = F.lower(basename(path))
-    prefix = F.regexp_extract(name, rf"^({'|'.join(RESIZED)})_", 1)
-    return F.when(prefix != "", prefix).when(F.substring(suffix_of(name), 2, 9).isin(*IMAGES), "original").otherwise("unknown")
+    def kind(name: Column) -> Column:
+        prefix = F.regexp_extract(name, rf"^({'|'.join(RESIZED)})_", 1)
+        return F.when(prefix != "", prefix).when(F.substring(suffix_of(name), 2, 9).isin(*IMAGES), "original").otherwise("unknown")
+
+    return _once(F.lower(basename(path)), kind)
 
 
 def unmatched_reason(photo: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +31,16 @@ def resolve_group(candidates: DataFrame, by: str, method: Column) -> DataFrame:
 def cascade(products: DataFrame, media: DataFrame, stages: list[tuple[str, Column, Column]], by: str = "slug") -> DataFrame:
     """Resolution by the first stage that has any candidate; products without one are missing.
 
-    ``stages``: name, key of a product row, key of a media row. Stages are
-    joined on their keys at once, so each costs one equi-join.
+    ``stages``: name, key of a product row, key of a media row. Each side's keys are
+    made in one reading and meet in one equi-join on stage and key, by sorting, as
+    packed files of many rows look small enough to be sent through the driver.
     """
-    hits = []
-    for at, (name, left, right) in enumerate(stages):
-        l, r = products.select(F.col(by), left.alias("__k")), media.withColumn("__k", right)
-        hits.append(l.join(r, "__k").drop("__k").withColumn("stage", F.lit(at)).withColumn("stage_name", F.lit(name)))
-    every = reduce(DataFrame.unionByName, hits)
+    keyed = lambda df, side: df.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(i).alias("stage"), stage[side].alias("__k")) for i, stage in enumerate(stages)]))).select(*df.columns, "__s.*")
+    own = keyed(products, 1).select(by, "stage", "__k")
+    every = own.join(keyed(media, 2).hint("merge"), ["stage", "__k"]).withColumn("stage_name", F.array(*[F.lit(name) for name, *_ in stages])[F.col("stage")])
     first = every.withColumn("__least", F.min("stage").over(Window.partitionBy(by))).filter("stage = __least")
     found = resolve_group(first, by, F.col("stage_name"))
-    return products.select(by).join(found, by, "left").select(by, F.coalesce("status", F.lit("missing")).alias("status"), "method", "path", F.coalesce("n", F.lit(0)).alias("candidate_count"))
+    return products.select(by).join(found.hint("merge"), by, "left").select(by, F.coalesce("status", F.lit("missing")).alias("status"), "method", "path", F.coalesce("n", F.lit(0)).alias("candidate_count"))
 
 
 def apply_overrides(decisions: DataFrame, overrides: DataFrame, by: str = "slug") -> DataFrame:

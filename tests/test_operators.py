@@ -89,6 +89,17 @@ def test_cascade_takes_first_stage_and_min_path_of_identical_originals(spark):
     assert got == {"s1": ("matched", "y/A B.png", 2), "s2": ("ambiguous", None, 2), "s3": ("missing", None, 0)}
 
 
+def test_cascade_reads_each_side_once_and_sends_none_through_the_driver(spark):
+    products = spark.createDataFrame([("s1", "a b.png"), ("s2", "Май.png"), ("s3", "x-y.png"), ("s4", None)], "slug string, photo string")
+    media = spark.createDataFrame([("d/A_b.PNG", 1, "c"), ("maj.png", 2, "c"), ("x+y.png", 3, "c"), ("x(y.png", 4, "c")], "path string, size long, crc string").withColumn("variant", T.variant(F.col("path")))
+    keys = {"strict": T.filename_key, "transliterated": T.transliterated_filename_key, "punctuation": T.punctuation_key}
+    found = resolve.cascade(products, media, [(name, key(F.col("photo")), key(F.col("path"))) for name, key in keys.items()])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join") == 2
+    got = {r.slug: (r.status, r.method, r.path, r.candidate_count) for r in found.collect()}
+    assert got == {"s1": ("matched", "strict", "d/A_b.PNG", 1), "s2": ("matched", "transliterated", "maj.png", 1), "s3": ("ambiguous", "punctuation", None, 2), "s4": ("missing", None, None, 0)}
+
+
 def test_components_of_paths_cycles_and_loops(spark):
     edges = [(i, i + 1) for i in range(20, 0, -1)] + [(30, 31), (31, 32), (32, 30), (40, 40), (None, 3)]
     got = dict(_values(graph.connected_components(spark.createDataFrame(edges, "u long, v long"))))
