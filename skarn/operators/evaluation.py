@@ -109,13 +109,13 @@ def scope_accuracy(candidates: DataFrame, scopes: Mapping[str, Column]) -> DataF
 
     ``candidates``: query_id, slug, score, is_target; the target is in every scope. Ties go to the lesser slug.
     """
-    kinds = F.explode(F.array_compact(F.array(*[F.when(F.col("is_target") | inside, F.lit(name)) for name, inside in scopes.items()])))
-    rows = candidates.withColumn("scope", kinds)
-    best = rows.groupBy("scope", "query_id").agg(
-        F.max_by("is_target", F.struct("score", -F.col("slug"))).alias("right"), F.sum(F.exp("score")).alias("z"), F.max(F.when(F.col("is_target"), F.col("score"))).alias("own")
-    )
-    best = best.filter("own is not null")
-    return best.groupBy("scope").agg(F.count(F.lit(1)).alias("queries"), share(F.col("right")).alias("accuracy"), F.round(F.avg(F.ln("z") - F.col("own")), 6).alias("log_loss"))
+    inside = {name: F.col("is_target") | scope for name, scope in scopes.items()}
+    own = F.max(F.when(F.col("is_target"), F.col("score")))
+    best = lambda x: F.max_by(F.when(x, F.col("is_target")), F.when(x, F.struct("score", -F.col("slug"))))
+    of = [F.struct(F.lit(name).alias("scope"), best(x).alias("right"), F.sum(F.when(x, F.exp("score"))).alias("z")) for name, x in inside.items()]
+    # one group a query, not one a query and scope, so that rows aren't multiplied before they are sorted
+    found = candidates.groupBy("query_id").agg(own.alias("own"), F.array(*of).alias("__s")).filter("own is not null").select("own", F.inline("__s"))
+    return found.groupBy("scope").agg(F.count(F.lit(1)).alias("queries"), share(F.col("right")).alias("accuracy"), F.round(F.avg(F.ln("z") - F.col("own")), 6).alias("log_loss"))
 
 
 def method_report(df: DataFrame, methods: Mapping[str, str], slices: Column) -> DataFrame:

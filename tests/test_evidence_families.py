@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from skarn.functions import boxes, fuzzy
 from skarn.functions import text as T
 from skarn.operators import evaluation, evidence, families, graph, guards
 from skarn.operators.retrieval import _Best
+from skarn.plans import evaluation as evaluation_plans
 from skarn.plans import recognition
 
 
@@ -252,3 +254,18 @@ def test_pairs_of_a_maker_are_judged_where_they_meet(spark):
     edges = families.family_edges(products, errors)
     assert {tuple(r) for r in edges.collect()} == {(1, 2, 2, "observed_confusion;same_maker_and_attributes"), (1, 4, 1, "observed_confusion")}
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("count(1)") == 1
+
+
+def test_scope_accuracy_groups_by_query_alone(spark):
+    rows = [("a", 1, 1.0, True), ("a", 2, 1.0, False), ("a", 3, 0.0, False), ("b", 1, 1.0, False), ("b", 2, 0.5, True), ("c", 1, 1.0, False)]
+    df = spark.createDataFrame(rows, "query_id string, slug long, score double, is_target boolean")
+    found = evaluation.scope_accuracy(df, {"full": F.lit(True), "odd": F.col("slug") % 2 == 1, "own": F.lit(None).cast("boolean")})
+    assert "keys=[scope" in (plan := found._jdf.queryExecution().executedPlan().toString()) and not re.search(r"keys?=\[scope#\d+, query_id", plan)
+    e = np.exp
+    losses = {"full": (np.log(2 * e(1.0) + 1) - 1 + np.log(e(1.0) + e(0.5)) - 0.5) / 2, "odd": (np.log(e(1.0) + 1) - 1 + np.log(e(1.0) + e(0.5)) - 0.5) / 2, "own": 0.0}
+    assert {r.scope: (r.queries, r.accuracy, r.log_loss) for r in found.collect()} == {k: (2, 1.0 if k == "own" else 0.5, round(float(v), 6)) for k, v in losses.items()}
+
+
+def test_candidates_are_ranked_by_one_sort_of_an_order(spark):
+    plan = evaluation_plans._scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Sort [query_id") <= 2
