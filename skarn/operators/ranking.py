@@ -55,8 +55,11 @@ def guarded_rerank(df: DataFrame, image: str, text: str, alpha: float = 0.7, mar
     lead_text = F.max(F.when(F.col("__r") == 1, F.col(text))).over(whole)
     image_text = F.max(F.when(F.col("pos") == 1, F.col(text))).over(whole)
     held = lead_text - image_text < margin
-    out = out.withColumn("__held", held).withColumn("__order", F.when(F.col("__held") & (F.col("pos") == 1), 0).otherwise(F.col("__r")))
-    return out.withColumn("new_rank", F.row_number().over(_query().orderBy("__order"))).drop("__r", "__held", "__order")
+    of_first = F.max(F.when(F.col("pos") == 1, F.col("__r"))).over(whole)
+    out = out.withColumn("__held", held).withColumn("__f", of_first)
+    # a held winner comes first and those that were before it each move back by one: no second sort
+    kept_first = F.when(F.col("pos") == 1, 1).otherwise(F.col("__r") + (F.col("__r") < F.col("__f")).cast("int"))
+    return out.withColumn("new_rank", F.when(F.col("__held"), kept_first).otherwise(F.col("__r"))).drop("__r", "__held", "__f")
 
 
 def confidence_features(df: DataFrame, score: str = "score", rank: str = "pos") -> DataFrame:

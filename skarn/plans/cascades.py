@@ -57,7 +57,8 @@ def production_order(spark, sf_dir):
     first = ranking.guarded_rerank(s, "price_score", "text", alpha=0.75, margin=0.05).drop("pos", "final_score").withColumnRenamed("new_rank", "pos")
     geo = first.withColumn("geo", F.col("quantity") / 64).withColumn("valid", F.col("slug") % 4 != 0).withColumn("inliers", (F.col("slug") % 30).cast("int")).withColumn("inlier_share", (F.col("slug") % 10) / 10)
     out = E.geometry_order(geo, "geo", "valid", "inliers", "inlier_share")
-    return out.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new_rank", "slug"))), lambda x: x.slug), ",").alias("order"))
+    listed = F.array_sort(F.collect_list(F.struct("new_rank", "slug")).over(Window.partitionBy("query_id")))  # rows of an order lie together already
+    return out.withColumn("l", listed).filter("new_rank = 1").select("query_id", F.array_join(F.transform("l", lambda x: x.slug), ",").alias("order"))
 
 
 PRODUCTION_ORDER = (

@@ -13,6 +13,7 @@ from skarn.functions import boxes, fuzzy
 from skarn.functions import text as T
 from skarn.operators import evaluation, evidence, families, graph, guards
 from skarn.operators.retrieval import _Best
+from skarn.plans import cascades
 from skarn.plans import evaluation as evaluation_plans
 from skarn.plans import recognition
 
@@ -269,3 +270,8 @@ def test_scope_accuracy_groups_by_query_alone(spark):
 def test_candidates_are_ranked_by_one_sort_of_an_order(spark):
     plan = evaluation_plans._scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("Sort [query_id") <= 2
+
+
+def test_production_order_sorts_scored_rows_twice(spark):
+    plan = cascades.production_order(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [query_id") <= 5 and plan.count("ObjectHashAggregate") == 0 and "Broadcast" not in plan
