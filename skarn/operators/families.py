@@ -52,7 +52,7 @@ def near_by_confusion(same_maker: Column, overlap: Column, agreeing: Column) ->
 def _judged(pairs: DataFrame, products: DataFrame, outer: bool = False) -> DataFrame:
     """``pairs`` (u < v) with same_maker, overlap and agreeing; pairs of unknown products are left out, or with ``outer`` have nulls."""
     keyed = _keyed(products)
-    side = lambda name: keyed.select(F.col("slug").alias(name), F.struct(*keyed.columns[1:]).alias(f"__{name}"))
+    side = lambda name: keyed.select(F.col("slug").alias(name), F.struct(*keyed.columns[1:]).alias(f"__{name}")).hint("merge")
     how = "left" if outer else "inner"
     both = pairs.join(side("u"), "u", how).join(side("v"), "v", how)
     a, b = F.col("__u"), F.col("__v")
@@ -61,7 +61,12 @@ def _judged(pairs: DataFrame, products: DataFrame, outer: bool = False) -> DataF
 
 
 def metadata_pairs(products: DataFrame) -> DataFrame:
-    """(u, v): products of one maker with names and attributes alike.
+    """(u, v): products of one maker with names and attributes alike."""
+    return _near(products).select("u", "v")
+
+
+def _near(products: DataFrame) -> DataFrame:
+    """(u, v, overlap): products of one maker with names and attributes alike.
 
     Both rules ask for a shared word, so pairs meet through (maker, word). Products
     bring all that they are judged by, and a pair counts where its least shared word
@@ -73,7 +78,8 @@ def metadata_pairs(products: DataFrame) -> DataFrame:
     both = side("u").join(side("v").hint("merge"), ["maker", "word"])
     a, b = F.col("__u"), F.col("__v")
     first = F.array_min(F.array_intersect(a.words, b.words)) == F.col("word")
-    return both.filter((F.col("u") < F.col("v")) & first & near_by_metadata(T.jaccard(a.words, b.words), _agreeing(a, b))).select("u", "v")
+    overlap = T.jaccard(a.words, b.words)
+    return both.filter((F.col("u") < F.col("v")) & first & near_by_metadata(overlap, _agreeing(a, b))).select("u", "v", overlap.alias("overlap"))
 
 
 def confusions(errors: DataFrame) -> DataFrame:
@@ -87,12 +93,18 @@ def confusions(errors: DataFrame) -> DataFrame:
 
 def family_edges(products: DataFrame, errors: DataFrame) -> DataFrame:
     """(u, v, n, kinds): pairs supported by metadata, by errors between products somewhat alike, or both."""
-    seen = _judged(confusions(errors).select("u", "v", "n"), products, outer=True)
+    return supported(products, errors).select("u", "v", F.coalesce("n", F.lit(0)).alias("n"), "kinds")
+
+
+def supported(products: DataFrame, errors: DataFrame) -> DataFrame:
+    """The pairs of family_edges with all that was found on the way: kinds, overlap and the columns of confusions, null without errors."""
+    seen = _judged(confusions(errors), products, outer=True)
     likely = near_by_confusion(F.col("same_maker"), F.col("overlap"), F.col("agreeing"))
-    seen = seen.select("u", "v", "n", F.coalesce(likely, F.lit(False)).alias("__likely"))
-    both = seen.join(metadata_pairs(products).withColumn("__near", F.lit(True)), ["u", "v"], "full").filter("__likely or __near")
+    seen = seen.withColumn("__likely", F.coalesce(likely, F.lit(False))).drop("same_maker", "agreeing")
+    near = _near(products).select("u", "v", F.col("overlap").alias("__o"), F.lit(True).alias("__near"))
+    both = seen.join(near, ["u", "v"], "full").filter("__likely or __near").withColumn("overlap", F.coalesce("overlap", "__o"))
     kinds = F.concat_ws(";", F.when(F.col("__likely"), "observed_confusion"), F.when(F.col("__near"), "same_maker_and_attributes"))
-    return both.select("u", "v", F.coalesce("n", F.lit(0)).alias("n"), kinds.alias("kinds"))
+    return both.withColumn("kinds", kinds).drop("__likely", "__near", "__o")
 
 
 def _cliques(edges: pd.DataFrame) -> pd.DataFrame:
@@ -148,13 +160,18 @@ def pair_signals(pairs: DataFrame, products: DataFrame, errors: DataFrame, alike
     """``pairs`` (u < v) with n, ranks_2_5, small_margins, margins, name likeness and signals, an array of up to four names.
 
     ``alike``: u, v of products whose pictures look alike. ``sequence``: names are
-    also judged by their matching blocks, through Python; else by shared words alone.
+    also judged by their matching blocks, through Python; else by shared words alone,
+    and pairs of ``supported`` aren't joined again with products and errors.
     """
-    keyed = _keyed(products).select("slug", "words", F.array_join(F.array_sort("words"), " ").alias("name"))
-    side = lambda c: keyed.select(F.col("slug").alias(c), F.col("words").alias(f"__w{c}"), F.col("name").alias(f"__n{c}"))
-    both = pairs.select("u", "v").join(confusions(errors), ["u", "v"], "left").join(side("u"), "u").join(side("v"), "v")
-    both = both.join(alike.select("u", "v").distinct().withColumn("__image", F.lit(True)), ["u", "v"], "left")
-    both = both.withColumn("name_jaccard", T.jaccard(F.col("__wu"), F.col("__wv"))).withColumn("name_sequence", sequence_ratio("__nu", "__nv") if sequence else F.lit(0.0))
+    if sequence or "overlap" not in pairs.columns:
+        keyed = _keyed(products).select("slug", "words", F.array_join(F.array_sort("words"), " ").alias("name"))
+        side = lambda c: keyed.select(F.col("slug").alias(c), F.col("words").alias(f"__w{c}"), F.col("name").alias(f"__n{c}"))
+        both = pairs.select("u", "v").join(confusions(errors), ["u", "v"], "left").join(side("u"), "u").join(side("v"), "v")
+        both = both.withColumn("overlap", T.jaccard(F.col("__wu"), F.col("__wv")))
+    else:
+        both = pairs
+    both = both.join(alike.select("u", "v").distinct().withColumn("__image", F.lit(True)).hint("merge"), ["u", "v"], "left")
+    both = both.withColumnRenamed("overlap", "name_jaccard").withColumn("name_sequence", sequence_ratio("__nu", "__nv") if sequence else F.lit(0.0))
     signals = F.array(
         F.when(F.col("ranks_2_5") > 0, "real_confusion_rank_2_5"),
         F.when(F.col("small_margins") > 0, "small_top1_top2_margin"),

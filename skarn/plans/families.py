@@ -84,7 +84,8 @@ def name_pair_signals(spark, sf_dir):
 
 
 def _signals(spark, sf_dir) -> DataFrame:
-    return families.pair_signals(_edges(spark, sf_dir), _products(spark, sf_dir), _errors(spark, sf_dir), _alike(spark, sf_dir), sequence=False)
+    products, errors = _products(spark, sf_dir), _errors(spark, sf_dir)
+    return families.pair_signals(families.supported(products, errors), products, errors, _alike(spark, sf_dir), sequence=False)
 
 
 def pair_signals(spark, sf_dir):

@@ -15,6 +15,7 @@ from skarn.operators import evaluation, evidence, families, graph, guards
 from skarn.operators.retrieval import _Best
 from skarn.plans import cascades
 from skarn.plans import evaluation as evaluation_plans
+from skarn.plans import families as family_plans
 from skarn.plans import recognition
 
 
@@ -275,3 +276,8 @@ def test_candidates_are_ranked_by_one_sort_of_an_order(spark):
 def test_production_order_sorts_scored_rows_twice(spark):
     plan = cascades.production_order(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [query_id") <= 5 and plan.count("ObjectHashAggregate") == 0 and "Broadcast" not in plan
+
+
+def test_signal_coverage_counts_errors_once(spark):
+    plan = family_plans.signal_coverage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1 and "Broadcast" not in plan
