@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import geometry, pictures
 from skarn.operators.transforms import _hull_area, align_points, aligned
+from skarn.plans.geometry import projected_overlap
 
 
 def test_overlap_against_a_raster(spark):
@@ -114,3 +115,39 @@ def test_a_sliver_inside_the_other_picture_is_no_miss(spark):
     df = spark.createDataFrame([(1, h), (2, moved)], "i int, h array<double>")
     got = pictures.with_homography_state(df, "h", F.lit(100), F.lit(80), seen_width=F.lit(60), seen_height=F.lit(50))
     assert {r.i: r.state for r in got.collect()} == {1: "valid", 2: "projection_outside_query"}
+
+
+def test_projected_overlap_tells_the_area_inside(spark, tmp_path):
+    """Transforms (x, y) to (x + c, x / 4 + y + f) of a picture of 100 by 80: the box above the lower edge is covered, and one lies left of it."""
+    rows = [(32, 0.0, 40, 8, 30), (32, 0.0, 50, 8, 30), (8, 0.0, 0, 8, 30)]
+    spark.createDataFrame(rows, "l_quantity int, l_discount double, l_partkey long, l_linenumber int, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.state: r for r in projected_overlap(spark, str(tmp_path)).collect()}
+
+    def inside(c, f):  # from x = left on; the lower edge is at (x - c) / 4 + f
+        left, begin = max(c, 0), max(c, 0, c - 4 * f)
+        return (59 - left) * 49 - (59 - begin) * ((59 - c) / 4 + f + (begin - c) / 4 + f) / 2
+
+    means = (inside(40 - 40.3717, -0.7331) + inside(50 - 40.3717, -0.7331)) / 2
+    assert got["valid"].n == 2 and abs(got["valid"].mean_overlap - means) < 1e-4
+    assert got["projection_outside_query"].n == 1 and got["projection_outside_query"].mean_overlap == 0
+
+
+def test_overlap_equals_clipping_by_half_planes(spark):
+    r, rows, right = np.random.default_rng(8), [], {}
+    for i in range(60):
+        angle, centre, size = np.sort(r.uniform(0, 2 * np.pi, 3 + i % 4))[:: 1 - 2 * (i % 2)], r.uniform(-20, 80, 2), r.uniform(5, 90)
+        p = kept = [[float(round(v, i % 3)) for v in (centre[0] + size * np.cos(t), centre[1] + size * np.sin(t))] for t in angle]
+        for axis, bound, sign in ((0, 0, 1), (0, 60, -1), (1, 0, 1), (1, 40, -1)):
+            inside, cut = [(v[axis] - bound) * sign >= 0 for v in kept], []
+            for k, v in enumerate(kept):
+                w = kept[(k + 1) % len(kept)]
+                cut += [v] if inside[k] else []
+                if inside[k] != inside[(k + 1) % len(kept)]:
+                    s = (bound - v[axis]) / (w[axis] - v[axis])
+                    cut.append([v[0] + s * (w[0] - v[0]), v[1] + s * (w[1] - v[1])])
+            kept = cut
+        rows.append((i, p))
+        right[i] = abs(sum(v[0] * w[1] - w[0] * v[1] for v, w in zip(kept, kept[1:] + kept[:1], strict=True))) / 2
+    df = spark.createDataFrame(rows, "i int, p array<array<double>>")
+    got = {x.i: x.overlap for x in geometry.with_overlap(df, "p", F.lit(61), F.lit(41)).collect()}
+    assert all(abs(got[i] - right[i]) < 1e-8 for i in right) and sum(x == 0 for x in right.values()) < 30
