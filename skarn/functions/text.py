@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Prefixes of resized copies, and image suffixes (fixed values).
 RESIZED = ("thumbnail", "small", "medium", "large")
@@ -141,8 +142,41 @@ def year_if_known(x: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, 0)).otherwise("")
 
 
+_SEVERAL = [(k, latin) for letter, latin in CYRILLIC.items() if len(latin) != 1 for k in (letter, letter.upper())]
+_SINGLE = str.maketrans({k: latin for letter, latin in CYRILLIC.items() if len(latin) == 1 for k in (letter, letter.upper())})
+_OTHERS = re.compile("[^0-9A-Za-zА-Яа-я&]+")
+_ASCII_OTHERS = str.maketrans({c: " " for c in map(chr, range(128)) if _OTHERS.match(c)})
+
+
+def _folded_key(x: str) -> str:
+    """normalize_text of one text."""
+    if x.isascii():
+        return " ".join(x.lower().translate(_ASCII_OTHERS).split())
+    x = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold())
+    return _OTHERS.sub(" ", x.replace("ё", "е")).strip(" ")
+
+
+def _folded_latin(x: str) -> str:
+    """normalize_text of the transliteration of one text."""
+    x = unicodedata.normalize("NFKC", x)
+    for letter, latin in _SEVERAL:
+        x = x.replace(letter, latin)
+    return _folded_key(x.translate(_SINGLE))
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("latin", StringType())]))
+def _folded_keys(s: pd.Series) -> pd.DataFrame:
+    """Both keys in one reading, equal texts of a batch once; they are the same where all is ASCII."""
+    made = {x: (_folded_key(x), x.isascii() or _folded_latin(x)) for x in set(s) if x is not None} | {None: (None, None)}
+    pairs = [made[x] for x in s]
+    return pd.DataFrame({"text": [k for k, _ in pairs], "latin": [k if latin is True else latin for k, latin in pairs]}, dtype=object)
+
+
 def comparison_keys(x: Column, folded: bool = True) -> tuple[Column, Column]:
-    """The normalised text, and that of its Latin spelling."""
+    """The normalised text, and that of its Latin spelling; ``folded`` ones are made together, as letter by letter takes Spark long."""
+    if folded:
+        keys = _folded_keys(x)
+        return keys.text, keys.latin
     return normalize_text(x, folded), normalize_text(transliterate(x, folded), folded)
 
 

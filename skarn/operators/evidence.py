@@ -6,6 +6,7 @@ slug, ...), pos being the place in the first ranking from 1 on.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from ..functions import text as T
 LEAST_LINE, LEAST_YEAR = 0.5, 0.6
 FIELDS = ("title", "winery", "grape", "region")
 SIGNALS = ("metadata_name_score", "winery_score", "grape_score", "region_score", "metadata_text_score", "reference_ocr_score")
+#: Those that compare texts as a whole.
+WHOLE = ("metadata_name_score", "metadata_text_score", "reference_ocr_score")
+CHARACTERS = 1 << 23  # of the rows scored at once, so that long texts take no more memory
 
 
 def line_evidence(lines: DataFrame, by: str, least: float = LEAST_LINE, folded: bool = True) -> DataFrame:
@@ -50,21 +54,45 @@ def candidate_document(index: DataFrame, references: DataFrame) -> DataFrame:
 @F.pandas_udf(StructType([StructField(name, DoubleType()) for name in SIGNALS]))
 def _signals(q: pd.Series, q_latin: pd.Series, fields: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
     """Names and whole texts by whole_ratio, other fields by their best place in the text or their tokens; equal pairs of a batch once."""
-
-    def pairs(c, latin):  # where both spellings are the same, one is compared
-        return [{p for p in ((a, b), (x, y)) if p[0]} for a, b, x, y in zip(c, q, latin, q_latin, strict=True)]
-
-    def best(rows, score):
-        known = {p: score(p) for p in set().union(*rows)}
-        return [max((known[p] for p in row), default=0.0) / 100 for row in rows]
-
-    whole = lambda p: fuzzy.whole_ratio(*p)
-    name, metadata, *parts = (pairs(fields[c], fields[f"{c}_latin"]) for c in ("title", "metadata", "winery", "grape", "region"))
-    placed = fuzzy.partial_ratios(set().union(*parts[0], *parts[1], *parts[2]))
-    out = [best(name, whole), *(best(rows, lambda p: fuzzy.token_set_ratio(*p, placed[p])) for rows in parts), best(metadata, whole)]
-    read = reference["text"].notna()
-    both = [{(a, x), (b, y)} if seen else set() for a, x, b, y, seen in zip(q, reference["text"], q_latin, reference["latin"], read, strict=True)]
-    return pd.DataFrame(dict(zip(SIGNALS, [*out, best(both, whole)], strict=True)))
+    columns = [q, q_latin, *[fields[c] for f in (*FIELDS, "metadata") for c in (f, f"{f}_latin")], reference["text"], reference["latin"]]
+    place: dict[str | None, int] = {None: -1}
+    code = np.array([place.setdefault(x, len(place) - 1) for c in columns for x in c], dtype=np.int64).reshape(len(columns), -1)
+    strings = np.array([*place, ""], dtype=object)[1:]
+    length = np.array([*map(len, strings)], dtype=np.int64)  # that of null is 0
+    parts = np.cumsum(length[code].sum(axis=0)) // CHARACTERS
+    out = [_scored(strings, code[:, rows]) for rows in np.split(np.arange(len(q)), np.flatnonzero(np.diff(parts)) + 1)]
+    return pd.DataFrame(np.concatenate(out, axis=1).T, columns=SIGNALS)
+
+
+def _scored(strings: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """SIGNALS by rows of the texts at ``code``: query, each field and the reference, each in both spellings."""
+    used, code = np.unique(code, return_inverse=True)
+    none = int(used.size > 0 and used[0] < 0)
+    code = code.reshape(2 + 2 * len(SIGNALS), -1) - none
+    strings = strings[used[none:]].tolist()
+    texts, n = fuzzy.Texts(strings), max(len(strings), 1)
+    filled = np.append(texts.length > 0, False)
+
+    def best(places, score):  # the better of both spellings; where they are the same, one is compared
+        keys, asked = [], []
+        for k in places:
+            a = code[2 + 2 * k : 4 + 2 * k]
+            there = a >= 0 if SIGNALS[k] == "reference_ocr_score" else filled[a]
+            there[1] &= (a[0] != a[1]) | (code[0] != code[1]) | ~there[0]
+            keys.append(a * n + code[:2])
+            asked.append(there)
+        keys, asked = np.stack(keys), np.stack(asked)
+        pairs, which = np.unique(keys[asked], return_inverse=True)
+        out = np.zeros(keys.shape)
+        out[asked] = score(pairs // n, pairs % n)[which]
+        return dict(zip(places, out.max(axis=1) / 100, strict=True))
+
+    def placed(a, b):
+        return texts.token_set(a, b, fuzzy.placed(strings, texts, a, b))
+
+    whole = [k for k, name in enumerate(SIGNALS) if name in WHOLE]
+    found = best(whole, texts.whole) | best([k for k in range(len(SIGNALS)) if k not in whole], placed)
+    return np.stack([found[k] for k in range(len(SIGNALS))])
 
 
 def text_signals(candidates: DataFrame, queries: DataFrame, index: DataFrame, references: DataFrame | None = None) -> DataFrame:

@@ -268,7 +268,8 @@ def text_signals(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     references = evidence.line_evidence(lines.filter("pos = 1").withColumn("pos", F.col("query_id")), "slug")
     queries = evidence.line_evidence(lines, "query_id")
-    return evidence.text_signals(_candidates(spark, sf_dir).select("query_id", "pos", "slug"), queries, evidence.candidate_index(_catalog(spark, sf_dir)), references)
+    index = evidence.candidate_index(_catalog(spark, sf_dir).repartition("slug"))  # a small file of many parts is one task otherwise
+    return evidence.text_signals(_candidates(spark, sf_dir).select("query_id", "pos", "slug"), queries, index, references)
 
 
 def vintage_states(spark, sf_dir):

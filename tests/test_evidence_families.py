@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from skarn.functions import boxes, fuzzy
@@ -96,6 +97,71 @@ def test_text_signals_send_no_table_through_the_driver(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def _texts(seed: int, n: int) -> list[str]:
+    r = random.Random(seed)
+    words = lambda letters, most, long: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, long))) for _ in range(r.randint(0, most)))
+    return list({"", "a", "a\x00b", "a\x00c", "x" * 64, "ab" * 64, *[words("abж😀", 5, 3) for _ in range(n)], *[words("abcdef", 30, 6) for _ in range(n // 4)], *[words("ab", 16, 40) for _ in range(n // 5)]})
+
+
+def test_texts_scored_together_equal_single_ones(monkeypatch):
+    texts, r = _texts(3, 80), random.Random(4)
+    a, b = (np.array([r.randrange(len(texts)) for _ in range(1500)]) for _ in range(2))
+    known = np.array([r.choice([0.0, 40.0, 90.0]) for _ in range(1500)])
+    pairs = [(texts[x], texts[y]) for x, y in zip(a, b, strict=True)]
+    assert sum(min(map(len, p)) > 128 for p in pairs) > 9
+    for windows, cells in ((1 << 16, 1 << 18), (150, 40)):
+        monkeypatch.setattr(fuzzy, "WINDOWS", windows)
+        monkeypatch.setattr(fuzzy, "CELLS", cells)
+        made = fuzzy.Texts(texts)
+        assert made.whole(a, b).tolist() == [fuzzy.whole_ratio(*p) for p in pairs]
+        assert made.token_set(a, b, known).tolist() == [fuzzy.token_set_ratio(*p, k) for p, k in zip(pairs, known.tolist(), strict=True)]
+        assert fuzzy.placed(texts, made, a, b).tolist() == [fuzzy.partial_ratio(*p) for p in pairs]
+
+
+def test_signals_of_a_batch_equal_plain_ones_without_comparing_pair_by_pair(monkeypatch):
+    texts, r, n = _texts(5, 40), random.Random(6), 400
+    column = lambda: pd.Series([r.choice(texts) for _ in range(n)], dtype=object)
+    q = column()
+    fields = pd.DataFrame({c: column() for f in (*evidence.FIELDS, "metadata") for c in (f, f"{f}_latin")})
+    q_latin, fields["title_latin"], read = q.where(q.index % 2 == 0, column()), fields["title"], column()
+    reference = pd.DataFrame({"text": read.where(read.index % 5 > 0, None), "latin": column().where(read.index % 5 > 0, None)})
+    plain = []
+    for i in range(n):
+        both = lambda c: [(fields[c][i], q[i]), (fields[f"{c}_latin"][i], q_latin[i])]  # noqa: B023, E731
+        best = lambda pairs, *scores: max((s(*p) / 100 for p in pairs for s in scores if p[0]), default=0.0)
+        whole, part = (fuzzy.ratio, fuzzy.token_set_ratio), (fuzzy.partial_ratio, fuzzy.token_set_ratio)
+        seen = max(fuzzy.whole_ratio(q[i], reference["text"][i]), fuzzy.whole_ratio(q_latin[i], reference["latin"][i])) / 100 if i % 5 else 0.0
+        plain.append([best(both("title"), *whole), *[best(both(c), *part) for c in ("winery", "grape", "region")], best(both("metadata"), *whole), seen])
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda a, b, f=fuzzy.partial_ratio: f(a, b) if min(len(a), len(b)) > 63 else 1 / 0)
+    monkeypatch.setattr(fuzzy, "whole_ratio", None)
+    for characters in (1 << 23, 3000):
+        monkeypatch.setattr(evidence, "CHARACTERS", characters, raising=False)
+        got = evidence._signals.func(q, q_latin, fields, reference)
+        assert list(got.columns) == list(evidence.SIGNALS) and got.to_numpy().tolist() == plain
+    assert len(evidence._signals.func(q[:0], q_latin[:0], fields[:0], reference[:0])) == 0
+
+
+def test_folded_keys_are_made_together_and_as_letter_by_letter(spark):
+    r, letters = random.Random(7), "abZ09 &-.\t\n\x00\x1c\u00a0\u3000ёЁжЖщЩъЬюЯййßẞİı\ufb01Ⅷ½ａé中😀"
+    rows = [("".join(r.choice(letters) for _ in range(r.randint(0, 20))),) for _ in range(500)] + [(None,), ("a\x00b",), ("a\x00c",)]
+    both, x = T.comparison_keys(F.col("s")), F.col("s")
+    single = T.normalize_text(x), T.normalize_text(T.transliterate(x, True))
+    df = spark.createDataFrame(rows, "s string").select(*[c.alias(n) for c, n in zip((*both, *single), "abcd", strict=True)])
+    assert all(row.a == row.c and row.b == row.d for row in df.collect()) and df.filter("a is null").count() == 1
+
+
+def test_text_signals_spread_the_parts_before_their_keys_are_made(spark):
+    """The keys of one packed file of parts are not one task's work, nor made letter by letter in Spark."""
+    plan = recognition.text_signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("translate(replace(" in line for line in plan)
+    keys = [i for i, line in enumerate(plan) if "ArrowEvalPython [" in line and "title" in line and "_signals" not in line]
+    assert keys
+    for i in keys:
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        below = itertools.takewhile(lambda line: depth(line) > depth(plan[i]), plan[i + 1 :])  # noqa: B023
+        assert any("Exchange hashpartitioning" in line for line in below)
+
+
 def test_years_of_items_and_queries(spark):
     seen = spark.createDataFrame([("s2", "2018"), ("s3", "2001")], "slug string, year string")
     got = {r.slug: (r.year, r.provenance, r.conflict) for r in evidence.item_years(_catalog(spark), seen).collect()}
